@@ -121,5 +121,6 @@ def score_windows(windows: DataFrame, predict: Callable[[np.ndarray], np.ndarray
 def mean_predictor(pred: int) -> Callable[[np.ndarray], np.ndarray]:
     """The uniform-weight linear model as a Python predictor (same numbers as forecast_mean)."""
     def f(X: np.ndarray) -> np.ndarray:
-        return np.repeat(X.mean(axis=1, keepdims=True), pred, axis=1)
+        # sequential sum (cumsum), the same order as the JVM fold in forecast_mean
+        return np.repeat(np.cumsum(X, axis=1)[:, -1:] / X.shape[1], pred, axis=1)
     return f

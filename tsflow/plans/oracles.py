@@ -97,7 +97,7 @@ cte("fc", ["w_masked", "sg"], f"""
   SELECT y.battery_id, y.cycle_index, g.split, CAST(floor(g.split_rank / {Q.BS}) AS BIGINT) AS batch_id,
          g.split_rank AS window_id, CAST(y.step - {M_LABEL} AS BIGINT) AS step, y.value AS y, m.yhat, y.mask
   FROM w_masked y
-  JOIN (SELECT battery_id, cycle_index, avg(value) AS yhat FROM w_masked WHERE part = 'x' GROUP BY 1, 2) m
+  JOIN (SELECT battery_id, cycle_index, list_reduce(list(value ORDER BY step), lambda a, b: a + b) / count(*) AS yhat FROM w_masked WHERE part = 'x' GROUP BY 1, 2) m
     USING (battery_id, cycle_index)
   JOIN sg g USING (battery_id, cycle_index)
   WHERE y.part = 'y' AND y.step >= {M_LABEL}""")
@@ -193,7 +193,7 @@ def result_sql(name: str, mode: str, seq: int, label: int, pred: int, masked: bo
       WITH t AS (SELECT battery_id, cycle_index, split_rank AS batch, CAST(0 AS BIGINT) AS seq FROM sg WHERE split = 'test'),
            x AS (SELECT * FROM {w} JOIN t USING (battery_id, cycle_index) WHERE part = 'x'),
            yy AS (SELECT * FROM {w} JOIN t USING (battery_id, cycle_index) WHERE part = 'y' AND step >= {label}),
-           m AS (SELECT batch, seq, avg(value) AS yhat FROM x GROUP BY 1, 2)
+           m AS (SELECT batch, seq, list_reduce(list(value ORDER BY step), lambda a, b: a + b) / count(*) AS yhat FROM x GROUP BY 1, 2)
       SELECT batch, seq, CAST(step AS BIGINT) AS id, {v} AS y, {v} AS yhat FROM x
       UNION ALL
       SELECT yy.batch, yy.seq, CAST(yy.step - {label} + {seq} AS BIGINT) AS id, {v} AS y, m.yhat
@@ -283,7 +283,8 @@ ORACLES: dict[str, str] = {
     "revin_norm": q(["mx_norm"], "SELECT battery_id, cycle_index, step, value FROM mx_norm"),
     "revin_last": q(["mx", "mx_stats"], """SELECT battery_id, cycle_index, step, (value - rv_last) / rv_std AS value
                                             FROM mx JOIN mx_stats USING (battery_id, cycle_index)"""),
-    "revin_denorm": q(["mx_norm"], "SELECT battery_id, cycle_index, step, value * rv_std + rv_mean AS value FROM mx_norm"),
+    "revin_denorm": q(["mx_norm", "mx"], """SELECT n.battery_id, n.cycle_index, n.step, n.value * n.rv_std + n.rv_mean - x.value AS roundtrip_err
+                                             FROM mx_norm n JOIN mx x USING (battery_id, cycle_index, step)"""),
     "sliding_windows": q(["melt"], f"""
         WITH nn AS (SELECT channel, count(*) AS n FROM melt GROUP BY 1),
              s AS (SELECT m.channel, m.pos AS s FROM melt m JOIN nn USING (channel) WHERE m.pos + {sum(Q.SLIDE[::2])} <= nn.n)
@@ -347,12 +348,12 @@ ORACLES: dict[str, str] = {
         FROM ({ma_sql('ev', Q.MULTI_K[0], 't1')}) a JOIN ({ma_sql('ev', Q.MULTI_K[1], 't2')}) b USING (series_id, pos)"""),
     "decomp_init": q(["mx"], f"""
         WITH t AS (SELECT a.battery_id, a.cycle_index, a.step, a.value,
-                          sum(b.value) / {float(Q.MA_K)!r} AS trend
+                          list_reduce(list(b.value ORDER BY oo.o), lambda p, q: p + q) / {float(Q.MA_K)!r} AS trend
                    FROM mx a JOIN (SELECT unnest(range(-{(Q.MA_K - 1) // 2}, {(Q.MA_K - 1) // 2 + 1})) AS o) oo ON TRUE
                    JOIN mx b ON b.battery_id = a.battery_id AND b.cycle_index = a.cycle_index
                         AND b.step = least(greatest(a.step + oo.o, 0), {M_SEQ - 1})
                    GROUP BY 1, 2, 3, 4),
-             m AS (SELECT battery_id, cycle_index, avg(value) AS mean FROM mx GROUP BY 1, 2)
+             m AS (SELECT battery_id, cycle_index, list_reduce(list(value ORDER BY step), lambda a, b: a + b) / count(*) AS mean FROM mx GROUP BY 1, 2)
         SELECT battery_id, cycle_index, 'trend' AS part, CAST(step - {M_SEQ - M_LABEL} AS BIGINT) AS step, trend AS value
         FROM t WHERE step >= {M_SEQ - M_LABEL}
         UNION ALL
@@ -368,8 +369,8 @@ ORACLES: dict[str, str] = {
     "top_lags": q(["ev_top"], f"SELECT series_id, rank, CAST(lag AS BIGINT) AS lag FROM ev_top WHERE rank < {Q.TOPK}"),
     "period_agg": q(["ev_top", "evw_norm"], f"""
         WITH t AS (SELECT series_id, lag, r FROM ev_top WHERE rank < {max(1, int(math.log(EV_L)))}),
-             wt AS (SELECT series_id, lag, exp(r - max(r) OVER (PARTITION BY series_id))
-                           / sum(exp(r - max(r) OVER (PARTITION BY series_id))) OVER (PARTITION BY series_id) AS w FROM t)
+             e AS (SELECT series_id, lag, exp(r - max(r) OVER (PARTITION BY series_id)) AS ex FROM t),
+             wt AS (SELECT series_id, lag, ex / sum(ex) OVER (PARTITION BY series_id) AS w FROM e)
         SELECT x.series_id, CAST(x.step AS BIGINT) AS t, sum(wt.w * v.value) AS value
         FROM evw_norm x JOIN wt ON wt.series_id = x.series_id
         JOIN evw_norm v ON v.series_id = x.series_id AND v.step = (x.step + wt.lag) % {EV_L}
@@ -409,7 +410,7 @@ ORACLES: dict[str, str] = {
         WITH m AS (SELECT split, step, avg(y) AS mt, avg(yhat) AS mp FROM (SELECT * FROM fc WHERE mask = 1) GROUP BY 1, 2),
              c AS (SELECT split, step, sum((y - mt) * (yhat - mp)) / sqrt(sum(power(y - mt, 2) * power(yhat - mp, 2))) AS c,
                           corr(yhat, y) AS pc
-                   FROM fc JOIN m USING (split, step) GROUP BY 1, 2)
+                   FROM (SELECT * FROM fc WHERE mask = 1) JOIN m USING (split, step) GROUP BY 1, 2)
         SELECT split, avg(c) AS corr, avg(pc) AS pearson FROM c GROUP BY 1"""),
     "metrics_eps": q(["fc"], f"SELECT split, {EPSB} FROM (SELECT * FROM fc WHERE mask = 1) GROUP BY 1"),
     "metrics_masked": q(["fc"], f"SELECT split, {MASKB}, sum((yhat - y) * (yhat - y) * mask) / sum(mask) AS mse_loss FROM fc GROUP BY 1"),
@@ -428,10 +429,11 @@ ORACLES: dict[str, str] = {
         FROM (SELECT split, batch_id, {SMAPE} AS smape_loss, {MASKB} FROM fc GROUP BY 1, 2) GROUP BY 1"""),
     "eval_last": q(["m4_train", "m4_test"], f"""
         WITH n AS (SELECT id, count(*) AS n FROM m4_train GROUP BY 1),
-             w AS (SELECT t.id, t.value FROM m4_train t JOIN n USING (id) WHERE t.pos >= greatest(n.n - {Q.LAST_L}, 0)
+             w AS (SELECT t.id, t.pos - greatest(n.n - {Q.LAST_L}, 0) + ({Q.LAST_L} - least(n.n, {Q.LAST_L})) AS step, t.value
+                   FROM m4_train t JOIN n USING (id) WHERE t.pos >= greatest(n.n - {Q.LAST_L}, 0)
                    UNION ALL
-                   SELECT id, CAST(0 AS DOUBLE) FROM (SELECT id, unnest(range({Q.LAST_L} - least(n, {Q.LAST_L}))) FROM n)),
-             m AS (SELECT id, avg(value) AS yhat FROM w GROUP BY 1)
+                   SELECT id, step, CAST(0 AS DOUBLE) FROM (SELECT id, unnest(range({Q.LAST_L} - least(n, {Q.LAST_L}))) AS step FROM n)),
+             m AS (SELECT id, list_reduce(list(value ORDER BY step), lambda a, b: a + b) / count(*) AS yhat FROM w GROUP BY 1)
         SELECT 200 * avg(CASE WHEN abs(yhat) + abs(y) = 0 THEN 0 ELSE abs(yhat - y) / (abs(yhat) + abs(y)) END * 1.0) AS smape_loss
         FROM m4_test JOIN m USING (id)"""),
     "accuracy": None,  # filled below (shares point_adjust)
@@ -466,7 +468,7 @@ ORACLES: dict[str, str] = {
         SELECT batch, seq, id, border, CASE WHEN y = 0 THEN 1.95 ELSE y END AS y_plot, yhat
         FROM res_masked JOIN b USING (batch, seq) WHERE id >= {M_SEQ - 3} AND id < border + 2"""),
     "fc_mean": q(["mx"], f"""SELECT battery_id, cycle_index, CAST(h AS BIGINT) AS h, yhat
-        FROM (SELECT battery_id, cycle_index, avg(value) AS yhat FROM mx GROUP BY 1, 2), (SELECT unnest(range({M_PRED})) AS h)"""),
+        FROM (SELECT battery_id, cycle_index, list_reduce(list(value ORDER BY step), lambda a, b: a + b) / count(*) AS yhat FROM mx GROUP BY 1, 2), (SELECT unnest(range({M_PRED})) AS h)"""),
     "eval_report": None,  # filled below
 }
 

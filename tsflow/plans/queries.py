@@ -71,11 +71,17 @@ def cycle_windows(spark, sf, mode, seq, label, pred, cols=(), rows=None):
     return long, w
 
 
+def window_mean(x_long: DataFrame, keys) -> DataFrame:
+    """Mean of each window's x slots as an ordered fold (same float result on every engine)."""
+    a = to_arrays(x_long, keys, cols=("value",), part=None)
+    return a.select(*keys, (F.aggregate("value", F.lit(0.0), lambda acc, v: acc + v) / F.size("value")).alias("yhat"))
+
+
 def fc_table(spark, sf) -> DataFrame:
     """Forecast rows for metrics: masked windows, forecast = window mean, horizon steps."""
     seq, label, pred = MASKED
     long, w = cycle_windows(spark, sf, "masked", seq, label, pred)
-    mean = long.where(F.col("part") == "x").groupBy(*KEYS).agg(F.avg("value").alias("yhat"))
+    mean = window_mean(long.where(F.col("part") == "x"), KEYS)
     y = long.where((F.col("part") == "y") & (F.col("step") >= label))
     return (y.join(mean, on=KEYS).join(w.select(*KEYS, "split", "split_rank"), on=KEYS)
             .select(*KEYS, "split", F.floor(F.col("split_rank") / BS).cast("bigint").alias("batch_id"),
@@ -98,7 +104,7 @@ def result_rows(spark, sf, masked: bool = False) -> DataFrame:
     long = long.join(test, on=KEYS)
     wk = [*KEYS, "batch", "seq"]
     x = long.where(F.col("part") == "x")
-    mean = x.groupBy(*wk).agg(F.avg("value").alias("yhat"))
+    mean = window_mean(x, wk)
     fc = mean.select(*wk, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pred - 1).cast("bigint"))).alias("h"), "yhat")
     res = R.result_table(x, long.where(F.col("part") == "y"), fc, wk, seq, label, pred, mask_multiply=masked)
     return res.select("batch", "seq", "id", "y", "yhat")
@@ -244,7 +250,10 @@ def q_revin_last(spark, sf):
 
 
 def q_revin_denorm(spark, sf):
-    return unrevin(revin(_masked_x(spark, sf), KEYS), "value").select(*KEYS, "step", "value")
+    """Round trip de-normalise(normalise(x)) - x: the identity property, per slot."""
+    x = _masked_x(spark, sf).withColumnRenamed("value", "x0").withColumn("value", F.col("x0"))
+    back = unrevin(revin(x, KEYS), "value")
+    return back.select(*KEYS, "step", (F.col("value") - F.col("x0")).alias("roundtrip_err"))
 
 
 # ---------------------------------------------------------------- windows
@@ -466,8 +475,7 @@ def q_metrics_batched(spark, sf):
 def q_eval_last(spark, sf):
     _, train, test, _ = m4_parts(spark, sf)
     lw = last_windows(train, series_lengths(train, ["id"]), ["id"], "value", LAST_L)
-    mean = lw.groupBy("id").agg(F.avg("value").alias("yhat"))
-    d = test.join(mean, on="id")
+    d = test.join(window_mean(lw, ["id"]), on="id")
     return d.agg(M.smape_loss_agg("yhat", "y", F.lit(1.0)))
 
 

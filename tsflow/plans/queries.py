@@ -21,6 +21,7 @@ from tsflow.operators.windows import (
     cut_windows, draw_cut, explode_windows, last_windows, length_histogram, patches, series_lengths,
     sliding_windows, to_arrays, window_rejects,
 )
+from tsflow.session import materialize
 from tsflow.sources import fixtures as fx
 
 # ---------------------------------------------------------------- parameters (mirrored in oracles.py)
@@ -51,8 +52,34 @@ DESCRIPTION = "Customer events per user, one value per event."
 
 
 # ---------------------------------------------------------------- shared sub-plans
+# Derived tables read several times by one query are materialized once (checkpoint into
+# the shared checkpoint folder) instead of being re-derived at every reference.
+def T_cycles(spark, sf):
+    return materialize(fx.cycles(spark, sf))
+
+
+def T_ev(spark, sf):
+    return materialize(fx.ev(spark, sf))
+
+
+def T_hourly(spark, sf):
+    return materialize(fx.hourly(spark, sf))
+
+
+def T_daily(spark, sf):
+    return materialize(fx.daily(spark, sf))
+
+
+def T_m4c(spark, sf):
+    return materialize(fx.m4c(spark, sf))
+
+
+def T_anom(spark, sf):
+    return materialize(fx.anom(spark, sf))
+
+
 def kept_lengths(spark, sf):
-    cyc = fx.cycles(spark, sf)
+    cyc = T_cycles(spark, sf)
     lens = series_lengths(cyc, KEYS, count_col="cycle_test_time").where(F.col("n") > LONG)
     return cyc, lens
 
@@ -61,14 +88,14 @@ def with_splits(spark, sf):
     """Cycle rows and one row per kept cycle with n, split, rank, split_rank."""
     cyc, lens = kept_lengths(spark, sf)
     sg = split_groups(lens, KEYS, seed=SEED)
-    return cyc, lens.join(sg, on=KEYS)
+    return cyc, materialize(lens.join(sg, on=KEYS))
 
 
 def cycle_windows(spark, sf, mode, seq, label, pred, cols=(), rows=None):
     cyc, w = with_splits(spark, sf)
     cuts = draw_cut(w, KEYS, mode, seq, pred, seed=SEED, rate=RATE)
     long = cut_windows(rows if rows is not None else cyc, cuts, KEYS, "target", mode, seq, label, pred, cols=cols)
-    return long, w
+    return materialize(long), w
 
 
 def window_mean(x_long: DataFrame, keys) -> DataFrame:
@@ -111,7 +138,7 @@ def result_rows(spark, sf, masked: bool = False) -> DataFrame:
 
 
 def ev_last(spark, sf, normalize: bool) -> DataFrame:
-    e = fx.ev(spark, sf)
+    e = T_ev(spark, sf)
     lens = series_lengths(e, ["series_id"])
     lw = last_windows(e, lens, ["series_id"], "value", EV_L)
     if normalize:
@@ -120,7 +147,7 @@ def ev_last(spark, sf, normalize: bool) -> DataFrame:
 
 
 def m4_parts(spark, sf):
-    m = fx.m4c(spark, sf)
+    m = T_m4c(spark, sf)
     train = m.where(F.col("part") == "train")
     test = m.where(F.col("part") == "test").select("id", (F.col("pos") - (F.col("n") - fx.M4_HORIZON)).alias("step"),
                                                    F.col("value").alias("y"))
@@ -137,20 +164,20 @@ def m4_forecasts(train, test):
 
 # ---------------------------------------------------------------- sources / projections
 def q_scan_wide(spark, sf):
-    d = fx.daily(spark, sf)
+    d = T_daily(spark, sf)
     return d.select(F.col("date").cast("string").alias("date"), "pos", *fx.DAILY_CHANNELS)
 
 
 def q_scan_cycles(spark, sf):
-    return fx.cycles(spark, sf)
+    return T_cycles(spark, sf)
 
 
 def q_m4_load(spark, sf):
-    return fx.m4c(spark, sf).select("id", "grp", "pos", "value", "part")
+    return T_m4c(spark, sf).select("id", "grp", "pos", "value", "part")
 
 
 def q_feature_modes(spark, sf):
-    d = fx.daily(spark, sf)
+    d = T_daily(spark, sf)
     others = [c for c in fx.DAILY_CHANNELS if c != "ot"]
     return d.select(F.col("date").cast("string").alias("date"), "pos", *others, "ot")
 
@@ -161,7 +188,7 @@ def q_long_cycles(spark, sf):
 
 
 def q_melt_channels(spark, sf):
-    h = fx.hourly(spark, sf)
+    h = T_hourly(spark, sf)
     return h.unpivot(["pos"], fx.HOURLY_CHANNELS, "channel", "value")
 
 
@@ -174,7 +201,7 @@ def q_horizon_slice(spark, sf):
 
 # ---------------------------------------------------------------- splits
 def _daily_split(spark, sf, **kw):
-    d = fx.daily(spark, sf).select("pos", "ot")
+    d = T_daily(spark, sf).select("pos", "ot")
     return split_fixed(d, "pos", *BORDERS, lookback=DAILY_L, **kw).select("pos", "split", "ot")
 
 
@@ -191,7 +218,7 @@ def q_split_percent(spark, sf):
 
 
 def q_split_ratio(spark, sf):
-    d = fx.daily(spark, sf).select("pos", "ot")
+    d = T_daily(spark, sf).select("pos", "ot")
     return split_ratio(d, "pos", lookback=DAILY_L).select("pos", "split", "ot")
 
 
@@ -215,7 +242,7 @@ def q_batches(spark, sf):
 
 # ---------------------------------------------------------------- scaling
 def _daily_scaler(spark, sf):
-    d = fx.daily(spark, sf)
+    d = T_daily(spark, sf)
     train = split_fixed(d, "pos", *BORDERS, lookback=DAILY_L).where(F.col("split") == "train")
     return d, fit_scaler(train, fx.DAILY_CHANNELS)
 
@@ -266,7 +293,7 @@ def q_sliding_windows(spark, sf):
 
 def q_window_marks(spark, sf):
     seq, label, pred = MARKS
-    d = fx.daily(spark, sf)
+    d = T_daily(spark, sf)
     d = d.select("pos", "ot", F.struct(*calendar_mark_cols(F.col("date").cast("timestamp"))).alias("mk"))
     w = sliding_windows(d.withColumn("_one", F.lit(1)), ["_one"], "ot", seq, label, pred, extra=["mk"])
     x = w.select("window_id", F.lit("x").alias("part"), F.arrays_zip(F.col("x").alias("v"), F.col("mk_x").alias("m")).alias("z"))
@@ -321,35 +348,35 @@ def q_patches(spark, sf):
 
 
 def q_length_histogram(spark, sf):
-    cyc = fx.cycles(spark, sf)
+    cyc = T_cycles(spark, sf)
     return length_histogram(series_lengths(cyc, KEYS, count_col="cycle_test_time"))
 
 
 def q_window_rejects(spark, sf):
-    cyc = fx.cycles(spark, sf)
+    cyc = T_cycles(spark, sf)
     lens = series_lengths(cyc, KEYS, count_col="cycle_test_time")
     return window_rejects(lens, KEYS, "cut", MASKED[0], MASKED[2])
 
 
 # ---------------------------------------------------------------- calendar
 def q_calendar_marks(spark, sf):
-    e = fx.ev(spark, sf)
+    e = T_ev(spark, sf)
     return e.select("series_id", "pos", *calendar_mark_cols("ts", minute=True))
 
 
 def q_time_features(spark, sf):
-    e = fx.ev(spark, sf)
+    e = T_ev(spark, sf)
     return e.select("series_id", "pos", *time_feature_cols("ts", "15min"))
 
 
 def q_sincos_position(spark, sf):
-    h = fx.hourly(spark, sf)
+    h = T_hourly(spark, sf)
     return h.select("pos", F.posexplode(sincos(F.col("pos"), SINCOS_D)).alias("j", "value")) \
             .withColumn("j", F.col("j").cast("bigint"))
 
 
 def q_sincos_calendar(spark, sf):
-    h = fx.hourly(spark, sf)
+    h = T_hourly(spark, sf)
     t = F.col("hour_ts")
     code = sincos_sum([F.hour(t), F.weekday(t), F.dayofmonth(t), F.month(t)], SINCOS_D)
     return h.select("pos", F.posexplode(code).alias("j", "value")).withColumn("j", F.col("j").cast("bigint"))
@@ -357,15 +384,15 @@ def q_sincos_calendar(spark, sf):
 
 # ---------------------------------------------------------------- series features
 def q_moving_avg(spark, sf):
-    return S.moving_avg(fx.ev(spark, sf), ["series_id"], "value", MA_K).select("series_id", "pos", "trend")
+    return S.moving_avg(T_ev(spark, sf), ["series_id"], "value", MA_K).select("series_id", "pos", "trend")
 
 
 def q_decompose(spark, sf):
-    return S.decompose(fx.ev(spark, sf), ["series_id"], "value", MA_K).select("series_id", "pos", "trend", "seasonal")
+    return S.decompose(T_ev(spark, sf), ["series_id"], "value", MA_K).select("series_id", "pos", "trend", "seasonal")
 
 
 def q_decompose_multi(spark, sf):
-    return S.decompose(fx.ev(spark, sf), ["series_id"], "value", list(MULTI_K)).select(
+    return S.decompose(T_ev(spark, sf), ["series_id"], "value", list(MULTI_K)).select(
         "series_id", "pos", "trend", "seasonal")
 
 
@@ -416,12 +443,12 @@ def q_prompt_text(spark, sf):
 
 
 def q_point_adjust(spark, sf):
-    return S.point_adjust(fx.anom(spark, sf), ["series_id"], "gt", "pred").select(
+    return S.point_adjust(T_anom(spark, sf), ["series_id"], "gt", "pred").select(
         "series_id", "pos", "gt", "pred", "pred_adj")
 
 
 def q_accuracy(spark, sf):
-    a = S.point_adjust(fx.anom(spark, sf), ["series_id"], "gt", "pred")
+    a = S.point_adjust(T_anom(spark, sf), ["series_id"], "gt", "pred")
     return a.agg(F.avg((F.col("gt") == F.col("pred")).cast("double")).alias("acc_raw"),
                  F.avg((F.col("gt") == F.col("pred_adj")).cast("double")).alias("acc_adj"))
 
@@ -488,7 +515,7 @@ def eval_report(spark, sf) -> DataFrame:
     sc = fit_scaler(rows, CH, where=F.col("split") == "train")
     rows_s = scale(rows, sc, CH)
     cuts = draw_cut(w, KEYS, "cut", seq, pred, seed=SEED)
-    long = cut_windows(rows_s, cuts, KEYS, "target", "cut", seq, label, pred)
+    long = materialize(cut_windows(rows_s, cuts, KEYS, "target", "cut", seq, label, pred))
     mean = long.where(F.col("part") == "x").groupBy(*KEYS).agg(F.avg("value").alias("yhat"))
     y = long.where((F.col("part") == "y") & (F.col("step") >= label))
     d = y.join(mean, on=KEYS).join(w.select(*KEYS, "split", "split_rank"), on=KEYS) \

@@ -9,7 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours needs for correct results (UTC calendar math,
 # no implicit float->int truncation surprises) and for scale (AQE re-plans
@@ -22,6 +23,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # remove checkpoint files once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -41,12 +44,30 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only when unset."""
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        cur = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not cur:
-        cur = os.environ.get("TSFLOW_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tsflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", cur)
-        spark.sparkContext.setCheckpointDir(cur)
-    return cur
+    """The shared checkpoint folder: the context's, else ``spark.checkpoint.dir``; only when
+    neither is set (tests, local runs) a scratch folder is created."""
+    sc = spark.sparkContext
+    cur = sc.getCheckpointDir()
+    if cur:
+        return cur
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf:
+        conf = os.environ.get("TSFLOW_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tsflow-ckpt-")
+    sc.setCheckpointDir(conf)
+    return conf
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a derived table that later steps read several times.
+
+    A reliable checkpoint into the shared checkpoint folder: after it every reference
+    reads the stored partitions instead of re-deriving them, and a lost executor costs a
+    re-read rather than a recompute of the whole lineage.  The rows are persisted (disk)
+    only for the duration of the checkpoint, so the lineage is computed once.
+    """
+    checkpoint_dir(df.sparkSession)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()

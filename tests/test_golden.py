@@ -113,6 +113,8 @@ def test_moving_avg_matches_numpy(spark):
     padded = np.concatenate([np.repeat(x[0], 3), x, np.repeat(x[-1], 3)])
     ref = np.convolve(padded, np.ones(7) / 7, mode="valid")
     assert np.allclose(got, ref, atol=1e-12)
+    halo = [r["trend"] for r in S.moving_avg(df, ["s"], "v", 7, block=8).orderBy("pos").collect()]
+    assert np.allclose(halo, ref, atol=1e-12)
     with pytest.raises(ValueError):
         S.moving_avg(df, ["s"], "v", 4)
 
@@ -167,3 +169,35 @@ def test_sincos(spark):
         f = math.exp(-(j - j % 2) * math.log(10000.0) / 8)
         ref.append(math.sin(5 * f) if j % 2 == 0 else math.cos(5 * f))
     assert np.allclose(v, ref)
+
+
+def test_prompt_bank_lookup(spark, tmp_path):
+    from tsflow.sources.readers import read_prompt_bank, with_content
+    (tmp_path / "ETT.txt").write_text("ett text\nline two")
+    (tmp_path / "Weather.txt").write_text("weather text")
+    bank = read_prompt_bank(spark, str(tmp_path))
+    df = spark.createDataFrame([("ETTh1",), ("ETTm2",), ("Weather",), ("Other",)], "data string")
+    got = {r["data"]: r["content"] for r in with_content(df, bank, "data").collect()}
+    assert got == {"ETTh1": "ett text\nline two", "ETTm2": "ett text\nline two", "Weather": "weather text",
+                   "Other": None}
+
+
+def test_period_agg_and_shared_lags(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i // 3, i, [float(v) for v in rng.normal(size=12)]) for i in range(9)]
+    df = spark.createDataFrame(rows, "b int, i int, x array<double>").withColumn("r", S.autocorr(F.col("x"), 12))
+    out = df.select("i", "x", S.period_agg(F.col("x"), 12, 1.0, r=F.col("r")).alias("p")).collect()
+    for row in out:
+        x = np.array(row["x"])
+        r = np.fft.irfft(np.abs(np.fft.rfft(x)) ** 2, n=12)
+        k = int(math.log(12))
+        lags = sorted(range(12), key=lambda j: (-round(r[j], 9), j))[:k]
+        w = np.exp(r[lags] - r[lags].max())
+        w = w / w.sum()
+        ref = sum(w[m] * np.roll(x, -lags[m]) for m in range(k))
+        assert np.allclose(row["p"], ref, atol=1e-9)
+    sh = S.shared_lag_corr(df, "b", "r", 12).select("b", S.top_lags(F.col("r_batch"), 3).alias("l")).collect()
+    by = {}
+    for r in sh:
+        by.setdefault(r["b"], set()).add(tuple(r["l"]))
+    assert all(len(v) == 1 for v in by.values())

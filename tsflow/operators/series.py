@@ -16,33 +16,50 @@ def _c(x) -> Column:
 
 # ---------------------------------------------------------------- moving average / decomposition
 def moving_avg(df: DataFrame, keys: Sequence[str], col: str, k: int, pos: str = "pos",
-               name: str = "trend") -> DataFrame:
+               name: str = "trend", block: int | None = None) -> DataFrame:
     """Centred moving average of odd width ``k`` with edge replication.
 
     (sum of the in-range frame + missing slots filled with the first / last value) / k,
-    as window SQL over each series ordered by ``pos`` (0-based, dense).
+    as window SQL over each series ordered by ``pos`` (0-based, dense).  The first /
+    last value and length come from a per-series aggregate (partial, tiny) joined back.
+    ``block`` turns on halo blocks: rows are copied into neighbouring blocks within
+    ``(k-1)/2`` positions, the frame runs per (series, block), and each row is kept in
+    its own block -- a long series becomes many tasks.
     """
     if k % 2 != 1:
         raise ValueError("kernel size must be odd")
+    keys = list(keys)
     h = (k - 1) // 2
-    w = Window.partitionBy(*keys).orderBy(pos)
-    whole = Window.partitionBy(*keys)
-    d = (df.withColumn("_s", F.sum(col).over(w.rowsBetween(-h, h)))
-         .withColumn("_first", F.min_by(F.col(col), F.col(pos)).over(whole))
-         .withColumn("_last", F.max_by(F.col(col), F.col(pos)).over(whole))
-         .withColumn("_n", F.count(F.lit(1)).over(whole)))
+    edges = df.groupBy(*keys).agg(F.min_by(F.col(col), F.col(pos)).alias("_first"),
+                                  F.max_by(F.col(col), F.col(pos)).alias("_last"),
+                                  F.count(F.lit(1)).alias("_n"))
+    src = df
+    part = list(keys)
+    if block is not None:
+        if block < 2 * h:
+            raise ValueError("block must be >= k - 1")
+        lo = F.greatest(F.floor((F.col(pos) - h) / block), F.lit(0)).cast("bigint")
+        hi = F.floor((F.col(pos) + h) / block).cast("bigint")
+        src = df.withColumn("_blk", F.explode(F.sequence(lo, hi)))
+        part.append("_blk")
+    w = Window.partitionBy(*part).orderBy(pos)
+    d = src.withColumn("_s", F.sum(col).over(w.rowsBetween(-h, h)))
+    if block is not None:
+        d = d.where(F.floor(F.col(pos) / block) == F.col("_blk")).drop("_blk")
+    d = d.join(edges, on=keys)
     left = F.greatest(F.lit(0), F.lit(h) - F.col(pos))
     right = F.greatest(F.lit(0), F.lit(h) - (F.col("_n") - 1 - F.col(pos)))
     ma = (F.col("_s") + left * F.col("_first") + right * F.col("_last")) / F.lit(float(k))
     return d.withColumn(name, ma).drop("_s", "_first", "_last", "_n")
 
 
-def decompose(df: DataFrame, keys: Sequence[str], col: str, kernels, pos: str = "pos") -> DataFrame:
+def decompose(df: DataFrame, keys: Sequence[str], col: str, kernels, pos: str = "pos",
+              block: int | None = None) -> DataFrame:
     """trend = moving average (mean of several kernels when a list), seasonal = x - trend."""
     ks = [kernels] if isinstance(kernels, int) else list(kernels)
     d = df
     for i, k in enumerate(ks):
-        d = moving_avg(d, keys, col, k, pos, name=f"_t{i}")
+        d = moving_avg(d, keys, col, k, pos, name=f"_t{i}", block=block)
     trend = sum((F.col(f"_t{i}") for i in range(len(ks))), F.lit(0.0)) / float(len(ks))
     d = d.withColumn("trend", trend).withColumn("seasonal", F.col(col) - F.col("trend"))
     return d.drop(*[f"_t{i}" for i in range(len(ks))])
@@ -88,7 +105,7 @@ def period_agg(x: Column, length: int, factor: float = 1.0, r: Column | None = N
     """Parameter-free period aggregation (inference form): take k = int(factor * ln T) top lags,
     softmax their correlations and sum the rolled series weighted by them."""
     k = max(1, int(factor * math.log(length)))
-    rr = r if r is not None else F.transform(autocorr(x, length), lambda v: v / float(length))
+    rr = r if r is not None else autocorr(x, length)
     pairs = F.transform(rr, lambda v, i: F.struct(F.round(-v, 9).alias("nv"), i.alias("lag"), v.alias("r")))
     top = F.slice(F.array_sort(pairs), 1, k)
     mx = F.aggregate(top, F.lit(float("-inf")), lambda a, s: F.greatest(a, s["r"]))
@@ -99,6 +116,15 @@ def period_agg(x: Column, length: int, factor: float = 1.0, r: Column | None = N
                               * F.element_at(x, F.pmod(t + s["lag"], F.lit(length)) + 1)))
 
 
+def shared_lag_corr(df: DataFrame, batch: str, r: str, length: int) -> DataFrame:
+    """Training-time variant: the correlation averaged over each batch, so every series of a
+    batch shares the same top lags (a plain group-by on the batch id, element-wise mean)."""
+    e = df.select(batch, F.posexplode(r).alias("_i", "_v"))
+    m = e.groupBy(batch, "_i").agg(F.avg("_v").alias("_v"))
+    arr = m.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a"))
+    return df.join(arr.select(batch, F.transform("_a", lambda s: s["_v"]).alias("r_batch")), on=batch)
+
+
 def align_len(a: Column, b: Column) -> Column:
     """Bring ``b`` to the length of ``a``: zero-pad when shorter, truncate when longer."""
     return F.when(F.size(b) >= F.size(a), F.slice(b, 1, F.size(a))).otherwise(

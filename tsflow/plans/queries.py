@@ -46,6 +46,7 @@ MULTI_K = (13, 25)
 SINCOS_D = 16
 BS = 8
 TOPK = 5
+HALO_BLOCK = 256              # rows per halo block for long single series (>= 4 x window length)
 KEYS = fx.CYCLE_KEYS
 CH = fx.CYCLE_CHANNELS
 DESCRIPTION = "Customer events per user, one value per event."
@@ -104,10 +105,10 @@ def window_mean(x_long: DataFrame, keys) -> DataFrame:
     return a.select(*keys, (F.aggregate("value", F.lit(0.0), lambda acc, v: acc + v) / F.size("value")).alias("yhat"))
 
 
-def fc_table(spark, sf) -> DataFrame:
+def fc_table(spark, sf, bundle=None) -> DataFrame:
     """Forecast rows for metrics: masked windows, forecast = window mean, horizon steps."""
     seq, label, pred = MASKED
-    long, w = cycle_windows(spark, sf, "masked", seq, label, pred)
+    long, w = bundle or cycle_windows(spark, sf, "masked", seq, label, pred)
     mean = window_mean(long.where(F.col("part") == "x"), KEYS)
     y = long.where((F.col("part") == "y") & (F.col("step") >= label))
     return (y.join(mean, on=KEYS).join(w.select(*KEYS, "split", "split_rank"), on=KEYS)
@@ -116,9 +117,9 @@ def fc_table(spark, sf) -> DataFrame:
                     F.col("value").alias("y"), "yhat", "mask"))
 
 
-def fc_insample(spark, sf) -> DataFrame:
+def fc_insample(spark, sf, bundle=None) -> DataFrame:
     seq, label, pred = MASKED
-    long, _ = cycle_windows(spark, sf, "masked", seq, label, pred)
+    long, _ = bundle or cycle_windows(spark, sf, "masked", seq, label, pred)
     return long.where(F.col("part") == "x").select(*KEYS, F.col("step").alias("pos"), "value")
 
 
@@ -287,7 +288,8 @@ def q_revin_denorm(spark, sf):
 def q_sliding_windows(spark, sf):
     seq, label, pred = SLIDE
     long = q_melt_channels(spark, sf)
-    w = sliding_windows(long, ["channel"], "value", seq, label, pred)
+    # one long series per channel: halo blocks spread each channel over many tasks
+    w = sliding_windows(long, ["channel"], "value", seq, label, pred, block=HALO_BLOCK)
     return explode_windows(w, ["channel"])
 
 
@@ -295,7 +297,9 @@ def q_window_marks(spark, sf):
     seq, label, pred = MARKS
     d = T_daily(spark, sf)
     d = d.select("pos", "ot", F.struct(*calendar_mark_cols(F.col("date").cast("timestamp"))).alias("mk"))
-    w = sliding_windows(d.withColumn("_one", F.lit(1)), ["_one"], "ot", seq, label, pred, extra=["mk"])
+    # a single series: without halo blocks the whole table would be one window partition
+    w = sliding_windows(d.withColumn("_one", F.lit(1)), ["_one"], "ot", seq, label, pred, extra=["mk"],
+                        block=HALO_BLOCK)
     x = w.select("window_id", F.lit("x").alias("part"), F.arrays_zip(F.col("x").alias("v"), F.col("mk_x").alias("m")).alias("z"))
     y = w.select("window_id", F.lit("y").alias("part"), F.arrays_zip(F.col("y").alias("v"), F.col("mk_y").alias("m")).alias("z"))
     e = x.unionByName(y).select("window_id", "part", F.posexplode("z").alias("step", "e"))
@@ -489,8 +493,9 @@ def q_mape_loss(spark, sf):
 
 
 def q_mase_loss(spark, sf):
-    return M.mase_loss(fc_table(spark, sf), fc_insample(spark, sf), KEYS, "yhat", "y", "mask", "value", 1,
-                       by=["split"])
+    bundle = cycle_windows(spark, sf, "masked", *MASKED)
+    return M.mase_loss(fc_table(spark, sf, bundle), fc_insample(spark, sf, bundle), KEYS, "yhat", "y", "mask",
+                       "value", 1, by=["split"])
 
 
 def q_metrics_batched(spark, sf):
@@ -633,7 +638,7 @@ def q_fc_linear(spark, sf):
     xa = to_arrays(long.where(F.col("part") == "x"), KEYS, cols=("value",), part=None).withColumnRenamed("value", "x")
     ya = to_arrays(long.where((F.col("part") == "y") & (F.col("step") >= label)), KEYS, cols=("value",),
                    part=None).withColumnRenamed("value", "y")
-    win = xa.join(ya, on=KEYS).join(w.select(*KEYS, "split"), on=KEYS)
+    win = materialize(xa.join(ya, on=KEYS).join(w.select(*KEYS, "split"), on=KEYS))
     coef = fcst.fit_linear(win.where(F.col("split") == "train"), "x", "y", seq, pred, ridge=1e-6)
     out = fcst.forecast_linear(win.where(F.col("split") == "test"), coef, "x", seq, pred)
     return _explode_fc(out)

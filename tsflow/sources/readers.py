@@ -62,3 +62,22 @@ def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None
         w.option("header", "true").csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def read_prompt_bank(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt bank: one text file per dataset name -> ``(name, content)`` (whole files)."""
+    from pyspark.sql import functions as F
+    d = spark.read.text(f"{folder.rstrip('/')}/*.txt", wholetext=True).withColumn("_f", F.input_file_name())
+    name = F.regexp_extract(F.col("_f"), r"([^/]+)\.txt$", 1)
+    return d.select(name.alias("name"), F.col("value").alias("content"))
+
+
+def with_content(df: DataFrame, bank: DataFrame, name_col: str) -> DataFrame:
+    """Attach the bank text for each row's dataset name; every ``ETT*`` name shares ``ETT``.
+
+    The bank has one row per file (bounded by the number of datasets) and is broadcast.
+    """
+    from pyspark.sql import functions as F
+    key = F.when(F.col(name_col).contains("ETT"), F.lit("ETT")).otherwise(F.col(name_col))
+    return df.withColumn("_bank", key).join(F.broadcast(bank.withColumnRenamed("name", "_bank")), on="_bank",
+                                            how="left").drop("_bank")

@@ -12,7 +12,7 @@ from tsflow.plans.compare import compare, duck
 
 FULL = os.environ.get("TSFLOW_FULL") == "1"
 SF = "/root/testdata/sf0.01" if FULL else "/root/testdata/sf0.001"
-SUBSET = ["scan_cycles", "split_groups", "masked_windows", "cut_windows", "sliding_windows", "time_features",
+SUBSET = ["scan_cycles", "cycle_features", "result_roundtrip", "fc_linear_1", "period_agg_batch", "split_groups", "masked_windows", "cut_windows", "sliding_windows", "time_features",
           "moving_avg", "prompt_text", "point_adjust", "metrics_masked", "m4_owa", "result_border", "eval_report"]
 NAMES = sorted(E.oracle_sql()) if FULL else SUBSET
 

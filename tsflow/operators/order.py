@@ -34,13 +34,11 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
         if first_bucket:
             raise ValueError("first_bucket needs a bucket expression")
         return out
-    # one shuffle of the rows on (keys, bucket): number rows locally, read the bucket
-    # counts off that already-partitioned output, prefix-sum the small count table per
-    # key and add the offsets back (the count table is one row per (key, bucket)).
+    # counts per (keys, bucket): a partial aggregate over the key columns only, so its
+    # shuffle carries one row per (key, bucket) per task; prefix sums over that small
+    # table give each bucket's offset; rows are numbered inside (keys, bucket) only.
     b = df.withColumn("_bkt", bucket)
-    wl = Window.partitionBy(*keys, "_bkt").orderBy(*_cols(order))
-    local = b.withColumn("_ln", F.row_number().over(wl))
-    counts = local.groupBy(*keys, "_bkt").agg(F.max("_ln").alias("_n"))
+    counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     wk = Window.partitionBy(*keys).orderBy("_bkt") if keys else Window.orderBy("_bkt")
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -49,9 +47,10 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
         offs = offs.withColumn(first_bucket, F.min("_bkt").over(Window.partitionBy(*keys)) if keys
                                else F.min("_bkt").over(Window.partitionBy()))
         sel.append(first_bucket)
-    joined = local.join(offs.select(*sel), on=[*keys, "_bkt"], how="inner")
-    return (joined.withColumn(name, (F.col("_off") + F.col("_ln") - 1).cast("bigint"))
-            .drop("_bkt", "_off", "_ln"))
+    joined = b.join(offs.select(*sel), on=[*keys, "_bkt"], how="inner")
+    wl = Window.partitionBy(*keys, "_bkt").orderBy(*_cols(order))
+    return (joined.withColumn(name, (F.col("_off") + F.row_number().over(wl) - 1).cast("bigint"))
+            .drop("_bkt", "_off"))
 
 
 def global_rank(df: DataFrame, order: Sequence, bucket: Column, name: str = "rank") -> DataFrame:

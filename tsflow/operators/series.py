@@ -101,12 +101,19 @@ def top_lags(r: Column, k: int = 5) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s: s["lag"])
 
 
-def period_agg(x: Column, length: int, factor: float = 1.0, r: Column | None = None) -> Column:
-    """Parameter-free period aggregation (inference form): take k = int(factor * ln T) top lags,
-    softmax their correlations and sum the rolled series weighted by them."""
+def period_agg(x: Column, length: int, factor: float = 1.0, r: Column | None = None,
+               rank_r: Column | None = None) -> Column:
+    """Parameter-free period aggregation: take k = int(factor * ln T) top lags, softmax the
+    series' correlations at those lags and sum the rolled series weighted by them.
+
+    ``rank_r`` chooses the lags from another correlation (the batch mean, training form:
+    lags shared by a batch, weights still per series); by default the series' own ``r``.
+    """
     k = max(1, int(factor * math.log(length)))
     rr = r if r is not None else autocorr(x, length)
-    pairs = F.transform(rr, lambda v, i: F.struct(F.round(-v, 9).alias("nv"), i.alias("lag"), v.alias("r")))
+    rk = rank_r if rank_r is not None else rr
+    pairs = F.transform(F.arrays_zip(rk.alias("q"), rr.alias("v")),
+                        lambda z, i: F.struct(F.round(-z["q"], 9).alias("nv"), i.alias("lag"), z["v"].alias("r")))
     top = F.slice(F.array_sort(pairs), 1, k)
     mx = F.aggregate(top, F.lit(float("-inf")), lambda a, s: F.greatest(a, s["r"]))
     den = F.aggregate(top, F.lit(0.0), lambda a, s: a + F.exp(s["r"] - mx))

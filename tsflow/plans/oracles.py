@@ -509,3 +509,32 @@ ORACLES["eval_report"] = q(["er_w", "sg"], f"""
          b AS (SELECT split, batch_id, avg((yhat - y) * (yhat - y)) AS mse_loss, {EPSB} FROM d GROUP BY 1, 2)
     SELECT split, avg(mse_loss) AS mse_loss, avg(mse) AS mse, avg(mae) AS mae, avg(rmse) AS rmse, avg(mape) AS mape,
            avg(mspe) AS mspe, count(*) AS n_batches FROM b GROUP BY 1""")
+
+
+_feats = ["cycle_index", *CH]
+cte("cf_rows", ["cycles", "sg"], "SELECT c.pos, CAST(c.cycle_index AS DOUBLE) AS cycle_index, "
+    + ", ".join(f"c.{c}" for c in CH) + ", g.split FROM cycles c JOIN sg g USING (battery_id, cycle_index)")
+ORACLES["cycle_features"] = q(["cf_rows"], f"""
+    WITH s AS (SELECT {", ".join([f"avg({c}) AS m_{c}" for c in _feats]
+                                 + [f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}" for c in _feats])}
+               FROM cf_rows WHERE split = 'train')
+    SELECT split, pos, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in _feats)} FROM cf_rows, s""")
+ORACLES["result_roundtrip"] = ORACLES["result_table"]
+ORACLES["fc_linear_1"] = q(["w_cut", "sg"], f"""
+    WITH x AS (SELECT battery_id, cycle_index, value AS x FROM w_cut WHERE part = 'x' AND step = {U_SEQ - 1}),
+         y AS (SELECT battery_id, cycle_index, value AS y FROM w_cut WHERE part = 'y' AND step = {U_LABEL})
+    SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept
+    FROM x JOIN y USING (battery_id, cycle_index) JOIN sg USING (battery_id, cycle_index) WHERE split = 'train'""")
+ORACLES["period_agg_batch"] = q(["ev_ac", "evw_norm"], f"""
+    WITH b AS (SELECT series_id, CAST(floor((row_number() OVER (ORDER BY series_id) - 1) / {Q.BS}) AS BIGINT) AS batch_id
+               FROM (SELECT DISTINCT series_id FROM ev_ac)),
+         rb AS (SELECT b.batch_id, a.lag, avg(a.r) AS rb FROM ev_ac a JOIN b USING (series_id) GROUP BY 1, 2),
+         tl AS (SELECT batch_id, lag FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY round(-rb, 9), lag) AS k FROM rb)
+                WHERE k <= {max(1, int(math.log(EV_L)))}),
+         t AS (SELECT a.series_id, a.lag, a.r FROM ev_ac a JOIN b USING (series_id) JOIN tl ON tl.batch_id = b.batch_id AND tl.lag = a.lag),
+         e AS (SELECT series_id, lag, exp(r - max(r) OVER (PARTITION BY series_id)) AS ex FROM t),
+         wt AS (SELECT series_id, lag, ex / sum(ex) OVER (PARTITION BY series_id) AS w FROM e)
+    SELECT x.series_id, CAST(x.step AS BIGINT) AS t, sum(wt.w * v.value) AS value
+    FROM evw_norm x JOIN wt ON wt.series_id = x.series_id
+    JOIN evw_norm v ON v.series_id = x.series_id AND v.step = (x.step + wt.lag) % {EV_L}
+    GROUP BY 1, 2""")

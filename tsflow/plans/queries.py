@@ -15,6 +15,7 @@ from tsflow.operators import metrics as M
 from tsflow.operators import results as R
 from tsflow.operators import series as S
 from tsflow.operators.m4 import m4_owa, m4_regroup, m4_scores
+from tsflow.operators.order import global_rank
 from tsflow.operators.scaling import fit_scaler, revin, scale, unrevin, unscale
 from tsflow.operators.splits import split_fixed, split_groups, split_ratio, with_batches
 from tsflow.operators.windows import (
@@ -183,6 +184,16 @@ def q_feature_modes(spark, sf):
     return d.select(F.col("date").cast("string").alias("date"), "pos", *others, "ot")
 
 
+def q_cycle_features(spark, sf):
+    """Key column dropped (``drop_bid``), the other key scaled as a feature with the train-fitted scaler."""
+    cyc, w = with_splits(spark, sf)
+    rows = cyc.join(w.select(*KEYS, "split"), on=KEYS).drop("battery_id") \
+              .withColumn("cycle_index", F.col("cycle_index").cast("double"))
+    feats = ["cycle_index", *CH]
+    sc = fit_scaler(rows, feats, where=F.col("split") == "train")
+    return scale(rows, sc, feats).select("split", "pos", *feats)
+
+
 def q_long_cycles(spark, sf):
     cyc, lens = kept_lengths(spark, sf)
     return cyc.join(lens, on=KEYS).select(*KEYS, "pos", "n")
@@ -387,16 +398,19 @@ def q_sincos_calendar(spark, sf):
 
 
 # ---------------------------------------------------------------- series features
+# halo blocks: a user holding a large share of all events still spreads over many tasks
 def q_moving_avg(spark, sf):
-    return S.moving_avg(T_ev(spark, sf), ["series_id"], "value", MA_K).select("series_id", "pos", "trend")
+    return S.moving_avg(T_ev(spark, sf), ["series_id"], "value", MA_K, block=HALO_BLOCK).select(
+        "series_id", "pos", "trend")
 
 
 def q_decompose(spark, sf):
-    return S.decompose(T_ev(spark, sf), ["series_id"], "value", MA_K).select("series_id", "pos", "trend", "seasonal")
+    return S.decompose(T_ev(spark, sf), ["series_id"], "value", MA_K, block=HALO_BLOCK).select(
+        "series_id", "pos", "trend", "seasonal")
 
 
 def q_decompose_multi(spark, sf):
-    return S.decompose(T_ev(spark, sf), ["series_id"], "value", list(MULTI_K)).select(
+    return S.decompose(T_ev(spark, sf), ["series_id"], "value", list(MULTI_K), block=HALO_BLOCK).select(
         "series_id", "pos", "trend", "seasonal")
 
 
@@ -433,6 +447,15 @@ def q_period_agg(spark, sf):
     return a.select("series_id", F.posexplode(v).alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
 
 
+def q_period_agg_batch(spark, sf):
+    """Training form: top lags shared by each batch of 8 series (mean correlation), weights per series."""
+    a = _ev_autocorr(spark, sf)
+    a = with_batches(global_rank(a, ["series_id"], bucket=F.floor(F.col("series_id") / 1024), name="rk"), "rk", BS)
+    a = S.shared_lag_corr(a, "batch_id", "r", EV_L)
+    v = S.period_agg(F.col("x"), EV_L, 1.0, r=F.col("r"), rank_r=F.col("r_batch"))
+    return a.select("series_id", F.posexplode(v).alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
+
+
 def q_window_stats(spark, sf):
     a = ev_last(spark, sf, normalize=False)
     return a.select("series_id", *S.window_stats_cols(F.col("x")))
@@ -565,6 +588,17 @@ def q_result_table(spark, sf):
     return result_rows(spark, sf)
 
 
+def q_result_roundtrip(spark, sf):
+    """Result sink: written partitioned by a batch bucket under the shared checkpoint folder, read back."""
+    from tsflow.session import checkpoint_dir
+    from tsflow.sources.readers import write_result
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tsflow-results/{uuid.uuid4().hex}"
+    res = result_rows(spark, sf).withColumn("bucket", F.pmod(F.xxhash64("batch"), F.lit(16)))
+    write_result(res, path, partition_by=["bucket"])
+    return spark.read.parquet(path).select("batch", "seq", "id", "y", "yhat")
+
+
 def q_result_dif(spark, sf):
     return R.with_dif(result_rows(spark, sf))
 
@@ -644,10 +678,22 @@ def q_fc_linear(spark, sf):
     return _explode_fc(out)
 
 
+def q_fc_linear_1(spark, sf):
+    """Least-squares forecaster with seq = pred = 1 (last input -> first horizon value), fitted
+    on the train windows: its two coefficients have a closed SQL form (regression slope/intercept)."""
+    seq, label, pred = UNMASKED
+    long, w = cycle_windows(spark, sf, "cut", seq, label, pred)
+    x = long.where((F.col("part") == "x") & (F.col("step") == seq - 1)).select(*KEYS, F.array("value").alias("x"))
+    y = long.where((F.col("part") == "y") & (F.col("step") == label)).select(*KEYS, F.array("value").alias("y"))
+    win = x.join(y, on=KEYS).join(w.where(F.col("split") == "train").select(*KEYS), on=KEYS)
+    coef = fcst.fit_linear(win, "x", "y", 1, 1)
+    return coef.select(F.col("coef")[0].alias("slope"), F.col("coef")[1].alias("intercept"))
+
+
 QUERIES = {
     # sources / projections / joins
     "scan_wide": q_scan_wide, "scan_cycles": q_scan_cycles, "m4_load": q_m4_load,
-    "feature_modes": q_feature_modes, "long_cycles": q_long_cycles, "melt_channels": q_melt_channels,
+    "feature_modes": q_feature_modes, "cycle_features": q_cycle_features, "long_cycles": q_long_cycles, "melt_channels": q_melt_channels,
     "horizon_slice": q_horizon_slice,
     # splits / batching
     "split_fixed": q_split_fixed, "split_ratio": q_split_ratio, "split_pretrain": q_split_pretrain,
@@ -667,6 +713,7 @@ QUERIES = {
     # series
     "moving_avg": q_moving_avg, "decompose": q_decompose, "decompose_multi": q_decompose_multi,
     "decomp_init": q_decomp_init, "autocorr": q_autocorr, "top_lags": q_top_lags, "period_agg": q_period_agg,
+    "period_agg_batch": q_period_agg_batch,
     "window_stats": q_window_stats, "prompt_text": q_prompt_text, "point_adjust": q_point_adjust,
     "accuracy": q_accuracy,
     # metrics
@@ -677,9 +724,9 @@ QUERIES = {
     # M4
     "m4_group_scores": q_m4_group_scores, "mase": q_mase, "m4_summary": q_m4_summary, "m4_owa": q_m4_owa,
     # results
-    "result_table": q_result_table, "result_dif": q_result_dif, "result_nonzero": q_result_nonzero,
+    "result_table": q_result_table, "result_roundtrip": q_result_roundtrip, "result_dif": q_result_dif, "result_nonzero": q_result_nonzero,
     "endpoint_error": q_endpoint_error, "error_quantiles": q_error_quantiles, "process_error": q_process_error,
     "series_rmse": q_series_rmse, "worst_series": q_worst_series, "result_border": q_result_border,
     # forecasters
-    "fc_mean": q_fc_mean, "score_windows": q_score_windows, "fc_revin": q_fc_revin, "fc_linear": q_fc_linear,
+    "fc_mean": q_fc_mean, "score_windows": q_score_windows, "fc_revin": q_fc_revin, "fc_linear": q_fc_linear, "fc_linear_1": q_fc_linear_1,
 }

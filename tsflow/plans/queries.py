@@ -54,30 +54,51 @@ DESCRIPTION = "Customer events per user, one value per event."
 
 
 # ---------------------------------------------------------------- shared sub-plans
-# Derived tables read several times by one query are materialized once (checkpoint into
-# the shared checkpoint folder) instead of being re-derived at every reference.
+# The fixtures are the operators' input tables.  Each is derived from the driver tables
+# once per session and source folder and stored in the shared checkpoint folder (like a
+# table a user keeps), so every query reads stored partitions instead of re-deriving them.
+# Derived tables read several times inside one query are materialized the same way.
+_FIXTURES: dict = {}
+
+
+def fixture(spark, sf, name: str):
+    key = (id(spark), spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    df = _FIXTURES.get(key)
+    if df is None:
+        df = materialize(getattr(fx, name)(spark, sf))
+        _FIXTURES[key] = df
+    return df
+
+
+def clear_fixtures() -> None:
+    _FIXTURES.clear()
+
+
 def T_cycles(spark, sf):
-    return materialize(fx.cycles(spark, sf))
+    return fixture(spark, sf, "cycles")
 
 
 def T_ev(spark, sf):
-    return materialize(fx.ev(spark, sf))
+    return fixture(spark, sf, "ev")
 
 
 def T_hourly(spark, sf):
-    return materialize(fx.hourly(spark, sf))
+    return fixture(spark, sf, "hourly")
 
 
 def T_daily(spark, sf):
-    return materialize(fx.daily(spark, sf))
+    return fixture(spark, sf, "daily")
 
 
 def T_m4c(spark, sf):
-    return materialize(fx.m4c(spark, sf))
+    return fixture(spark, sf, "m4c")
 
 
 def T_anom(spark, sf):
-    return materialize(fx.anom(spark, sf))
+    return fixture(spark, sf, "anom")
+
+
+FIXTURE_NAMES = ["cycles", "ev", "hourly", "daily", "m4c", "anom"]
 
 
 def kept_lengths(spark, sf):

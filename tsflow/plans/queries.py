@@ -62,7 +62,7 @@ _FIXTURES: dict = {}
 
 
 def fixture(spark, sf, name: str):
-    key = (id(spark), spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    key = (id(spark), sf.rstrip("/"), name)
     df = _FIXTURES.get(key)
     if df is None:
         df = materialize(getattr(fx, name)(spark, sf))

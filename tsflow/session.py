@@ -46,11 +46,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the context's, else ``spark.checkpoint.dir``; only when
     neither is set (tests, local runs) a scratch folder is created."""
-    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return conf or ""
     cur = sc.getCheckpointDir()
     if cur:
         return cur
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    conf = conf or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
         conf = os.environ.get("TSFLOW_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tsflow-ckpt-")
     sc.setCheckpointDir(conf)

@@ -22,7 +22,7 @@ from tsflow.operators.windows import (
     cut_windows, draw_cut, explode_windows, last_windows, length_histogram, patches, series_lengths,
     sliding_windows, to_arrays, window_rejects,
 )
-from tsflow.session import materialize
+from tsflow.session import materialize, store_table
 from tsflow.sources import fixtures as fx
 
 # ---------------------------------------------------------------- parameters (mirrored in oracles.py)
@@ -61,11 +61,18 @@ DESCRIPTION = "Customer events per user, one value per event."
 _FIXTURES: dict = {}
 
 
+# series keys of each fixture: the stored table is bucketed and sorted on them
+FIXTURE_KEYS = {"cycles": (KEYS, ["pos"]), "ev": (["series_id"], ["pos"]), "m4c": (["id"], ["pos"]),
+                "anom": (["series_id"], ["pos"]), "hourly": (None, None), "daily": (None, None)}
+
+
 def fixture(spark, sf, name: str):
     key = (id(spark), sf.rstrip("/"), name)
     df = _FIXTURES.get(key)
     if df is None:
-        df = materialize(getattr(fx, name)(spark, sf))
+        keys, order = FIXTURE_KEYS[name]
+        df = store_table(getattr(fx, name)(spark, sf), name, bucket_by=keys,
+                         sort_by=(keys + order) if keys else None)
         _FIXTURES[key] = df
     return df
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -75,3 +76,30 @@ def materialize(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+def store_table(df: DataFrame, name: str, bucket_by: list[str] | None = None,
+                buckets: int | None = None, sort_by: list[str] | None = None) -> DataFrame:
+    """Write a derived input table as parquet under the shared checkpoint folder and read it back.
+
+    Later scans get column pruning and filter pushdown.  With ``bucket_by`` the table is
+    bucketed (and sorted) on those keys as an external table, so group-bys and joins on
+    them need no shuffle of this side.  Without a writable catalog it falls back to plain
+    parquet.
+    """
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/") or "/tmp"
+    path = f"{base}/tsflow-tables/{name}-{uuid.uuid4().hex[:12]}"
+    if bucket_by:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        table = f"tsflow_{name}_{uuid.uuid4().hex[:12]}"
+        try:
+            w = df.write.mode("overwrite").option("path", path).bucketBy(n, *bucket_by)
+            if sort_by:
+                w = w.sortBy(*sort_by)
+            w.format("parquet").saveAsTable(table)
+            return spark.table(table)
+        except Exception:  # noqa: BLE001 -- no usable catalog: plain files
+            pass
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -108,3 +108,44 @@ def test_score_windows_mean_predictor(spark):
     a = fcst.score_windows(df, fcst.mean_predictor(3), "x", 3, ["id"])
     b = df.select("id", fcst.forecast_mean(F.col("x"), 3).alias("yhat"))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_fit_linear_per_group(spark):
+    rng = np.random.default_rng(2)
+    L, P = 4, 2
+    rows, ref = [], {}
+    for g in ("a", "b"):
+        X = rng.normal(size=(120, L))
+        Y = X @ rng.normal(size=(L, P)) + (1.0 if g == "a" else -2.0)
+        rows += [(g, X[i].tolist(), Y[i].tolist()) for i in range(120)]
+        ref[g] = np.linalg.lstsq(np.hstack([X, np.ones((120, 1))]), Y, rcond=None)[0]
+    df = spark.createDataFrame(rows, "g string, x array<double>, y array<double>").repartition(3)
+    coef = {r["g"]: np.array(r["coef"]).reshape(L + 1, P) for r in fcst.fit_linear(df, "x", "y", L, P, by=["g"]).collect()}
+    for g in ref:
+        assert np.allclose(coef[g], ref[g], atol=1e-8)
+
+
+def test_split_ratio_per_series_and_drop_last(spark):
+    from tsflow.operators.splits import with_batches
+    df = spark.createDataFrame([(s, p) for s in range(2) for p in range(50 + 50 * s)], "s int, pos long")
+    r = {(x["s"], x["split"]): x["n"] for x in split_ratio(df, "pos", 5, keys=["s"])
+         .groupBy("s", "split").agg(F.count("*").alias("n")).collect()}
+    assert r[(0, "train")] == 35 and r[(1, "train")] == 70 and r[(1, "test")] == 25
+    b = with_batches(spark.range(21).withColumnRenamed("id", "rk").withColumn("n", F.lit(21)), "rk", 8,
+                     n_col="n", drop_last=True)
+    assert b.count() == 16 and b.agg(F.max("batch_id")).first()[0] == 1
+
+
+def test_shortest_series_last_of_ties(spark):
+    from tsflow.operators.windows import shortest_series
+    lens = spark.createDataFrame([(1, 5), (2, 3), (3, 3), (4, 9)], "k int, n long")
+    r = shortest_series(lens, ["k"]).first()
+    assert (r["k"], r["n"]) == (3, 3)
+
+
+def test_decoder_inputs(spark):
+    from tsflow.operators.windows import decoder_input, decoder_input_from_x
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0])], "x array<double>, y array<double>")
+    r = df.select(decoder_input(F.col("y"), 2, 3).alias("a"), decoder_input_from_x(F.col("x"), 2, 3).alias("b")).first()
+    assert r["a"] == [5.0, 6.0, 0.0, 0.0, 0.0]
+    assert r["b"] == [3.0, 4.0, 0.0, 0.0, 0.0]

@@ -48,7 +48,7 @@ def _gram_partials(x_col: str, y_col: str, by: Sequence[str], L: int, P: int):
         for k, (xtx, xty) in acc.items():
             flat = np.concatenate([xtx.ravel(), xty.ravel()])
             rows.append(list(k) + [flat.tolist()])
-        yield pd.DataFrame(rows, columns=[*by, "g"]) if rows else pd.DataFrame(columns=[*by, "g"])
+        yield pd.DataFrame(rows, columns=[*by, "_gram"]) if rows else pd.DataFrame(columns=[*by, "_gram"])
     return fn
 
 
@@ -61,16 +61,16 @@ def fit_linear(windows: DataFrame, x: str, y: str, seq: int, pred: int, by: Sequ
     """
     by = list(by)
     L, P = seq, pred
-    schema = T.StructType([*[windows.schema[b] for b in by], T.StructField("g", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*[windows.schema[b] for b in by], T.StructField("_gram", T.ArrayType(T.DoubleType()))])
     parts = windows.select(*by, x, y).mapInPandas(_gram_partials(x, y, by, L, P), schema=schema)
     n = (L + 1) * (L + 1) + (L + 1) * P
-    summed = (parts.select(*by, F.posexplode("g").alias("i", "v"))
-              .groupBy(*by, "i").agg(F.sum("v").alias("v")))
+    summed = (parts.select(*by, F.posexplode("_gram").alias("_i", "_v"))
+              .groupBy(*by, "_i").agg(F.sum("_v").alias("_v")))
     # bounded: one (L+1)x(L+1+P) system per group -- the solve is the only driver step
-    sys_rows = summed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).collect()
+    sys_rows = summed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_s")).collect()
     out = []
     for r in sys_rows:
-        vals = np.array([e["v"] for e in r["s"]], dtype=float)
+        vals = np.array([e["_v"] for e in r["_s"]], dtype=float)
         assert vals.size == n
         xtx = vals[: (L + 1) ** 2].reshape(L + 1, L + 1)
         xty = vals[(L + 1) ** 2:].reshape(L + 1, P)

@@ -538,3 +538,12 @@ ORACLES["period_agg_batch"] = q(["ev_ac", "evw_norm"], f"""
     FROM evw_norm x JOIN wt ON wt.series_id = x.series_id
     JOIN evw_norm v ON v.series_id = x.series_id AND v.step = (x.step + wt.lag) % {EV_L}
     GROUP BY 1, 2""")
+
+ORACLES["scaler_long"] = q(["melt"], f"""
+    WITH s AS (SELECT channel, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS sd
+               FROM melt WHERE pos < {Q.SCALER_LONG_TRAIN} GROUP BY 1)
+    SELECT pos, channel, (value - m) / sd AS value FROM melt JOIN s USING (channel)""")
+ORACLES["time_features_daily"] = q(["daily"], """
+    SELECT pos, (isodow(date) - 1) / CAST(6 AS DOUBLE) - 0.5 AS day_of_week,
+           (day(date) - 1) / CAST(30 AS DOUBLE) - 0.5 AS day_of_month,
+           (dayofyear(date) - 1) / CAST(365 AS DOUBLE) - 0.5 AS day_of_year FROM daily""")

@@ -16,7 +16,7 @@ from tsflow.operators import results as R
 from tsflow.operators import series as S
 from tsflow.operators.m4 import m4_owa, m4_regroup, m4_scores
 from tsflow.operators.order import global_rank
-from tsflow.operators.scaling import fit_scaler, revin, scale, unrevin, unscale
+from tsflow.operators.scaling import fit_scaler, fit_scaler_long, revin, scale, scale_long, unrevin, unscale
 from tsflow.operators.splits import split_fixed, split_groups, split_ratio, with_batches
 from tsflow.operators.windows import (
     cut_windows, draw_cut, explode_windows, last_windows, length_histogram, patches, series_lengths,
@@ -47,6 +47,7 @@ MULTI_K = (13, 25)
 SINCOS_D = 16
 BS = 8
 TOPK = 5
+SCALER_LONG_TRAIN = 480       # hours used to fit the per-channel scaler
 HALO_BLOCK = 256              # rows per halo block for long single series (>= 4 x window length)
 KEYS = fx.CYCLE_KEYS
 CH = fx.CYCLE_CHANNELS
@@ -296,6 +297,13 @@ def q_scaler_apply(spark, sf):
     return scale(d.select("pos", *fx.DAILY_CHANNELS), sc, fx.DAILY_CHANNELS)
 
 
+def q_scaler_long(spark, sf):
+    """Channel-independent (long form) scaler: per-channel stats on the first 480 hours, applied to all."""
+    m = q_melt_channels(spark, sf)
+    sc = fit_scaler_long(m, "channel", "value", where=F.col("pos") < SCALER_LONG_TRAIN)
+    return scale_long(m, sc, "channel", "value")
+
+
 def q_scaler_inverse(spark, sf):
     d, sc = _daily_scaler(spark, sf)
     s = scale(d.select("pos", *fx.DAILY_CHANNELS), sc, fx.DAILY_CHANNELS)
@@ -412,6 +420,11 @@ def q_time_features(spark, sf):
     return e.select("series_id", "pos", *time_feature_cols("ts", "15min"))
 
 
+def q_time_features_daily(spark, sf):
+    d = T_daily(spark, sf)
+    return d.select("pos", *time_feature_cols(F.col("date").cast("timestamp"), "D"))
+
+
 def q_sincos_position(spark, sf):
     h = T_hourly(spark, sf)
     return h.select("pos", F.posexplode(sincos(F.col("pos"), SINCOS_D)).alias("j", "value")) \
@@ -729,6 +742,7 @@ QUERIES = {
     "batches": q_batches,
     # scaling
     "scaler_fit": q_scaler_fit, "scaler_apply": q_scaler_apply, "scaler_inverse": q_scaler_inverse,
+    "scaler_long": q_scaler_long,
     "revin_norm": q_revin_norm, "revin_last": q_revin_last, "revin_denorm": q_revin_denorm,
     # windows
     "sliding_windows": q_sliding_windows, "window_marks": q_window_marks, "cut_windows": q_cut_windows,
@@ -737,6 +751,7 @@ QUERIES = {
     "length_histogram": q_length_histogram, "window_rejects": q_window_rejects,
     # calendar
     "calendar_marks": q_calendar_marks, "time_features": q_time_features,
+    "time_features_daily": q_time_features_daily,
     "sincos_position": q_sincos_position, "sincos_calendar": q_sincos_calendar,
     # series
     "moving_avg": q_moving_avg, "decompose": q_decompose, "decompose_multi": q_decompose_multi,

@@ -186,7 +186,7 @@ def test_period_agg_and_shared_lags(spark):
     rng = np.random.default_rng(5)
     rows = [(i // 3, i, [float(v) for v in rng.normal(size=12)]) for i in range(9)]
     df = spark.createDataFrame(rows, "b int, i int, x array<double>").withColumn("r", S.autocorr(F.col("x"), 12))
-    out = df.select("i", "x", S.period_agg(F.col("x"), 12, 1.0, r=F.col("r")).alias("p")).collect()
+    out = S.period_agg(df, "x", 12, 1.0, r="r", name="p").select("i", "x", "p").collect()
     for row in out:
         x = np.array(row["x"])
         r = np.fft.irfft(np.abs(np.fft.rfft(x)) ** 2, n=12)

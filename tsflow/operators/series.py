@@ -87,6 +87,16 @@ def decomp_continuation(x: Column, length: int, k: int, label: int, pred: int):
 
 
 # ---------------------------------------------------------------- autocorrelation and lags
+def pin(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add ``expr`` as a column that is evaluated exactly once per row.
+
+    Catalyst inlines projected expressions into later projections; an expensive array
+    referenced inside a lambda would then run once per element.  A one-element
+    ``explode`` is a Generate operator, which later projections cannot be merged into.
+    """
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def autocorr(x: Column, length: int) -> Column:
     """Circular autocorrelation r[k] = sum_i x[i] * x[(i+k) mod T] (the inverse FFT of |FFT x|^2)."""
     return F.transform(
@@ -101,26 +111,32 @@ def top_lags(r: Column, k: int = 5) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s: s["lag"])
 
 
-def period_agg(x: Column, length: int, factor: float = 1.0, r: Column | None = None,
-               rank_r: Column | None = None) -> Column:
+def period_agg(df: DataFrame, x: str, length: int, factor: float = 1.0, r: str | None = None,
+               rank_r: str | None = None, name: str = "period_agg") -> DataFrame:
     """Parameter-free period aggregation: take k = int(factor * ln T) top lags, softmax the
     series' correlations at those lags and sum the rolled series weighted by them.
 
-    ``rank_r`` chooses the lags from another correlation (the batch mean, training form:
-    lags shared by a batch, weights still per series); by default the series' own ``r``.
+    ``rank_r`` chooses the lags from another correlation column (the batch mean, training
+    form: lags shared by a batch, weights still per series); by default the series' own ``r``.
+    Built as staged projections so each intermediate array is computed once per row.
     """
     k = max(1, int(factor * math.log(length)))
-    rr = r if r is not None else autocorr(x, length)
-    rk = rank_r if rank_r is not None else rr
+    d = df if r is not None else pin(df, "_r", autocorr(F.col(x), length))
+    rr = F.col(r if r is not None else "_r")
+    rk = F.col(rank_r) if rank_r is not None else rr
     pairs = F.transform(F.arrays_zip(rk.alias("q"), rr.alias("v")),
                         lambda z, i: F.struct(F.round(-z["q"], 9).alias("nv"), i.alias("lag"), z["v"].alias("r")))
-    top = F.slice(F.array_sort(pairs), 1, k)
-    mx = F.aggregate(top, F.lit(float("-inf")), lambda a, s: F.greatest(a, s["r"]))
-    den = F.aggregate(top, F.lit(0.0), lambda a, s: a + F.exp(s["r"] - mx))
-    return F.transform(
+    d = pin(d, "_top", F.slice(F.array_sort(pairs), 1, k))
+    d = d.withColumn("_mx", F.aggregate("_top", F.lit(float("-inf")), lambda a, s: F.greatest(a, s["r"])))
+    d = pin(d, "_w", F.transform("_top", lambda s: F.struct(s["lag"].alias("lag"),
+                                                             F.exp(s["r"] - F.col("_mx")).alias("e"))))
+    d = pin(d, "_den", F.aggregate("_w", F.lit(0.0), lambda a, s: a + s["e"]))
+    xc = F.col(x)
+    out = F.transform(
         F.sequence(F.lit(0), F.lit(length - 1)),
-        lambda t: F.aggregate(top, F.lit(0.0), lambda a, s: a + F.exp(s["r"] - mx) / den
-                              * F.element_at(x, F.pmod(t + s["lag"], F.lit(length)) + 1)))
+        lambda t: F.aggregate("_w", F.lit(0.0), lambda a, s: a + s["e"] / F.col("_den")
+                              * F.element_at(xc, F.pmod(t + s["lag"], F.lit(length)) + 1)))
+    return d.withColumn(name, out).drop("_top", "_mx", "_w", "_den", *([] if r is not None else ["_r"]))
 
 
 def shared_lag_corr(df: DataFrame, batch: str, r: str, length: int) -> DataFrame:

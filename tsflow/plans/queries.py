@@ -468,7 +468,8 @@ def q_decomp_init(spark, sf):
 
 def _ev_autocorr(spark, sf):
     a = ev_last(spark, sf, normalize=True)
-    return a.withColumn("r", S.autocorr(F.col("x"), EV_L))
+    # pinned: the O(T^2) correlation is computed once per window, not per reference
+    return S.pin(a, "r", S.autocorr(F.col("x"), EV_L))
 
 
 def q_autocorr(spark, sf):
@@ -484,8 +485,8 @@ def q_top_lags(spark, sf):
 
 def q_period_agg(spark, sf):
     a = _ev_autocorr(spark, sf)
-    v = S.period_agg(F.col("x"), EV_L, 1.0, r=F.col("r"))
-    return a.select("series_id", F.posexplode(v).alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
+    a = S.period_agg(a, "x", EV_L, 1.0, r="r", name="v")
+    return a.select("series_id", F.posexplode("v").alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
 
 
 def q_period_agg_batch(spark, sf):
@@ -493,8 +494,8 @@ def q_period_agg_batch(spark, sf):
     a = _ev_autocorr(spark, sf)
     a = with_batches(global_rank(a, ["series_id"], bucket=F.floor(F.col("series_id") / 1024), name="rk"), "rk", BS)
     a = S.shared_lag_corr(a, "batch_id", "r", EV_L)
-    v = S.period_agg(F.col("x"), EV_L, 1.0, r=F.col("r"), rank_r=F.col("r_batch"))
-    return a.select("series_id", F.posexplode(v).alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
+    a = S.period_agg(a, "x", EV_L, 1.0, r="r", rank_r="r_batch", name="v")
+    return a.select("series_id", F.posexplode("v").alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
 
 
 def q_window_stats(spark, sf):

@@ -22,6 +22,8 @@ from tsflow.operators.windows import (
     cut_windows, draw_cut, explode_windows, last_windows, length_histogram, patches, series_lengths,
     sliding_windows, to_arrays, window_rejects,
 )
+from pyspark import StorageLevel
+
 from tsflow.session import materialize, store_table
 from tsflow.sources import fixtures as fx
 
@@ -78,8 +80,14 @@ def fixture(spark, sf, name: str):
     return df
 
 
+_SPLIT_CACHE: dict = {}
+
+
 def clear_fixtures() -> None:
     _FIXTURES.clear()
+    for df in _SPLIT_CACHE.values():
+        df.unpersist()
+    _SPLIT_CACHE.clear()
 
 
 def T_cycles(spark, sf):
@@ -119,7 +127,17 @@ def with_splits(spark, sf):
     """Cycle rows and one row per kept cycle with n, split, rank, split_rank."""
     cyc, lens = kept_lengths(spark, sf)
     sg = split_groups(lens, KEYS, seed=SEED)
-    return cyc, materialize(lens.join(sg, on=KEYS))
+    # one row per cycle: small enough that a lost executor just recomputes it, so it is
+    # cached (lazily, no extra job) rather than checkpointed.  At most one such cache per
+    # (session, source) stays alive: the previous one is released (anything still built on
+    # it recomputes from lineage, so results stay correct).
+    w = lens.join(sg, on=KEYS).persist(StorageLevel.MEMORY_AND_DISK)
+    key = (id(spark), sf.rstrip("/"))
+    old = _SPLIT_CACHE.get(key)
+    if old is not None:
+        old.unpersist()
+    _SPLIT_CACHE[key] = w
+    return cyc, w
 
 
 def cycle_windows(spark, sf, mode, seq, label, pred, cols=(), rows=None):

@@ -149,3 +149,30 @@ def test_decoder_inputs(spark):
     r = df.select(decoder_input(F.col("y"), 2, 3).alias("a"), decoder_input_from_x(F.col("x"), 2, 3).alias("b")).first()
     assert r["a"] == [5.0, 6.0, 0.0, 0.0, 0.0]
     assert r["b"] == [3.0, 4.0, 0.0, 0.0, 0.0]
+
+
+def test_csv_readers_with_declared_schema(spark, tmp_path):
+    from pyspark.sql import types as T
+    from tsflow.sources import fixtures as fx
+    from tsflow.sources.readers import read_cycles, read_points, write_result
+    d = fx.daily(spark, "/root/testdata/sf0.001").select(F.col("date").cast("timestamp").alias("date"), "p1", "ot")
+    write_result(d, str(tmp_path / "wide"), fmt="csv")
+    schema = T.StructType([T.StructField("date", T.TimestampType()), T.StructField("p1", T.DoubleType()),
+                           T.StructField("ot", T.DoubleType())])
+    back = read_points(spark, str(tmp_path / "wide"), schema)
+    assert back.schema == schema
+    assert back.exceptAll(d).count() == 0 and d.exceptAll(back).count() == 0
+    c = fx.cycles(spark, "/root/testdata/sf0.001").select("battery_id", "cycle_index", "pos", "target")
+    write_result(c, str(tmp_path / "cyc"), partition_by=None, fmt="csv")
+    cs = T.StructType([T.StructField("battery_id", T.LongType()), T.StructField("cycle_index", T.IntegerType()),
+                       T.StructField("pos", T.LongType()), T.StructField("target", T.DoubleType())])
+    assert read_cycles(spark, str(tmp_path / "cyc"), cs).exceptAll(c).count() == 0
+
+
+def test_error_quantiles_exact_and_approx(spark):
+    from tsflow.operators.metrics import error_quantiles
+    df = spark.range(1001).select(F.col("id").cast("double").alias("v"))
+    ex = error_quantiles(df, "v").first()
+    assert (ex["q25"], ex["q75"]) == (250.0, 750.0)
+    ap = error_quantiles(df, "v", approx=True).first()
+    assert abs(ap["q25"] - 250) <= 1 and abs(ap["q75"] - 750) <= 1

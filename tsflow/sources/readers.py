@@ -29,6 +29,9 @@ SCHEMAS = {
 }
 
 
+CSV_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"  # fixed value: the wide-table CSV date format
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet read of a driver table with its declared schema when we have one."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -42,7 +45,7 @@ def read_points(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     """Wide time table (``date`` + numeric channels) with an explicit schema."""
     r = spark.read.schema(schema)
     if fmt == "csv":
-        return r.option("header", str(header).lower()).option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+        return r.option("header", str(header).lower()).option("timestampFormat", CSV_TS_FORMAT).csv(path)
     return r.format(fmt).load(path)
 
 
@@ -59,7 +62,8 @@ def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        # same timestamp text the CSV readers declare, so sink and reader round-trip
+        w.option("header", "true").option("timestampFormat", CSV_TS_FORMAT).csv(path)
     else:
         w.format(fmt).save(path)
 

@@ -94,7 +94,8 @@ def store_table(df: DataFrame, name: str, bucket_by: list[str] | None = None,
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         table = f"tsflow_{name}_{uuid.uuid4().hex[:12]}"
         try:
-            w = df.write.mode("overwrite").option("path", path).bucketBy(n, *bucket_by)
+            # one task per bucket: each bucket is written as one file, not one per input task
+            w = df.repartition(n, *bucket_by).write.mode("overwrite").option("path", path).bucketBy(n, *bucket_by)
             if sort_by:
                 w = w.sortBy(*sort_by)
             w.format("parquet").saveAsTable(table)

@@ -201,3 +201,17 @@ def test_period_agg_and_shared_lags(spark):
     for r in sh:
         by.setdefault(r["b"], set()).add(tuple(r["l"]))
     assert all(len(v) == 1 for v in by.values())
+
+
+def test_autocorr_fft_path_matches_hof(spark):
+    rng = np.random.default_rng(9)
+    rows = [([float(v) for v in rng.normal(size=n)],) for n in (16, 16, 300, 300, 17)]
+    df = spark.createDataFrame(rows, "x array<double>").withColumn("n", F.size("x"))
+    for L in (16, 300):
+        sub = df.where(F.col("n") == L)
+        a = sub.select(S.autocorr(F.col("x"), L, method="hof").alias("r")).collect()
+        b = sub.select(S.autocorr(F.col("x"), L, method="fft").alias("r")).collect()
+        for ra, rb in zip(a, b):
+            assert np.allclose(ra["r"], rb["r"], atol=1e-8)
+    c = df.where(F.col("n") == 300).select(S.autocorr(F.col("x"), 300).alias("r")).first()["r"]
+    assert len(c) == 300

@@ -6,8 +6,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -97,8 +100,31 @@ def pin(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
-def autocorr(x: Column, length: int) -> Column:
-    """Circular autocorrelation r[k] = sum_i x[i] * x[(i+k) mod T] (the inverse FFT of |FFT x|^2)."""
+FFT_FROM = 256  # window length from which the O(T log T) Arrow/numpy path replaces the O(T^2) HOF
+
+
+def _autocorr_fft_udf():
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def fft_autocorr(s: pd.Series) -> pd.Series:
+        # one vectorised FFT per Arrow batch of equal-length windows
+        n = s.map(len)
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        for length, idx in s.groupby(n).groups.items():
+            X = np.vstack(s.loc[idx].to_numpy()).astype(float)
+            R = np.fft.irfft(np.abs(np.fft.rfft(X, axis=1)) ** 2, n=int(length), axis=1)
+            out.loc[idx] = list(R)
+        return out
+    return fft_autocorr
+
+
+def autocorr(x: Column, length: int, method: str = "auto") -> Column:
+    """Circular autocorrelation r[k] = sum_i x[i] * x[(i+k) mod T] (the inverse FFT of |FFT x|^2).
+
+    ``method``: ``hof`` (JVM array functions, O(T^2), exact sums), ``fft`` (Arrow batches +
+    numpy FFT, O(T log T)), ``auto`` = fft from ``FFT_FROM`` on.
+    """
+    if method == "fft" or (method == "auto" and length >= FFT_FROM):
+        return _autocorr_fft_udf()(x)
     return F.transform(
         F.sequence(F.lit(0), F.lit(length - 1)),
         lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0.0),

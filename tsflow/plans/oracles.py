@@ -547,3 +547,4 @@ ORACLES["time_features_daily"] = q(["daily"], """
     SELECT pos, (isodow(date) - 1) / CAST(6 AS DOUBLE) - 0.5 AS day_of_week,
            (day(date) - 1) / CAST(30 AS DOUBLE) - 0.5 AS day_of_month,
            (dayofyear(date) - 1) / CAST(365 AS DOUBLE) - 0.5 AS day_of_year FROM daily""")
+ORACLES["feature_mode_s"] = q(["daily"], "SELECT CAST(date AS VARCHAR) AS date, pos, ot FROM daily")

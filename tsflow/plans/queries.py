@@ -213,6 +213,12 @@ def q_feature_modes(spark, sf):
     return d.select(F.col("date").cast("string").alias("date"), "pos", *others, "ot")
 
 
+def q_feature_mode_s(spark, sf):
+    """Feature mode ``S``: the target channel only (with its date and position)."""
+    d = T_daily(spark, sf)
+    return d.select(F.col("date").cast("string").alias("date"), "pos", "ot")
+
+
 def q_cycle_features(spark, sf):
     """Key column dropped (``drop_bid``), the other key scaled as a feature with the train-fitted scaler."""
     cyc, w = with_splits(spark, sf)
@@ -735,7 +741,7 @@ def q_fc_linear_1(spark, sf):
 QUERIES = {
     # sources / projections / joins
     "scan_wide": q_scan_wide, "scan_cycles": q_scan_cycles, "m4_load": q_m4_load,
-    "feature_modes": q_feature_modes, "cycle_features": q_cycle_features, "long_cycles": q_long_cycles, "melt_channels": q_melt_channels,
+    "feature_modes": q_feature_modes, "feature_mode_s": q_feature_mode_s, "cycle_features": q_cycle_features, "long_cycles": q_long_cycles, "melt_channels": q_melt_channels,
     "horizon_slice": q_horizon_slice,
     # splits / batching
     "split_fixed": q_split_fixed, "split_ratio": q_split_ratio, "split_pretrain": q_split_pretrain,

@@ -53,18 +53,22 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
             .drop("_bkt", "_off"))
 
 
-def global_rank(df: DataFrame, order: Sequence, bucket: Column, name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence, bucket: Column, name: str = "rank",
+                bounded_buckets: bool = False) -> DataFrame:
     """0-based rank over the whole DataFrame by ``order`` (total), bucketed by ``bucket``.
 
-    The bucket table (one row per bucket) is the only thing ordered globally; it is
-    bounded by the bucket expression (e.g. 4096 hash prefixes), so it is broadcast.
+    The bucket table (one row per bucket) is the only thing ordered globally.  With
+    ``bounded_buckets`` (the bucket expression has a fixed range, e.g. 4096 hash prefixes)
+    it is broadcast; otherwise (id ranges, days) the join is left to AQE, which broadcasts
+    only when the table turns out small at run time.
     """
     b = df.withColumn("_bkt", bucket)
     counts = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)))
-    joined = b.join(F.broadcast(offs.select("_bkt", "_off")), on="_bkt", how="inner")
+    o = offs.select("_bkt", "_off")
+    joined = b.join(F.broadcast(o) if bounded_buckets else o, on="_bkt", how="inner")
     wl = Window.partitionBy("_bkt").orderBy(*_cols(order))
     return (joined.withColumn(name, (F.col("_off") + F.row_number().over(wl) - 1).cast("bigint"))
             .drop("_bkt", "_off"))

@@ -76,7 +76,8 @@ def split_groups(df: DataFrame, keys: Sequence[str], seed: int = 42, bounds: tup
     distinct = df.select(*keys).distinct()
     h = hash_int("split", seed, keys)
     ranked = global_rank(distinct.withColumn("_h", h), ["_h", *keys],
-                         bucket=hash_bucket("split", seed, keys, hex_bucket), name="rank")
+                         bucket=hash_bucket("split", seed, keys, hex_bucket), name="rank",
+                         bounded_buckets=True)
     total = distinct.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
     r = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(total), on="_k").drop("_k")
     b1 = F.floor(F.lit(float(bounds[0])) * F.col("_n"))

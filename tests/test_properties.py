@@ -176,3 +176,28 @@ def test_error_quantiles_exact_and_approx(spark):
     assert (ex["q25"], ex["q75"]) == (250.0, 750.0)
     ap = error_quantiles(df, "v", approx=True).first()
     assert abs(ap["q25"] - 250) <= 1 and abs(ap["q75"] - 750) <= 1
+
+
+def test_filters_and_dataframe_forms(spark):
+    from tsflow.functions.calendar import calendar_marks, sincos_calendar, time_features
+    from tsflow.operators.filters import feature_mode, keep_long, melt
+    from tsflow.operators.series import window_stats
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(5)] + [(2, 0, None), (2, 1, 1.0)],
+                               "k int, pos long, v double")
+    kept = keep_long(df, ["k"], 2, count_col="v")
+    assert kept.select("k").distinct().collect()[0]["k"] == 1 and kept.count() == 5
+    assert keep_long(df, ["k"], 1).select("k").distinct().count() == 2
+    w = spark.createDataFrame([("2024-01-01 00:00:00", 1.0, 2.0, 3.0)], "date string, a double, ot double, b double") \
+             .withColumn("date", F.to_timestamp("date"))
+    assert feature_mode(w, "S", "ot").columns == ["date", "ot"]
+    assert feature_mode(w, "M", "ot").columns == ["date", "a", "b", "ot"]
+    with pytest.raises(ValueError):
+        feature_mode(w, "X", "ot")
+    m = melt(w, ["date"], ["a", "b", "ot"])
+    assert sorted(r["channel"] for r in m.collect()) == ["a", "b", "ot"]
+    r = calendar_marks(w, "date", minute=True).first()
+    assert (r["month"], r["day"], r["weekday"], r["hour"], r["minute"]) == (1, 1, 0, 0, 0)
+    assert time_features(w, "date", "h").columns[-4:] == ["hour_of_day", "day_of_week", "day_of_month", "day_of_year"]
+    assert len(sincos_calendar(w, "date", 8).first()["temporal_code"]) == 8
+    st = window_stats(spark.createDataFrame([([3.0, 1.0, 2.0, 5.0],)], "x array<double>"), "x").first()
+    assert (st["min_value"], st["max_value"], st["median_value"], st["trend"]) == (1.0, 5.0, 2.0, "upward")

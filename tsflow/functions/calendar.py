@@ -148,3 +148,23 @@ def sincos_sum(cols: list[Column], d: int) -> Column:
     for c in codes[1:]:
         out = F.zip_with(out, c, lambda a, b: a + b)
     return out
+
+
+# DataFrame-level forms
+def calendar_marks(df, ts: str, minute: bool = False):
+    """Add integer marks month, day, weekday (Mon=0), hour[, minute div 15]."""
+    return df.select("*", *calendar_mark_cols(ts, minute))
+
+
+def time_features(df, ts: str, freq: str):
+    """Add the scaled time features chosen by ``freq`` (raises ``ValueError`` when unsupported)."""
+    return df.select("*", *time_feature_cols(ts, freq))
+
+
+def sincos_calendar(df, ts: str, d: int, minute: bool = False, name: str = "temporal_code"):
+    """Add the fixed temporal code: sum of sin/cos codes of hour, weekday, day, month[, minute div 15]."""
+    t = F.col(ts)
+    parts = [F.hour(t), F.weekday(t), F.dayofmonth(t), F.month(t)]
+    if minute:
+        parts.append(F.floor(F.minute(t) / 15).cast("int"))
+    return df.withColumn(name, sincos_sum(parts, d))

@@ -190,6 +190,11 @@ def window_stats_cols(x: Column) -> list[Column]:
             F.when(diff_sum > 0, F.lit("upward")).otherwise(F.lit("downward")).alias("trend")]
 
 
+def window_stats(df: DataFrame, x: str) -> DataFrame:
+    """Add min_value, max_value, median_value (lower median) and trend for array column ``x``."""
+    return df.select("*", *window_stats_cols(F.col(x)))
+
+
 # The prompt template (the dataset description comes from the prompt bank).
 PROMPT_TEMPLATE = (
     "<|start_prompt|>Dataset description: {description}"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tsflow.functions.calendar import calendar_mark_cols, sincos, sincos_sum, time_feature_cols
 from tsflow.operators import forecast as fcst
+from tsflow.operators.filters import feature_mode, keep_long, melt
 from tsflow.operators import metrics as M
 from tsflow.operators import results as R
 from tsflow.operators import series as S
@@ -208,15 +209,14 @@ def q_m4_load(spark, sf):
 
 
 def q_feature_modes(spark, sf):
-    d = T_daily(spark, sf)
-    others = [c for c in fx.DAILY_CHANNELS if c != "ot"]
-    return d.select(F.col("date").cast("string").alias("date"), "pos", *others, "ot")
+    d = T_daily(spark, sf).select(F.col("date").cast("string").alias("date"), "pos", *fx.DAILY_CHANNELS)
+    return feature_mode(d, "M", "ot", keep=["pos"])
 
 
 def q_feature_mode_s(spark, sf):
     """Feature mode ``S``: the target channel only (with its date and position)."""
-    d = T_daily(spark, sf)
-    return d.select(F.col("date").cast("string").alias("date"), "pos", "ot")
+    d = T_daily(spark, sf).select(F.col("date").cast("string").alias("date"), "pos", *fx.DAILY_CHANNELS)
+    return feature_mode(d, "S", "ot", keep=["pos"])
 
 
 def q_cycle_features(spark, sf):
@@ -230,13 +230,11 @@ def q_cycle_features(spark, sf):
 
 
 def q_long_cycles(spark, sf):
-    cyc, lens = kept_lengths(spark, sf)
-    return cyc.join(lens, on=KEYS).select(*KEYS, "pos", "n")
+    return keep_long(T_cycles(spark, sf), KEYS, LONG, count_col="cycle_test_time").select(*KEYS, "pos", "n")
 
 
 def q_melt_channels(spark, sf):
-    h = T_hourly(spark, sf)
-    return h.unpivot(["pos"], fx.HOURLY_CHANNELS, "channel", "value")
+    return melt(T_hourly(spark, sf), ["pos"], fx.HOURLY_CHANNELS)
 
 
 def q_horizon_slice(spark, sf):

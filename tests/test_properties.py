@@ -201,3 +201,14 @@ def test_filters_and_dataframe_forms(spark):
     assert len(sincos_calendar(w, "date", 8).first()["temporal_code"]) == 8
     st = window_stats(spark.createDataFrame([([3.0, 1.0, 2.0, 5.0],)], "x array<double>"), "x").first()
     assert (st["min_value"], st["max_value"], st["median_value"], st["trend"]) == (1.0, 5.0, 2.0, "upward")
+
+
+def test_m4_series_drops_nan_tail_and_selects_group(spark):
+    from tsflow.operators.m4 import m4_series
+    info = spark.createDataFrame([(1, "Yearly"), (2, "Weekly")], "id int, grp string")
+    vals = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 2, float("nan")), (2, 0, 5.0), (2, 1, None)],
+                                 "id int, pos long, value double")
+    allv = m4_series(info, vals)
+    assert allv.count() == 3
+    y = m4_series(info, vals, group="Yearly")
+    assert sorted(r["pos"] for r in y.collect()) == [0, 1]

@@ -124,3 +124,24 @@ def mean_predictor(pred: int) -> Callable[[np.ndarray], np.ndarray]:
         # sequential sum (cumsum), the same order as the JVM fold in forecast_mean
         return np.repeat(np.cumsum(X, axis=1)[:, -1:] / X.shape[1], pred, axis=1)
     return f
+
+
+def with_revin(x_long: DataFrame, keys: Sequence[str], pred: int,
+               forecaster: Callable[[Column, int], Column] = forecast_mean, value: str = "value",
+               step: str = "step", eps: float = 1e-5, subtract_last: bool = False) -> DataFrame:
+    """Normalise each window (RevIN), forecast on the normalised values, de-normalise.
+
+    ``x_long``: window slots ``(keys, step, value)``; ``forecaster(x_array, pred)`` returns the
+    horizon array.  Output ``(keys, h, yhat)``.
+    """
+    from tsflow.operators.scaling import revin, unrevin
+    from tsflow.operators.windows import to_arrays
+    keys = list(keys)
+    x = revin(x_long, keys, value=value, step=step, eps=eps, subtract_last=subtract_last)
+    stats = x.groupBy(*keys).agg(F.first("rv_mean").alias("rv_mean"), F.first("rv_std").alias("rv_std"),
+                                 F.first("rv_last").alias("rv_last"))
+    arr = to_arrays(x.withColumnRenamed(value, "_v"), keys, cols=("_v",), part=None)
+    f = arr.select(*keys, forecaster(F.col("_v"), pred).alias("_f")).join(stats, on=keys)
+    e = f.select(*keys, "rv_mean", "rv_std", "rv_last", F.posexplode("_f").alias("h", "yhat"))
+    return unrevin(e, "yhat", eps=eps, subtract_last=subtract_last).select(
+        *keys, F.col("h").cast("bigint").alias("h"), "yhat")

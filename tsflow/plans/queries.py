@@ -701,14 +701,8 @@ def q_score_windows(spark, sf):
 
 
 def q_fc_revin(spark, sf):
-    seq, label, pred = MASKED
-    x = revin(_masked_x(spark, sf), KEYS)
-    stats = x.groupBy(*KEYS).agg(F.first("rv_mean").alias("rv_mean"), F.first("rv_std").alias("rv_std"),
-                                 F.first("rv_last").alias("rv_last"))
-    arr = to_arrays(x, KEYS, cols=("value",), part=None).withColumnRenamed("value", "x")
-    f = arr.select(*KEYS, fcst.forecast_mean(F.col("x"), pred).alias("yhat")).join(stats, on=KEYS)
-    e = f.select(*KEYS, "rv_mean", "rv_std", "rv_last", F.posexplode("yhat").alias("h", "yhat"))
-    return unrevin(e, "yhat").select(*KEYS, F.col("h").cast("bigint").alias("h"), "yhat")
+    """Normalise -> window-mean forecast -> de-normalise (equals the plain mean forecast)."""
+    return fcst.with_revin(_masked_x(spark, sf), KEYS, MASKED[2])
 
 
 def q_fc_linear(spark, sf):

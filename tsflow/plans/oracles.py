@@ -157,7 +157,7 @@ cte("m4_masep", ["m4_train"], f"""
 def m4_scores_sql(fc: str) -> str:
     return f"""
     SELECT grp, sum(s) / sum(np) AS smape, sum(mp) / sum(np) AS mape, avg(CASE WHEN masep = 0 THEN NULL ELSE mae / masep END) AS mase,
-           count(*) AS n_series, sum(nt) - sum(np) AS n_missing
+           count(*) AS n_series, CAST(sum(nt) - sum(np) AS BIGINT) AS n_missing
     FROM (SELECT i.grp, t.id, avg(abs(f.yhat - t.y)) AS mae,
                  sum(200 * abs(f.yhat - t.y) / CASE WHEN abs(t.y) + abs(f.yhat) = 0 THEN 1.0 ELSE abs(t.y) + abs(f.yhat) END) AS s,
                  sum(100 * abs(f.yhat - t.y) / CASE WHEN abs(t.y) = 0 THEN 1.0 ELSE abs(t.y) END) AS mp,
@@ -177,7 +177,7 @@ def regroup_sql(src: str) -> str:
     return f"""
     SELECT coalesce(c, 'Average') AS grp, sum(smape * n_series) / sum(n_series) AS smape,
            sum(mape * n_series) / sum(n_series) AS mape, sum(mase * n_series) / sum(n_series) AS mase,
-           sum(n_series) AS n_series
+           CAST(sum(n_series) AS BIGINT) AS n_series
     FROM (SELECT *, CASE WHEN grp IN ({MAIN}) THEN grp ELSE 'Others' END AS c FROM {src})
     GROUP BY ROLLUP (c)"""
 

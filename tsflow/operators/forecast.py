@@ -135,13 +135,14 @@ def with_revin(x_long: DataFrame, keys: Sequence[str], pred: int,
     horizon array.  Output ``(keys, h, yhat)``.
     """
     from tsflow.operators.scaling import revin, unrevin
-    from tsflow.operators.windows import to_arrays
     keys = list(keys)
     x = revin(x_long, keys, value=value, step=step, eps=eps, subtract_last=subtract_last)
-    stats = x.groupBy(*keys).agg(F.first("rv_mean").alias("rv_mean"), F.first("rv_std").alias("rv_std"),
-                                 F.first("rv_last").alias("rv_last"))
-    arr = to_arrays(x.withColumnRenamed(value, "_v"), keys, cols=("_v",), part=None)
-    f = arr.select(*keys, forecaster(F.col("_v"), pred).alias("_f")).join(stats, on=keys)
+    # one aggregate gathers the window (ordered) and its statistics: the slots are read once
+    g = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(step), F.col(value)))).alias("_s"),
+                             F.first("rv_mean").alias("rv_mean"), F.first("rv_std").alias("rv_std"),
+                             F.first("rv_last").alias("rv_last"))
+    f = g.select(*keys, "rv_mean", "rv_std", "rv_last",
+                 forecaster(F.transform("_s", lambda e: e[value]), pred).alias("_f"))
     e = f.select(*keys, "rv_mean", "rv_std", "rv_last", F.posexplode("_f").alias("h", "yhat"))
     return unrevin(e, "yhat", eps=eps, subtract_last=subtract_last).select(
         *keys, F.col("h").cast("bigint").alias("h"), "yhat")

@@ -123,11 +123,13 @@ def with_splits(spark, sf):
     return cyc, materialize(lens.join(sg, on=KEYS))
 
 
-def cycle_windows(spark, sf, mode, seq, label, pred, cols=(), rows=None):
+def cycle_windows(spark, sf, mode, seq, label, pred, cols=(), rows=None, reused=True):
+    """Window slots of the kept cycles; cut (checkpointed) only when the caller reads them
+    more than once (``reused``) -- a single consumer just streams them."""
     cyc, w = with_splits(spark, sf)
     cuts = draw_cut(w, KEYS, mode, seq, pred, seed=SEED, rate=RATE)
     long = cut_windows(rows if rows is not None else cyc, cuts, KEYS, "target", mode, seq, label, pred, cols=cols)
-    return materialize(long), w
+    return (materialize(long) if reused else long), w
 
 
 def window_mean(x_long: DataFrame, keys) -> DataFrame:
@@ -239,7 +241,7 @@ def q_melt_channels(spark, sf):
 
 def q_horizon_slice(spark, sf):
     seq, label, pred = UNMASKED
-    long, _ = cycle_windows(spark, sf, "cut", seq, label, pred)
+    long, _ = cycle_windows(spark, sf, "cut", seq, label, pred, reused=False)
     return long.where((F.col("part") == "y") & (F.col("step") >= label)).select(
         *KEYS, (F.col("step") - label).alias("h"), "value")
 
@@ -316,7 +318,7 @@ def q_scaler_inverse(spark, sf):
 
 def _masked_x(spark, sf):
     seq, label, pred = MASKED
-    long, _ = cycle_windows(spark, sf, "masked", seq, label, pred)
+    long, _ = cycle_windows(spark, sf, "masked", seq, label, pred, reused=False)
     return long.where(F.col("part") == "x").select(*KEYS, "step", "value")
 
 
@@ -360,17 +362,17 @@ def q_window_marks(spark, sf):
 
 def q_cut_windows(spark, sf):
     seq, label, pred = UNMASKED
-    return cycle_windows(spark, sf, "cut", seq, label, pred, cols=CH)[0]
+    return cycle_windows(spark, sf, "cut", seq, label, pred, cols=CH, reused=False)[0]
 
 
 def q_masked_windows(spark, sf):
     seq, label, pred = MASKED
-    return cycle_windows(spark, sf, "masked", seq, label, pred, cols=CH)[0]
+    return cycle_windows(spark, sf, "masked", seq, label, pred, cols=CH, reused=False)[0]
 
 
 def q_head_windows(spark, sf):
     seq, label, pred = HEAD
-    return cycle_windows(spark, sf, "head", seq, label, pred)[0]
+    return cycle_windows(spark, sf, "head", seq, label, pred, reused=False)[0]
 
 
 def q_m4_windows(spark, sf):
@@ -388,7 +390,7 @@ def q_last_windows(spark, sf):
 
 def q_decoder_input(spark, sf):
     seq, label, pred = MASKED
-    long, _ = cycle_windows(spark, sf, "masked", seq, label, pred)
+    long, _ = cycle_windows(spark, sf, "masked", seq, label, pred, reused=False)
     y = long.where(F.col("part") == "y")
     return y.select(*KEYS, "step", F.when(F.col("step") < label, F.col("value")).otherwise(F.lit(0.0)).alias("value"))
 

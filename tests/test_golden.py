@@ -215,3 +215,28 @@ def test_autocorr_fft_path_matches_hof(spark):
             assert np.allclose(ra["r"], rb["r"], atol=1e-8)
     c = df.where(F.col("n") == 300).select(S.autocorr(F.col("x"), 300).alias("r")).first()["r"]
     assert len(c) == 300
+
+
+@pytest.mark.parametrize("mode,seq,label,pred,cut,x,xm,y,ym", [
+    # M4 window: x right-aligned, y from cut-label left-aligned with a right pad
+    ("m4", 6, 3, 3, 8, [3, 4, 5, 6, 7, 8], [1] * 6, [6, 7, 8, 9, 10, 0], [1, 1, 1, 1, 1, 0]),
+    # window from the cycle start: x = first seq values (mask 0), y masked
+    ("head", 4, 2, 5, 4, [1, 2, 3, 4], [0] * 4, [3, 4, 5, 6, 7, 8, 9], [1] * 7),
+    # plain cut window: masks all 0
+    ("cut", 4, 2, 3, 5, [2, 3, 4, 5], [0] * 4, [4, 5, 6, 7, 8], [0] * 5),
+])
+def test_window_modes_small_case(spark, mode, seq, label, pred, cut, x, xm, y, ym):
+    rows = spark.createDataFrame([(1, p, float(p + 1)) for p in range(10)], "k int, pos long, v double")
+    cuts = spark.createDataFrame([(1, 10, cut)], "k int, n long, cut long")
+    arr = {r["part"]: r for r in to_arrays(cut_windows(rows, cuts, ["k"], "v", mode, seq, label, pred), ["k"]).collect()}
+    assert arr["x"]["value"] == x and arr["x"]["mask"] == xm
+    assert arr["y"]["value"] == y and arr["y"]["mask"] == ym
+
+
+def test_window_rejects_and_histogram(spark):
+    from tsflow.operators.windows import length_histogram, window_rejects
+    lens = spark.createDataFrame([(1, 40), (2, 49), (3, 49), (4, 80)], "k int, n long")
+    rej = {r["k"]: (r["low"], r["high"]) for r in window_rejects(lens, ["k"], "cut", 18, 30).collect()}
+    assert rej == {1: (18, 10)}   # low >= high only for n = 40 (n = 49 leaves [18, 19))
+    h = {r["len"]: r["n_series"] for r in length_histogram(lens).collect()}
+    assert h == {40: 1, 49: 2, 80: 1}

@@ -548,3 +548,5 @@ ORACLES["time_features_daily"] = q(["daily"], """
            (day(date) - 1) / CAST(30 AS DOUBLE) - 0.5 AS day_of_month,
            (dayofyear(date) - 1) / CAST(365 AS DOUBLE) - 0.5 AS day_of_year FROM daily""")
 ORACLES["feature_mode_s"] = q(["daily"], "SELECT CAST(date AS VARCHAR) AS date, pos, ot FROM daily")
+ORACLES["shortest_cycle"] = q(["clen"], """
+    SELECT battery_id, cycle_index, n FROM clen ORDER BY n, battery_id DESC, cycle_index DESC LIMIT 1""")

@@ -21,7 +21,7 @@ from tsflow.operators.scaling import fit_scaler, fit_scaler_long, revin, scale,
 from tsflow.operators.splits import split_fixed, split_groups, split_ratio, with_batches
 from tsflow.operators.windows import (
     cut_windows, draw_cut, explode_windows, last_windows, length_histogram, patches, series_lengths,
-    sliding_windows, to_arrays, window_rejects,
+    shortest_series, sliding_windows, to_arrays, window_rejects,
 )
 from tsflow.session import materialize, store_table
 from tsflow.sources import fixtures as fx
@@ -407,6 +407,12 @@ def q_length_histogram(spark, sf):
     return length_histogram(series_lengths(cyc, KEYS, count_col="cycle_test_time"))
 
 
+def q_shortest_cycle(spark, sf):
+    """Arg-min cycle length; among ties the last in key order (as the reference's loop keeps)."""
+    cyc = T_cycles(spark, sf)
+    return shortest_series(series_lengths(cyc, KEYS, count_col="cycle_test_time"), KEYS)
+
+
 def q_window_rejects(spark, sf):
     cyc = T_cycles(spark, sf)
     lens = series_lengths(cyc, KEYS, count_col="cycle_test_time")
@@ -747,7 +753,8 @@ QUERIES = {
     "sliding_windows": q_sliding_windows, "window_marks": q_window_marks, "cut_windows": q_cut_windows,
     "masked_windows": q_masked_windows, "head_windows": q_head_windows, "m4_windows": q_m4_windows,
     "last_windows": q_last_windows, "decoder_input": q_decoder_input, "patches": q_patches,
-    "length_histogram": q_length_histogram, "window_rejects": q_window_rejects,
+    "length_histogram": q_length_histogram,
+    "shortest_cycle": q_shortest_cycle, "window_rejects": q_window_rejects,
     # calendar
     "calendar_marks": q_calendar_marks, "time_features": q_time_features,
     "time_features_daily": q_time_features_daily,

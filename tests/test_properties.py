@@ -212,3 +212,19 @@ def test_m4_series_drops_nan_tail_and_selects_group(spark):
     assert allv.count() == 3
     y = m4_series(info, vals, group="Yearly")
     assert sorted(r["pos"] for r in y.collect()) == [0, 1]
+
+
+def test_hot_key_positions_spread_over_buckets(spark):
+    """One key holds a third of all rows: positions still equal a plain row_number, and the
+    hot key's rows are numbered in many (key, bucket) groups rather than one."""
+    rng = np.random.default_rng(13)
+    n = 3000
+    keys = np.where(np.arange(n) < n // 3, 0, rng.integers(1, 50, n))
+    rows = [(int(k), int(t), i) for i, (k, t) in enumerate(zip(keys, rng.integers(0, 100000, n)))]
+    df = spark.createDataFrame(rows, "k int, t long, i long")
+    bucket = F.floor(F.col("t") / 1000)
+    a = with_position(df, ["k"], ["t", "i"], bucket=bucket)
+    b = with_position(df, ["k"], ["t", "i"])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    groups = df.where(F.col("k") == 0).select(bucket.alias("b")).distinct().count()
+    assert groups >= 50

@@ -14,7 +14,7 @@ FULL = os.environ.get("TSFLOW_FULL") == "1"
 SF = "/root/testdata/sf0.01" if FULL else "/root/testdata/sf0.001"
 SUBSET = ["scan_cycles", "cycle_features", "result_roundtrip", "fc_linear_1", "period_agg_batch", "split_groups", "masked_windows", "cut_windows", "sliding_windows", "time_features",
           "moving_avg", "prompt_text", "point_adjust", "metrics_masked", "m4_owa", "result_border", "eval_report"]
-NAMES = sorted(E.oracle_sql()) if FULL else SUBSET
+NAMES = sorted(set(E.oracle_sql()) - set(E._text_operators()[1])) if FULL else SUBSET
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,8 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_is_documented():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    from tsflow.plans.queries import QUERIES
+    missing = set(QUERIES) - set(E.oracle_sql())
     assert missing == {"fc_linear"}
 
 

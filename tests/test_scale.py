@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from tsflow.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,7 +52,7 @@ def _unpartitioned_windows(plan: str) -> list[str]:
     return bad
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_whole_table_window(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     for line in _unpartitioned_windows(plan):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: str.isspace() holds four separators that the Unicode White_Space property does not
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -72,3 +73,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field(df: DataFrame, name: str):
     return df.schema[name]
+
+
+# ---- Column helpers (DataFrame functions only) ----
+
+A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def lower_ascii(c: Column) -> Column:
+    """A-Z lower-cased, nothing else (``lower`` does just that where all bytes are ASCII)."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, A_Z, a_z))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def hash128(*cols: Column) -> list[Column]:
+    """Two 64-bit hashes of the same columns under different seeds."""
+    return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsflow.llm import bpe, token_counts
+from tsflow.llm import bpe, line_dedup, token_counts, url_filters
 from tsflow.llm.common import documents, tokenizer_path
 
 TOKEN_LIMIT = 512
@@ -15,14 +15,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("over_limit", got.n_tokens > TOKEN_LIMIT)
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filters.judge_urls(pages, url_filters.RULES, url_filters.LISTED_LABELS)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(documents(spark, sf_dir), min_docs=10, min_chars=1)
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_url_filters": op2_url_filters,
+    "op5_line_dedup": op5_line_dedup,
     "op8_bpe_codec": op8_bpe_codec,
 }
 
 #: DuckDB SQL; operators without an entry are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": url_filters.SQL,
+    "op5_line_dedup": line_dedup.SQL,
+}

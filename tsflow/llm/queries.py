@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsflow.llm import bpe, line_dedup, token_counts, url_filters
+from tsflow.llm import bpe, line_dedup, simhash_dedup, token_counts, url_filters
 from tsflow.llm.common import documents, tokenizer_path
 
 TOKEN_LIMIT = 512
@@ -24,6 +24,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(documents(spark, sf_dir), min_docs=10, min_chars=1)
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(documents(spark, sf_dir), shingle=3, threshold=2)
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
     "op5_line_dedup": op5_line_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op8_bpe_codec": op8_bpe_codec,
 }
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsflow.llm import bpe, line_dedup, simhash_dedup, token_counts, url_filters
+from tsflow.llm import bpe, line_dedup, quality_rules, simhash_dedup, token_counts, url_filters
 from tsflow.llm.common import documents, tokenizer_path
 
 TOKEN_LIMIT = 512
@@ -24,6 +24,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(documents(spark, sf_dir), min_docs=10, min_chars=1)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(documents(spark, sf_dir), shingle=3, threshold=2)
 
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_bpe_codec": op8_bpe_codec,
 }

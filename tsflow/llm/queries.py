@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsflow.llm import bpe, line_dedup, quality_rules, simhash_dedup, token_counts, url_filters
+from tsflow.llm import bpe, decontamination, line_dedup, quality_rules, simhash_dedup, token_counts, url_filters
 from tsflow.llm.common import documents, tokenizer_path
 
 TOKEN_LIMIT = 512
@@ -37,6 +37,11 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.leaks(documents(spark, sf_dir), benchmark)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
@@ -44,6 +49,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: DuckDB SQL; operators without an entry are tested against brute force in tests/llm.

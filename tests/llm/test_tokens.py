@@ -44,7 +44,15 @@ def test_long_words_merge_in_the_same_order():
     r = random.Random(1)
     for _ in range(200):
         w = "".join(r.choice("abcdetinosr") for _ in range(r.randint(1, 60)))
-        assert m.parts(w) == m._long([*w[:-1], w[-1] + "</w>"])
+        assert m.merge(m.symbols(w)) == m._merge_long(m.symbols(w))
+
+
+def test_latin_letters_go_the_short_way():
+    lib = Tokenizer.from_file(tokenizer_path(WORD))
+    m = bpe.Bpe(open(tokenizer_path(WORD), encoding="utf-8").read())
+    for c in map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x100)]):
+        for piece in (c, f"a{c}b", f"{c}'s1{c}{c}", f"É{c}!"):
+            assert m.encode(piece) == struct.pack(f"<{len(lib.encode(piece, add_special_tokens=False).ids)}I", *lib.encode(piece, add_special_tokens=False).ids)
 
 
 @pytest.mark.parametrize("schema", ["doc_id long, text string", "doc_id string, text string, n_tokens string, ids string, decoded int"])

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -25,89 +26,115 @@ from pyspark.sql import types as T
 
 from tsflow.llm.common import read_text, special_splitter, white_words
 
+BITS = 32                # of a token id in a pair
 SHORT = 256              # symbols
+ROWS = 256               # handed back at once
 LONGEST_CACHED = 64      # characters of a piece
 NO_RANK = sys.maxsize
 _WORKER: dict = {}
+#: visible ASCII and the letters of Latin-1, and the pre-tokenizer's pattern on these in lower case
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: the symbols of a letter's UTF-8 bytes, which are Latin-1 letters but for 0x80-0xA0 and 0xAD
+_BYTES = {c: "".join(chr(0x143) if b == 0xAD else chr(b) if b > 0xA0 else chr(0x122 + b - 0x80)
+                     for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class Recent(dict):
+    """A bounded cache of ``make``: when ``limit`` entries are new, older ones unused since go."""
+
+    def __init__(self, make, limit: int) -> None:
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_CACHED:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Bpe:
     """Merges of one tokenizer file; ``ignore_merges``, dropout and unknown tokens are not used."""
 
-    def __init__(self, definition: str, cache: int = 1 << 17) -> None:
+    def __init__(self, definition: str, cache: int = 1 << 18) -> None:
         from tokenizers import Tokenizer
         spec = json.loads(definition)
         model = spec["model"]
         self.library = Tokenizer.from_str(definition)
         self.ids: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.ranks = {self.ids[a] << BITS | self.ids[b]: i for i, (a, b) in enumerate(pairs)}
+        self.merged = [self.ids[a + b] for a, b in pairs]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.specials.items()}
         self.splitter = special_splitter(list(self.specials))
         self.joiner = " " if spec.get("decoder") is None else None
-        self.cache, self.limit = {}, cache
-
-    def parts(self, word: str) -> list[str]:
-        """The parts of one pre-token (already in byte symbols)."""
-        symbols = [*word[:-1], word[-1] + self.suffix]
-        if len(symbols) > SHORT:
-            return self._long(symbols)
-        whole = word + self.suffix
-        ranks_of = self.ranks.get
-        bounds = [*range(len(word)), len(whole)]
-
-        def rank(i: int) -> int:
-            a, b, c = bounds[i:i + 3]
-            return ranks_of((whole[a:b], whole[b:c]), NO_RANK)
-
-        ranks = [ranks_of(pair, NO_RANK) for pair in zip(symbols, symbols[1:], strict=False)]
+        self.words, self.pieces = Recent(self.word, cache), Recent(self.piece, cache)
+
+    def symbols(self, word: str) -> list[int]:
+        """Ids of the single symbols of a pre-token, the last with the word end."""
+        return [*map(self.ids.__getitem__, word[:-1]), self.ids[word[-1] + self.suffix]]
+
+    def merge(self, parts: list[int]) -> list[int]:
+        """Merge in place.  ``parts[i]`` is the id of the part between boundaries i and i + 1,
+        ``ranks[i]`` the rank of merging across boundary i + 1."""
+        if len(parts) > SHORT:
+            return self._merge_long(parts)
+        rank_of, merged = self.ranks.get, self.merged
+        ranks = [rank_of(a << BITS | b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
                 break
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
+            parts[i] = part = merged[least]
+            del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank(i)
+                ranks[i] = rank_of(part << BITS | parts[i + 1], NO_RANK)
             if i:
-                ranks[i - 1] = rank(i - 1)
-        return [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                ranks[i - 1] = rank_of(parts[i - 1] << BITS | part, NO_RANK)
+        return parts
 
-    def _long(self, symbols: list[str]) -> list[str]:
-        n, parts = len(symbols), list(symbols)
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        n, rank_of = len(parts), self.ranks.get
+        parts: list = list(parts)
         left, right = [*range(-1, n - 1)], [*range(1, n + 1)]
-        heap = [(r, i) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of(parts[i] << BITS | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
             j = right[i]
-            if parts[i] is None or j >= n or self.ranks.get((parts[i], parts[j])) != r:
+            if parts[i] is None or j >= n or rank_of(parts[i] << BITS | parts[j]) != r:
                 continue
-            parts[i] += parts[j]
-            parts[j], right[i] = None, right[j]
+            parts[i], parts[j], right[i] = self.merged[r], None, right[j]
             if right[i] < n:
                 left[right[i]] = i
             for a in (left[i], i):
-                if a >= 0 and right[a] < n and (r := self.ranks.get((parts[a], parts[right[a]]))) is not None:
+                if a >= 0 and right[a] < n and (r := rank_of(parts[a] << BITS | parts[right[a]])) is not None:
                     heapq.heappush(heap, (r, a))
         return [p for p in parts if p is not None]
 
+    def word(self, word: str) -> bytes:
+        """Token ids of one pre-token (in byte symbols), as little-endian 32-bit integers."""
+        ids = array("I", self.merge(self.symbols(word)))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def piece(self, piece: str) -> bytes:
-        """Token ids of a piece without white space, as little-endian 32-bit integers."""
-        got = self.cache.get(piece)
-        if got is None:
+        """Token ids of a piece without white space."""
+        if _LATIN.fullmatch(piece):  # normalising is lower-casing there
+            words = [w.translate(_BYTES) for w in _LATIN_WORDS.findall(piece.lower())]
+        else:
             normalised = self.library.normalizer.normalize_str(piece) if self.library.normalizer else piece
-            ids = array("I", [self.ids[p] for word, _ in self.library.pre_tokenizer.pre_tokenize_str(normalised)
-                              for p in self.parts(word)])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            got = ids.tobytes()
-            if len(piece) <= LONGEST_CACHED:
-                if len(self.cache) >= self.limit:
-                    self.cache.clear()
-                self.cache[piece] = got
-        return got
+            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normalised)]
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         pieces = self.splitter.split(text) if self.splitter and self.splitter.search(text) else [text]
@@ -116,7 +143,7 @@ class Bpe:
             if i % 2:
                 out.append(self.specials[part].to_bytes(4, "little"))
             else:
-                out.extend(map(self.piece, white_words(part)))
+                out.extend(map(self.pieces.__getitem__, white_words(part)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -185,9 +212,28 @@ def decode(encoded: DataFrame, tokenizer_file: str, ids: str = "ids") -> DataFra
     return encoded.select(*keep).mapInArrow(run, out)
 
 
+def round_trip(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, ids, decoded)``: ``decode(encode(docs))`` in one pass over the rows."""
+    definition = read_text(tokenizer_file)
+    _check(definition)
+    shared = docs.sparkSession.sparkContext.broadcast(definition)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _held(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                ids = [bpe.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+                texts = pa.array((bpe.decode(b) for b in ids), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), texts], [doc_id, "ids", "decoded"])
+
+    out = T.StructType([docs.schema[doc_id], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    return docs.select(doc_id, F.col(text).cast("string")).mapInArrow(run, out)
+
+
 def digests(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encode, decode, and digest the results."""
-    done = decode(encode(docs, tokenizer_file, doc_id, text), tokenizer_file)
+    done = round_trip(docs, tokenizer_file, doc_id, text)
     return done.select(doc_id, F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

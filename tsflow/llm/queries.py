@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsflow.llm import bpe, decontamination, line_dedup, quality_rules, simhash_dedup, token_counts, url_filters
+from tsflow.llm import bpe, decontamination, line_dedup, quality_rules, simhash_dedup, suffix_dedup, token_counts, url_filters
 from tsflow.llm.common import documents, tokenizer_path
 
 TOKEN_LIMIT = 512
@@ -42,6 +42,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), benchmark)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(documents(spark, sf_dir), length=400)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
@@ -50,6 +54,7 @@ QUERIES = {
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_decontamination": op9_decontamination,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: DuckDB SQL; operators without an entry are tested against brute force in tests/llm.

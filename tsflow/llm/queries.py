@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsflow.llm import bpe, decontamination, line_dedup, pii, quality_rules, simhash_dedup, suffix_dedup, token_counts, url_filters
+from tsflow.llm import bpe, decontamination, license_scan, line_dedup, pii, quality_rules, simhash_dedup, suffix_dedup, token_counts, url_filters
 from tsflow.llm.common import documents, tokenizer_path
+from tsflow.llm.license_texts import TEMPLATES
 
 TOKEN_LIMIT = 512
 PII_KEY = "key of the query"  # a deployment passes its own secret
@@ -25,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir), PII_KEY)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir), TEMPLATES)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(documents(spark, sf_dir), min_docs=10, min_chars=1)
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
     "op3_pii": op3_pii,
+    "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_dedup": op7_simhash_dedup,

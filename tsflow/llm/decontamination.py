@@ -116,7 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     Null and empty texts hold none; an empty benchmark gives no row.  A repeated document gives
     its rows again, a null id stays null; an item that repeats under one id counts once.
     """
-    got = leaked_texts(docs, benchmark, text, item_id, item_text, **options)
+    got = cut(leaked_texts(docs, benchmark, text, item_id, item_text, **options))  # so that hot texts can be split in the join
     t1, t2 = hash128(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     own = docs.select(F.col(f"`{doc_id}`").alias("__id"), t1.alias("t1"), t2.alias("t2"))
     return own.join(got, ["t1", "t2"]).select(F.col("__id").alias(doc_id), F.col("item").alias(item_id), "n_windows", "n_matched")
@@ -124,6 +124,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that leak no item, all columns."""
-    got = leaked_texts(docs, benchmark, text, **options).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    got = cut(leaked_texts(docs, benchmark, text, **options).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct())
     keyed = docs.withColumns(dict(zip(("__t1", "__t2"), hash128(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), strict=True)))
     return keyed.join(got, ["__t1", "__t2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

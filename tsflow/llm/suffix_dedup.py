@@ -257,7 +257,8 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = 400, bloc
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     t1, t2 = hash128(body)
     texts = docs.where(F.octet_length(body) >= length).select(t1.alias("t1"), t2.alias("t2"), body.alias("text"))
-    again = _gram_hashes(texts, length).groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
+    # what is joined to a side that may be skewed is stored first: only joins of plain shuffles are split
+    again = cut(_gram_hashes(texts, length).groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"))
     # copies of a text give equal rows; they meet as one row with their number
     found = _intervals(texts, length).join(again, "gram", "left_semi").groupBy(
         "t1", "t2", "start", "n", "lead", "gram", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"))
@@ -267,9 +268,9 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = 400, bloc
     whole = found.join(kinds.where("copies > 1").select(*kind), kind, "left_semi").select("t1", "t2", "start", "n")
 
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("copies") == 1).alias("open")).where("k > 1 AND open")
-    open_kinds = kinds.join(mixed.select("gram"), "gram", "left_semi").select(
+    open_kinds = kinds.join(cut(mixed.select("gram")), "gram", "left_semi").select(
         "one.t1", "one.t2", F.struct("one.start", "n", "lead", "gram", (F.col("copies") > 1).alias("known")).alias("x"))
-    by_text = open_kinds.groupBy("t1", "t2").agg(F.collect_list("x").alias("found"))
+    by_text = cut(open_kinds.groupBy("t1", "t2").agg(F.collect_list("x").alias("found")))
     open_texts = texts.join(by_text, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("text", "t1", "t2", "found")
     parts = cut(_sort_groups(_members(open_texts, length, block), length, group))
     singles = parts.where("n = 0")
@@ -297,7 +298,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = 400, **op
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     t1, t2 = hash128(body)
     texts = docs.where(F.octet_length(body) >= length).select(t1.alias("t1"), t2.alias("t2"), body.alias("text"))
-    hit = texts.join(repeated_starts(docs, text, length, **options), ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    hit = texts.join(cut(repeated_starts(docs, text, length, **options)), ["t1", "t2"]).dropDuplicates(["t1", "t2"])
     schema = "t1 long, t2 long, spans array<struct<begin: int, end: int>>, kept binary"
     spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
@@ -324,9 +325,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     t1, t2 = hash128(body)
     own = docs.select(F.col(f"`{doc_id}`").alias("__id"), t1.alias("t1"), t2.alias("t2"), F.octet_length(body).cast("long").alias("n_bytes"),
                       F.sha2(F.encode(body, "UTF-8"), 256).alias("whole"))
-    hit = without_repeats(docs, text, length, **options).select(
+    hit = cut(without_repeats(docs, text, length, **options).select(
         "t1", "t2", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]).alias("gone"),
-        F.size("spans").cast("long").alias("cuts"), F.sha2("kept", 256).alias("kept"))
+        F.size("spans").cast("long").alias("cuts"), F.sha2("kept", 256).alias("kept")))
     return own.join(hit, ["t1", "t2"], "left").select(
         F.col("__id").alias(doc_id), "n_bytes", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))

@@ -148,8 +148,8 @@ def test_m4_regroup_and_owa(spark):
     assert r["Others"]["smape"] == pytest.approx((30 * 1 + 40 * 3) / 4)
     assert r["Average"]["smape"] == pytest.approx((10 * 2 + 20 * 2 + 30 + 40 * 3) / 8)
     base = sc.select("grp", (F.col("smape") * 2).alias("smape"), "mape", (F.col("mase") * 4).alias("mase"), "n_series")
-    o = {x["grp"]: x["owa"] for x in m4_owa(m4_regroup(sc, ["A", "B"], ["smape", "mape", "mase"]),
-                                           m4_regroup(base, ["A", "B"], ["smape", "mape", "mase"])).collect()}
+    both = sc.withColumn("forecast", F.lit("m")).unionByName(base.withColumn("forecast", F.lit("b")))
+    o = {x["grp"]: x["owa"] for x in m4_owa(m4_regroup(both, ["A", "B"], ["smape", "mape", "mase"], by=["forecast"]), "m", "b").collect()}
     assert o["A"] == pytest.approx(round((0.25 + 0.5) / 2, 3))
 
 
@@ -203,18 +203,14 @@ def test_period_agg_and_shared_lags(spark):
     assert all(len(v) == 1 for v in by.values())
 
 
-def test_autocorr_fft_path_matches_hof(spark):
+def test_autocorr_matches_the_sum_at_every_length(spark):
     rng = np.random.default_rng(9)
-    rows = [([float(v) for v in rng.normal(size=n)],) for n in (16, 16, 300, 300, 17)]
-    df = spark.createDataFrame(rows, "x array<double>").withColumn("n", F.size("x"))
-    for L in (16, 300):
-        sub = df.where(F.col("n") == L)
-        a = sub.select(S.autocorr(F.col("x"), L, method="hof").alias("r")).collect()
-        b = sub.select(S.autocorr(F.col("x"), L, method="fft").alias("r")).collect()
-        for ra, rb in zip(a, b):
-            assert np.allclose(ra["r"], rb["r"], atol=1e-8)
-    c = df.where(F.col("n") == 300).select(S.autocorr(F.col("x"), 300).alias("r")).first()["r"]
-    assert len(c) == 300
+    for length in (1, 16, 17, 300):
+        xs = [[float(v) for v in rng.normal(size=length)] for _ in range(5)]
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x array<double>")
+        for r in df.select("i", S.autocorr(F.col("x"), length).alias("r")).collect():
+            x = np.array(xs[r["i"]])
+            assert np.allclose(r["r"], [np.dot(x, np.roll(x, -k)) for k in range(length)], atol=1e-8)
 
 
 @pytest.mark.parametrize("mode,seq,label,pred,cut,x,xm,y,ym", [

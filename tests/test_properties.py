@@ -169,13 +169,64 @@ def test_csv_readers_with_declared_schema(spark, tmp_path):
     assert read_cycles(spark, str(tmp_path / "cyc"), cs).exceptAll(c).count() == 0
 
 
-def test_error_quantiles_exact_and_approx(spark):
-    from tsflow.operators.metrics import error_quantiles
-    df = spark.range(1001).select(F.col("id").cast("double").alias("v"))
-    ex = error_quantiles(df, "v").first()
-    assert (ex["q25"], ex["q75"]) == (250.0, 750.0)
-    ap = error_quantiles(df, "v", approx=True).first()
-    assert abs(ap["q25"] - 250) <= 1 and abs(ap["q75"] - 750) <= 1
+def test_error_quantiles_are_exact(spark, monkeypatch):
+    """For any size, ties and sketch accuracy: what ``describe()`` gives."""
+    from tsflow.operators import metrics
+    rng = np.random.default_rng(3)
+    for accuracy in (metrics.SKETCH, 20):
+        monkeypatch.setattr(metrics, "SKETCH", accuracy)
+        for values in ([5.0], [1.0, 2.0], [1.0, 2.0, 4.0, 8.0, 16.0, 32.0], [0.0] * 50 + [1.0], rng.normal(size=208), np.round(rng.normal(size=1001), 1)):
+            df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+            got = metrics.error_quantiles(df, "v", (0.25, 0.5, 0.75)).first()
+            assert np.allclose(list(got), np.quantile(np.asarray(values), (0.25, 0.5, 0.75)))
+
+
+def test_hot_series_runs_in_many_tasks(spark):
+    """Three quarters of all rows in one series, stored and read back: window and join operators
+    still spread it over its blocks."""
+    from tsflow.operators.series import moving_avg, point_adjust
+    from tsflow.operators.windows import cut_windows
+    from tsflow.session import store_table
+    rows = spark.range(40000).selectExpr("CASE WHEN id < 30000 THEN 0 ELSE 1 + id % 7 END AS s", "id", "sin(id) AS v",
+                                         "CAST(sin(id / 50) > 0 AS INT) AS gt", "CAST(sin(id) > 0.99 AS INT) AS pred")
+    df = rows.selectExpr("s", "CASE WHEN s = 0 THEN id ELSE floor((id - 30000) / 7) END AS pos", "v", "gt", "pred")
+    df = store_table(df.withColumn("b", F.floor(F.col("pos") / 256)), "hot", ["s", "b", "pos"]).drop("b")
+    cuts = spark.createDataFrame([(0, 30000, 15000)], "s long, n long, cut long")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for out in (moving_avg(df, ["s"], "v", 25, block=256), point_adjust(df, ["s"], "gt", "pred", block=256),
+                    cut_windows(df, cuts, ["s"], "v", "cut", 12000, 10, 2000, block=256, parts=("x",))):
+            ran = out.where("s = 0").mapInArrow(lambda it: it, out.schema)  # all columns are needed, so no operator is pruned
+            per = ran.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            total = sum(r["count"] for r in per)
+            assert len(per) >= 4 and max(r["count"] for r in per) < total / 2, per
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+    from tsflow.session import checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda p: None)
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_mase_scale_by_frequency_and_blocks(spark):
+    from tsflow.operators.metrics import mase_scale
+    rng = np.random.default_rng(8)
+    data = {s: rng.normal(size=n) for s, n in enumerate((1, 3, 40, 200))}
+    freq = {0: 1, 1: 4, 2: 4, 3: 2}
+    df = spark.createDataFrame([(s, p, float(v), freq[s]) for s, x in data.items() for p, v in enumerate(x)], "s int, pos long, v double, f int")
+    for block in (16, 4096):
+        got = {r["s"]: r["masep"] for r in mase_scale(df, ["s"], "v", "f", freqs=[1, 2, 4], block=block).collect()}
+        for s, x in data.items():
+            want = np.abs(x[freq[s]:] - x[:-freq[s]]).mean() if len(x) > freq[s] else None
+            assert got[s] is None if want is None else abs(got[s] - want) < 1e-12
 
 
 def test_filters_and_dataframe_forms(spark):

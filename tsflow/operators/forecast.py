@@ -3,9 +3,9 @@
 * ``forecast_mean``   -- uniform-weight linear model: the window mean repeated over the horizon.
 * ``fit_linear``      -- least-squares linear map x -> horizon (same function class as a
   seasonal+trend linear model, since trend = M x and seasonal = x - M x).  Gram partials
-  are built per Arrow batch inside the tasks and summed by Spark; only the summed
-  (L+1) x (L+1+pred) system per group reaches the driver for the solve.
-* ``forecast_linear`` -- apply the coefficients with array HOFs (stays in the JVM).
+  are built per Arrow batch inside the tasks, summed by Spark, and solved in tasks, one
+  (L+1) x (L+1+pred) system per group; nothing passes through the driver.
+* ``forecast_linear`` -- one matrix product per Arrow batch and group.
 * ``score_windows``   -- any Python predictor over Arrow batches (``mapInPandas``).
 """
 
@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def forecast_drift(x: Column, pred: int) -> Column:
+    """Last value plus the mean step of the window times the horizon step (1, 2, ...)."""
+    slope = (F.element_at(x, -1) - F.element_at(x, 1)) / (F.size(x) - 1)
+    return F.transform(F.sequence(F.lit(1), F.lit(pred)), lambda h: F.element_at(x, -1) + slope * h)
+
+
 def forecast_mean(x: Column, pred: int) -> Column:
     """Window mean (over all ``x`` slots) repeated ``pred`` times."""
     mean = F.aggregate(x, F.lit(0.0), lambda a, b: a + b) / F.size(x)
@@ -56,66 +62,90 @@ def fit_linear(windows: DataFrame, x: str, y: str, seq: int, pred: int, by: Sequ
                ridge: float = 0.0) -> DataFrame:
     """Least-squares coefficients per ``by`` group (``individual`` mode) or shared.
 
-    Returns a small DataFrame ``(by..., coef ARRAY<DOUBLE>)`` with coef laid out as
-    (seq + 1) rows x pred columns (last row = bias).
+    Each task sums its windows' Gram matrices (one row per group and task); the sums meet per
+    group, rows of the matrix apart, and each group's system is solved in a task of its own.
+    Returns ``(by..., coef ARRAY<DOUBLE>)`` with coef laid out as (seq + 1) rows x pred columns (last
+    row = bias, which ``ridge`` does not penalise).
     """
     by = list(by)
     L, P = seq, pred
-    schema = T.StructType([*[windows.schema[b] for b in by], T.StructField("_gram", T.ArrayType(T.DoubleType()))])
+    keys = [windows.schema[b] for b in by]
+    schema = T.StructType([*keys, T.StructField("_gram", T.ArrayType(T.DoubleType()))])
     parts = windows.select(*by, x, y).mapInPandas(_gram_partials(x, y, by, L, P), schema=schema)
-    n = (L + 1) * (L + 1) + (L + 1) * P
-    summed = (parts.select(*by, F.posexplode("_gram").alias("_i", "_v"))
-              .groupBy(*by, "_i").agg(F.sum("_v").alias("_v")))
-    # bounded: one (L+1)x(L+1+P) system per group -- the solve is the only driver step
-    sys_rows = summed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_s")).collect()
-    out = []
-    for r in sys_rows:
-        vals = np.array([e["_v"] for e in r["_s"]], dtype=float)
-        assert vals.size == n
-        xtx = vals[: (L + 1) ** 2].reshape(L + 1, L + 1)
-        xty = vals[(L + 1) ** 2:].reshape(L + 1, P)
-        A = xtx + ridge * np.eye(L + 1)
-        coef, *_ = np.linalg.lstsq(A, xty, rcond=None)
-        out.append([*(r[b] for b in by), coef.ravel().tolist()])
-    spark = windows.sparkSession
-    cs = T.StructType([*[windows.schema[b] for b in by], T.StructField("coef", T.ArrayType(T.DoubleType()))])
-    return spark.createDataFrame(out, schema=cs)
+    # one matrix row per (group, i): a partial sum per position, then one bounded array per group
+    width = L + 1 + P
+    cells = parts.select(*by, F.posexplode("_gram").alias("_i", "_v")).groupBy(*by, "_i").agg(F.sum("_v").alias("_v"))
+    systems = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_s"))
+    out = T.StructType([*keys, T.StructField("coef", T.ArrayType(T.DoubleType()))])
+
+    def solve(it):
+        for pdf in it:
+            coefs = []
+            for cells_of in pdf["_g"]:
+                flat = np.asarray(cells_of, dtype=float)
+                assert flat.size == (L + 1) * width
+                xtx = flat[: (L + 1) ** 2].reshape(L + 1, L + 1)
+                xty = flat[(L + 1) ** 2:].reshape(L + 1, P)
+                penalty = ridge * np.eye(L + 1)
+                penalty[L, L] = 0.0
+                coefs.append(np.linalg.lstsq(xtx + penalty, xty, rcond=None)[0].ravel().tolist())
+            res = pdf[by].copy()
+            res["coef"] = coefs
+            yield res
+
+    return systems.select(*by, F.transform("_s", lambda e: e["_v"]).alias("_g")).mapInPandas(solve, schema=out)
 
 
 def forecast_linear(windows: DataFrame, coef: DataFrame, x: str, seq: int, pred: int, by: Sequence[str] = (),
                     name: str = "yhat") -> DataFrame:
-    """yhat[j] = bias[j] + sum_i x[i] * W[i, j] with array HOFs; the coefficient table is
-    bounded by the group count and is broadcast."""
+    """``yhat = [x, 1] @ W``: windows meet their group's coefficients in an equi-join (Spark broadcasts
+    the coefficients where they are small), and each Arrow batch is one matrix product per group."""
     by = list(by)
     if by:
-        d = windows.join(F.broadcast(coef), on=by)
-    else:
+        d = windows.join(coef, on=by)
+    else:  # one row
         d = windows.withColumn("_k", F.lit(1)).join(F.broadcast(coef.withColumn("_k", F.lit(1))), on="_k").drop("_k")
-    xc, W = F.col(x), F.col("coef")
-    yhat = F.transform(
-        F.sequence(F.lit(0), F.lit(pred - 1)),
-        lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(seq - 1)), F.element_at(W, seq * pred + j + 1),
-                              lambda acc, i: acc + F.element_at(xc, i + 1) * F.element_at(W, i * pred + j + 1)))
-    return d.withColumn(name, yhat).drop("coef")
+    schema = T.StructType([*(f for f in d.schema if f.name != "coef"), T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def apply(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            out = np.empty((len(pdf), pred))
+            groups = pdf.groupby(by, sort=False).indices.values() if by else [np.arange(len(pdf))]
+            for at in groups:
+                W = np.asarray(pdf["coef"].iloc[at[0]], dtype=float).reshape(seq + 1, pred)
+                out[at] = np.vstack(pdf[x].iloc[at].to_numpy()).astype(float) @ W[:seq] + W[seq]
+            res = pdf.drop(columns="coef")
+            res[name] = list(out)
+            yield res
+
+    return d.mapInPandas(apply, schema=schema)
 
 
-def score_windows(windows: DataFrame, predict: Callable[[np.ndarray], np.ndarray], x: str, pred: int,
-                  keys: Sequence[str], name: str = "yhat") -> DataFrame:
-    """Run a user predictor over Arrow batches: ``predict(X [B, L]) -> [B, pred]``."""
+def score_windows(windows: DataFrame, predict: Callable[..., np.ndarray], x: str, pred: int,
+                  keys: Sequence[str], name: str = "yhat", inputs: Sequence[str] = ()) -> DataFrame:
+    """Run a user predictor over Arrow batches: ``predict(X [B, L], *inputs) -> [B, pred]``.
+
+    ``inputs`` are further array columns (time marks, masks, decoder input), each handed over as
+    an array with the batch as its first axis.
+    """
     keys = list(keys)
     schema = T.StructType([*[windows.schema[k] for k in keys],
                            T.StructField(name, T.ArrayType(T.DoubleType()))])
 
+    def stack(column) -> np.ndarray:
+        return np.stack([np.vstack(v) if len(v) and hasattr(v[0], "__len__") else np.asarray(v, dtype=float) for v in column]).astype(float)
+
     def fn(it):
         for pdf in it:
             if pdf.empty:
                 continue
-            X = np.vstack(pdf[x].to_numpy()).astype(float)
-            Y = np.asarray(predict(X), dtype=float).reshape(len(pdf), pred)
+            Y = np.asarray(predict(*(stack(pdf[c]) for c in (x, *inputs))), dtype=float).reshape(len(pdf), pred)
             out = pdf[keys].copy()
             out[name] = list(Y)
             yield out
-    return windows.select(*keys, x).mapInPandas(fn, schema=schema)
+    return windows.select(*keys, x, *inputs).mapInPandas(fn, schema=schema)
 
 
 def mean_predictor(pred: int) -> Callable[[np.ndarray], np.ndarray]:

@@ -10,24 +10,25 @@ from tsflow.operators.metrics import error_quantiles
 RKEYS = ["batch", "seq"]
 
 
-def result_table(x_long: DataFrame, y_long: DataFrame, fc_long: DataFrame, wkeys: list[str], seq: int,
-                 label: int, pred: int, history: bool = True, mask_multiply: bool = False) -> DataFrame:
-    """Long result rows per window: ids 0..seq-1 history (y = yhat = x target), then the horizon:
-    y = truth at y-step label + h, yhat = forecast step h.
-
-    ``x_long``: (wkeys, step, value, mask); ``y_long``: (wkeys, step, value, mask);
-    ``fc_long``: (wkeys, h, yhat).  ``wkeys`` must contain ``batch`` and ``seq``.
-    With ``mask_multiply`` history and truth are multiplied by their masks.
+def result_rows(windows: DataFrame, keys: list[str], label: int, x: str = "x", y: str = "y", yhat: str = "yhat",
+                x_mask: str | None = None, y_mask: str | None = None, history: bool = True) -> DataFrame:
+    """Long result rows ``(keys, id, y, yhat, mask)`` from one row per window with arrays.
+
+    Ids 0..seq-1 are history (y = yhat = x; left out without ``history``, where ids are horizon
+    steps), then the horizon: y = truth at y slot label + h, yhat =
+    forecast step h (null where the forecast is shorter).  Masks multiply history and truth and are
+    kept as a column (1 without masks).  One explode per window: no join, no shuffle.
     """
-    xv = F.col("value") * F.col("mask") if mask_multiply else F.col("value")
-    hist = x_long.select(*wkeys, F.col("step").alias("id"), xv.alias("y"), xv.alias("yhat"))
-    yv = F.col("value") * F.col("mask") if mask_multiply else F.col("value")
-    truth = y_long.where(F.col("step") >= label).select(*wkeys, (F.col("step") - label).alias("h"), yv.alias("y"))
-    hz = truth.join(fc_long, on=[*wkeys, "h"], how="full")
-    off = seq if history else 0
-    hz = hz.select(*wkeys, (F.col("h") + off).alias("id"), "y", "yhat")
-    out = hz.unionByName(hist) if history else hz
-    return out.withColumn("id", F.col("id").cast("bigint"))
+    one = lambda a: F.transform(a, lambda v: F.lit(1.0))
+    mx = F.col(x_mask) if x_mask else one(F.col(x))
+    my = F.col(y_mask) if y_mask else one(F.col(y))
+    past = F.transform(F.arrays_zip(F.col(x).alias("v"), mx.alias("m")),
+                       lambda z: F.struct((z["v"] * z["m"]).alias("y"), (z["v"] * z["m"]).alias("yhat"), z["m"].alias("mask")))
+    rest = F.size(y) - label
+    ahead = F.transform(F.arrays_zip(F.slice(F.col(y), label + 1, rest).alias("v"), F.slice(my, label + 1, rest).alias("m"), F.col(yhat).alias("f")),
+                        lambda z: F.struct((z["v"] * z["m"]).alias("y"), z["f"].alias("yhat"), z["m"].alias("mask")))
+    rows = windows.select(*keys, F.posexplode(F.concat(past, ahead) if history else ahead).alias("id", "r"))
+    return rows.select(*keys, F.col("id").cast("bigint").alias("id"), "r.y", "r.yhat", "r.mask")
 
 
 def with_dif(df: DataFrame) -> DataFrame:
@@ -63,11 +64,14 @@ def series_rmse(df: DataFrame, from_id: int) -> DataFrame:
 
 
 def tail_border(df: DataFrame, seq: int, offset: int = 3, extra: int = 2, fill: float = 1.95) -> DataFrame:
-    """Plot segment of each masked series: ids in [seq - offset, border + extra) where border is
-    the first id with y == 0; zeros in y replaced by ``fill``."""
-    b = df.groupBy(*RKEYS).agg(F.min(F.when(F.col("y") == 0, F.col("id"))).alias("border"))
+    """Plot segment of each masked series: ids in [seq - offset, border + extra), where border is the
+    first horizon id whose mask is 0, or one past the last id of a series that fills its horizon.
+    Every series stays; a real zero, or a left pad, ends nothing.  Masked cells show ``fill``.
+    """
+    off = (F.col("mask") == 0) & (F.col("id") >= seq)
+    b = df.groupBy(*RKEYS).agg(F.coalesce(F.min(F.when(off, F.col("id"))), F.max("id") + 1).alias("border"))
     d = df.join(b, on=RKEYS).where((F.col("id") >= seq - offset) & (F.col("id") < F.col("border") + extra))
-    return d.select(*RKEYS, "id", "border", F.when(F.col("y") == 0, F.lit(fill)).otherwise(F.col("y")).alias("y_plot"),
+    return d.select(*RKEYS, "id", "border", F.when(F.col("mask") == 0, F.lit(fill)).otherwise(F.col("y")).alias("y_plot"),
                     "yhat")
 
 

@@ -51,8 +51,8 @@ def unscale(df: DataFrame, scaler: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def scale_long(df: DataFrame, scaler: DataFrame, channel: str, value: str, inverse: bool = False) -> DataFrame:
-    """Long form: join the per-channel table (bounded by the channel count -> broadcast)."""
-    j = df.join(F.broadcast(scaler), on=channel)
+    """Long form: join the per-channel table (Spark broadcasts it where it is small)."""
+    j = df.join(scaler, on=channel)
     v = F.col(value) * F.col("std") + F.col("mean") if inverse else (F.col(value) - F.col("mean")) / F.col("std")
     return j.withColumn(value, v).drop("mean", "std")
 

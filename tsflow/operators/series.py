@@ -18,54 +18,58 @@ def _c(x) -> Column:
 
 
 # ---------------------------------------------------------------- moving average / decomposition
-def moving_avg(df: DataFrame, keys: Sequence[str], col: str, k: int, pos: str = "pos",
-               name: str = "trend", block: int | None = None) -> DataFrame:
-    """Centred moving average of odd width ``k`` with edge replication.
-
-    (sum of the in-range frame + missing slots filled with the first / last value) / k,
-    as window SQL over each series ordered by ``pos`` (0-based, dense).  The first /
-    last value and length come from a per-series aggregate (partial, tiny) joined back.
-    ``block`` turns on halo blocks: rows are copied into neighbouring blocks within
-    ``(k-1)/2`` positions, the frame runs per (series, block), and each row is kept in
-    its own block -- a long series becomes many tasks.
+def moving_avgs(df: DataFrame, keys: Sequence[str], col: str, kernels: dict[str, int], pos: str = "pos",
+                block: int | None = None) -> DataFrame:
+    """Centred moving averages of odd widths ``{name: k}`` with edge replication, in one window pass.
+
+    Rows of a series are numbered 0, 1, ... by ``pos``.  A frame that is cut short by an end of the
+    series is filled up with the first or last value.  The frame itself shows that: it holds fewer
+    rows than it should, and its outermost row is the series' first or last one, so no second
+    shuffle fetches the ends.  ``block`` turns on halo blocks: rows are copied into neighbouring
+    blocks within reach of the widest kernel, the window runs per (series, block), and each row is
+    kept in its own block, so a long series becomes many tasks.
     """
-    if k % 2 != 1:
+    if any(k % 2 != 1 for k in kernels.values()):
         raise ValueError("kernel size must be odd")
-    keys = list(keys)
-    h = (k - 1) // 2
-    edges = df.groupBy(*keys).agg(F.min_by(F.col(col), F.col(pos)).alias("_first"),
-                                  F.max_by(F.col(col), F.col(pos)).alias("_last"),
-                                  F.count(F.lit(1)).alias("_n"))
-    src = df
     part = list(keys)
+    reach = (max(kernels.values()) - 1) // 2
+    src = df
     if block is not None:
-        if block < 2 * h:
+        if block < 2 * reach:
             raise ValueError("block must be >= k - 1")
-        lo = F.greatest(F.floor((F.col(pos) - h) / block), F.lit(0)).cast("bigint")
-        hi = F.floor((F.col(pos) + h) / block).cast("bigint")
+        lo = F.greatest(F.floor((F.col(pos) - reach) / block), F.lit(0)).cast("bigint")
+        hi = F.floor((F.col(pos) + reach) / block).cast("bigint")
         src = df.withColumn("_blk", F.explode(F.sequence(lo, hi)))
         part.append("_blk")
     w = Window.partitionBy(*part).orderBy(pos)
-    d = src.withColumn("_s", F.sum(col).over(w.rowsBetween(-h, h)))
+    out = {}
+    for name, k in kernels.items():
+        h = (k - 1) // 2
+        before, after = w.rowsBetween(-h, 0), w.rowsBetween(0, h)
+        left = F.lit(h + 1) - F.count(F.lit(1)).over(before)
+        right = F.lit(h + 1) - F.count(F.lit(1)).over(after)
+        out[name] = (F.sum(col).over(w.rowsBetween(-h, h)) + left * F.first(col).over(before)
+                     + right * F.last(col).over(after)) / F.lit(float(k))
+    d = src.select("*", *(c.alias(n) for n, c in out.items()))
     if block is not None:
         d = d.where(F.floor(F.col(pos) / block) == F.col("_blk")).drop("_blk")
-    d = d.join(edges, on=keys)
-    left = F.greatest(F.lit(0), F.lit(h) - F.col(pos))
-    right = F.greatest(F.lit(0), F.lit(h) - (F.col("_n") - 1 - F.col(pos)))
-    ma = (F.col("_s") + left * F.col("_first") + right * F.col("_last")) / F.lit(float(k))
-    return d.withColumn(name, ma).drop("_s", "_first", "_last", "_n")
+    return d
+
+
+def moving_avg(df: DataFrame, keys: Sequence[str], col: str, k: int, pos: str = "pos",
+               name: str = "trend", block: int | None = None) -> DataFrame:
+    """One centred moving average; see ``moving_avgs``."""
+    return moving_avgs(df, keys, col, {name: k}, pos, block)
 
 
 def decompose(df: DataFrame, keys: Sequence[str], col: str, kernels, pos: str = "pos",
               block: int | None = None) -> DataFrame:
     """trend = moving average (mean of several kernels when a list), seasonal = x - trend."""
     ks = [kernels] if isinstance(kernels, int) else list(kernels)
-    d = df
-    for i, k in enumerate(ks):
-        d = moving_avg(d, keys, col, k, pos, name=f"_t{i}", block=block)
-    trend = sum((F.col(f"_t{i}") for i in range(len(ks))), F.lit(0.0)) / float(len(ks))
-    d = d.withColumn("trend", trend).withColumn("seasonal", F.col(col) - F.col("trend"))
-    return d.drop(*[f"_t{i}" for i in range(len(ks))])
+    names = [f"_t{i}" for i in range(len(ks))]
+    d = moving_avgs(df, keys, col, dict(zip(names, ks, strict=True)), pos, block)
+    trend = sum((F.col(n) for n in names), F.lit(0.0)) / float(len(ks))
+    return d.withColumn("trend", trend).withColumn("seasonal", F.col(col) - F.col("trend")).drop(*names)
 
 
 def array_moving_avg(x: Column, length: int, k: int) -> Column:
@@ -100,35 +104,19 @@ def pin(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
-FFT_FROM = 256  # window length from which the O(T log T) Arrow/numpy path replaces the O(T^2) HOF
-
+def autocorr(x: Column, length: int) -> Column:
+    """Circular autocorrelation r[k] = sum_i x[i] * x[(i+k) mod T] of windows of ``length`` values.
 
-def _autocorr_fft_udf():
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def fft_autocorr(s: pd.Series) -> pd.Series:
-        # one vectorised FFT per Arrow batch of equal-length windows
-        n = s.map(len)
-        out = pd.Series([None] * len(s), index=s.index, dtype=object)
-        for length, idx in s.groupby(n).groups.items():
-            X = np.vstack(s.loc[idx].to_numpy()).astype(float)
-            R = np.fft.irfft(np.abs(np.fft.rfft(X, axis=1)) ** 2, n=int(length), axis=1)
-            out.loc[idx] = list(R)
-        return out
-    return fft_autocorr
-
-
-def autocorr(x: Column, length: int, method: str = "auto") -> Column:
-    """Circular autocorrelation r[k] = sum_i x[i] * x[(i+k) mod T] (the inverse FFT of |FFT x|^2).
-
-    ``method``: ``hof`` (JVM array functions, O(T^2), exact sums), ``fft`` (Arrow batches +
-    numpy FFT, O(T log T)), ``auto`` = fft from ``FFT_FROM`` on.
+    One path for every length: a numpy FFT over one Arrow batch of windows at a time,
+    T log T per window.
     """
-    if method == "fft" or (method == "auto" and length >= FFT_FROM):
-        return _autocorr_fft_udf()(x)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)),
-        lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0.0),
-                              lambda acc, i: acc + F.element_at(x, i + 1) * F.element_at(x, F.pmod(i + k, F.lit(length)) + 1)))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def correlate(s: pd.Series) -> pd.Series:
+        if s.empty:
+            return pd.Series([], dtype=object)
+        power = np.abs(np.fft.rfft(np.vstack(s.to_numpy()).astype(float), axis=1)) ** 2
+        return pd.Series(list(np.fft.irfft(power, n=length, axis=1)), index=s.index)
+    return correlate(x)
 
 
 def top_lags(r: Column, k: int = 5) -> Column:
@@ -165,6 +153,12 @@ def period_agg(df: DataFrame, x: str, length: int, factor: float = 1.0, r: str |
     return d.withColumn(name, out).drop("_top", "_mx", "_w", "_den", *([] if r is not None else ["_r"]))
 
 
+def period_agg_full(df: DataFrame, x: str, length: int, factor: float = 1.0, name: str = "period_agg") -> DataFrame:
+    """The per-channel form: every channel's own correlation picks its lags and gives its weights.
+    ``df`` has one row per (window, channel), so this is ``period_agg`` on each row."""
+    return period_agg(df, x, length, factor, name=name)
+
+
 def shared_lag_corr(df: DataFrame, batch: str, r: str, length: int) -> DataFrame:
     """Training-time variant: the correlation averaged over each batch, so every series of a
     batch shares the same top lags (a plain group-by on the batch id, element-wise mean)."""
@@ -225,20 +219,27 @@ def point_adjust(df: DataFrame, keys: Sequence[str], gt: str, pred: str, pos: st
     """Gaps-and-islands point adjustment: a hit (gt = 1 and pred = 1) anywhere in a run of
     gt = 1 flags the whole run, except position 0 (never back-filled).
 
-    Island id = running count of gt = 0 rows.  The running count is built from per-block
-    counts (a tiny table, prefix-summed) plus a running sum inside each block, so a long
-    series is not one task; hits are found with a group-by on (series, island).
+    A run is named by the position of the last gt = 0 row before it.  Inside a block of ``block``
+    positions that is a window; for the run that a block starts with it is the last gt = 0 row
+    of the earlier blocks, from one summary row per block.  So a long series runs in many tasks.
+    Only gt = 1 rows meet their run's hit flag, by (block, run), so that a run of any length is
+    spread over its blocks; gt = 0 rows pass by.
     """
     keys = list(keys)
-    d = df.withColumn("_blk", F.floor(F.col(pos) / block).cast("bigint")) \
-          .withColumn("_z", (F.col(gt) == 0).cast("bigint"))
-    bc = d.groupBy(*keys, "_blk").agg(F.sum("_z").alias("_bz"))
-    bc = bc.withColumn("_off", F.coalesce(F.sum("_bz").over(
-        Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.join(bc.select(*keys, "_blk", "_off"), on=[*keys, "_blk"])
-    d = d.withColumn("_isl", F.col("_off") + F.sum("_z").over(
-        Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)))
-    hits = d.groupBy(*keys, "_isl").agg(F.max(((F.col(gt) == 1) & (F.col(pred) == 1)).cast("int")).alias("_hit"))
-    d = d.join(hits, on=[*keys, "_isl"])
-    adj = F.when((F.col(gt) == 1) & (F.col("_hit") == 1) & (F.col(pos) > 0), F.lit(1)).otherwise(F.col(pred))
-    return d.withColumn(name, adj.cast("int")).drop("_blk", "_z", "_off", "_isl", "_hit")
+    zero = F.when(F.col(gt) == 0, F.col(pos))
+    d = df.withColumn("_blk", F.floor(F.col(pos) / block).cast("bigint"))
+    ends = d.groupBy(*keys, "_blk").agg(F.max(zero).alias("_z"))
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_blk", F.max("_z").over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_last", F.max(zero).over(inside)).join(ends, on=[*keys, "_blk"])
+    d = d.withColumn("_run", F.coalesce("_last", "_carry", F.lit(-1)))
+    flagged = d.where(F.col(gt) == 1)
+    parts = flagged.groupBy(*keys, "_blk", "_run").agg(F.max((F.col(pred) == 1).cast("int")).alias("_h"))
+    whole = parts.groupBy(*keys, "_run").agg(F.max("_h").alias("_hit"))
+    parts = parts.select(*keys, "_blk", "_run").join(whole, on=[*keys, "_run"])
+    flagged = flagged.join(parts, on=[*keys, "_blk", "_run"])
+    adj = F.when((F.col("_hit") == 1) & (F.col(pos) > 0), F.lit(1)).otherwise(F.col(pred))
+    out = [*df.columns]
+    return (flagged.select(*out, adj.cast("int").alias(name))
+            .unionByName(d.where((F.col(gt) != 1) | F.col(gt).isNull()).select(*out, F.col(pred).cast("int").alias(name))))

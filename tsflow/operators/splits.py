@@ -66,14 +66,16 @@ def split_ratio(df: DataFrame, pos: str, lookback: int, train: float = 0.7, test
 
 
 def split_groups(df: DataFrame, keys: Sequence[str], seed: int = 42, bounds: tuple = (0.6, 0.7),
-                 hex_bucket: int = 3) -> DataFrame:
+                 hex_bucket: int = 4, keep: Sequence[str] = ()) -> DataFrame:
     """Whole groups to one split: distinct keys in md5(seed, key) order, borders ``floor(b * n)``.
 
-    Returns one row per key: ``(keys, split, rank, split_rank)``.  The global rank is a
-    bucketed rank on the hash prefix (4096 buckets), never a one-task window.
+    Returns one row per key: ``(keys, keep, split, rank, split_rank)``; ``keep`` columns are constant
+    per key.  The global rank is a
+    bucketed rank on the hash prefix (16 ** hex_bucket buckets of equal expected size; more
+    digits for more than some 10 ** 11 keys), never a one-task window.
     """
     keys = list(keys)
-    distinct = df.select(*keys).distinct()
+    distinct = df.groupBy(*keys).agg(*(F.first(c).alias(c) for c in keep)) if keep else df.select(*keys).distinct()
     h = hash_int("split", seed, keys)
     ranked = global_rank(distinct.withColumn("_h", h), ["_h", *keys],
                          bucket=hash_bucket("split", seed, keys, hex_bucket), name="rank",
@@ -84,7 +86,7 @@ def split_groups(df: DataFrame, keys: Sequence[str], seed: int = 42, bounds: tup
     b2 = F.floor(F.lit(float(bounds[1])) * F.col("_n"))
     split = F.when(F.col("rank") < b1, "train").when(F.col("rank") < b2, "val").otherwise("test")
     start = F.when(F.col("rank") < b1, 0).when(F.col("rank") < b2, b1).otherwise(b2)
-    return r.select(*keys, split.alias("split"), "rank", (F.col("rank") - start).cast("bigint").alias("split_rank"))
+    return r.select(*keys, *keep, split.alias("split"), "rank", (F.col("rank") - start).cast("bigint").alias("split_rank"))
 
 
 def with_batches(df: DataFrame, rank: str, size: int, n_col: str | None = None, drop_last: bool = False,

@@ -58,27 +58,31 @@ cte("ev", [], """
   FROM events""")
 
 _types = ["click", "error", "purchase", "signup", "view"]
+_is = {t: f"event_type = '{t}'" for t in _types} | {
+    "other": "event_type IS NULL OR event_type NOT IN (" + ", ".join(f"'{t}'" for t in _types) + ")"}
 cte("hourly", [], """
   SELECT hour_ts, CAST(row_number() OVER (ORDER BY hour_ts) - 1 AS BIGINT) AS pos, {cols}
   FROM (SELECT date_trunc('hour', ts) AS hour_ts, {aggs} FROM events GROUP BY 1)""".format(
-    cols=", ".join([f"n_{t}" for t in _types] + [f"v_{t}" for t in _types]),
-    aggs=", ".join([f"CAST(count(*) FILTER (WHERE event_type = '{t}') AS DOUBLE) AS n_{t}" for t in _types]
-                   + [f"coalesce(sum(value) FILTER (WHERE event_type = '{t}'), 0.0) AS v_{t}" for t in _types])))
+    cols=", ".join(f"{k}_{t}" for k in "nv" for t in _is),
+    aggs=", ".join([f"CAST(count(*) FILTER (WHERE {c}) AS DOUBLE) AS n_{t}" for t, c in _is.items()]
+                   + [f"coalesce(sum(value) FILTER (WHERE {c}), 0.0) AS v_{t}" for t, c in _is.items()])))
 
-_prio = [("p1", "1-URGENT"), ("p2", "2-HIGH"), ("p3", "3-MEDIUM"), ("p4", "4-NOT SPECIFIED"), ("ot", "5-LOW")]
+_prio = {"p1": "1-URGENT", "p2": "2-HIGH", "p3": "3-MEDIUM", "p4": "4-NOT SPECIFIED", "ot": "5-LOW"}
+_has = {c: f"o_orderpriority = '{p}'" for c, p in _prio.items()} | {
+    "px": "o_orderpriority IS NULL OR o_orderpriority NOT IN (" + ", ".join(f"'{p}'" for p in _prio.values()) + ")"}
 cte("daily", [], """
-  SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS BIGINT) AS pos, p1, p2, p3, p4, ot
+  SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS BIGINT) AS pos, px, p1, p2, p3, p4, ot
   FROM (SELECT CAST(o_orderdate AS DATE) AS date, {aggs} FROM orders GROUP BY 1)""".format(
-    aggs=", ".join(f"coalesce(sum(o_totalprice) FILTER (WHERE o_orderpriority = '{p}'), 0.0) AS {c}"
-                   for c, p in _prio)))
+    aggs=", ".join(f"coalesce(sum(o_totalprice) FILTER (WHERE {x}), 0.0) AS {c}" for c, x in _has.items())))
 
 cte("m4c", [], """
-  SELECT id, grp, pos, value, n, CASE WHEN pos < n - 3 THEN 'train' ELSE 'test' END AS part
+  SELECT id, grp, freq, horizon, pos, value, n, CASE WHEN pos < n - horizon THEN 'train' ELSE 'test' END AS part
   FROM (SELECT o_custkey AS id, c_mktsegment AS grp, o_totalprice AS value,
+          CASE c_mktsegment WHEN 'BUILDING' THEN 4 WHEN 'FURNITURE' THEN 2 WHEN 'MACHINERY' THEN 3 ELSE 1 END AS freq,
+          CASE c_mktsegment WHEN 'BUILDING' THEN 4 WHEN 'FURNITURE' THEN 2 WHEN 'MACHINERY' THEN 5 ELSE 3 END AS horizon,
           CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS pos,
           count(*) OVER (PARTITION BY o_custkey) AS n
-        FROM orders JOIN customer ON o_custkey = c_custkey)
-  WHERE n >= 6""")
+        FROM orders JOIN customer ON o_custkey = c_custkey)""")
 
 cte("anom", ["ev"], """
   SELECT series_id, pos, CAST(event_type = 'error' OR value > 100 AS INTEGER) AS gt,

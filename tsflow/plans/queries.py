@@ -1,30 +1,33 @@
 """Registered queries: one per operator of SURVEY section 2, each ``(spark, sf_dir) -> DataFrame``.
 
 Every query reads the driver tables through ``tsflow.sources.fixtures`` and runs on
-the whole tables.  Parameters are fixed here and mirrored by ``oracles.py``.
+the whole tables, as one lazy plan from the driver's files (nothing is stored or cached between
+queries).  Parameters are fixed here and mirrored by ``oracles.py``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tsflow.functions.calendar import calendar_mark_cols, sincos, sincos_sum, time_feature_cols
+from tsflow.functions.calendar import calendar_mark_cols, sincos, sincos_calendar, time_feature_cols
 from tsflow.operators import forecast as fcst
 from tsflow.operators.filters import feature_mode, keep_long, melt
 from tsflow.operators import metrics as M
 from tsflow.operators import results as R
 from tsflow.operators import series as S
-from tsflow.operators.m4 import m4_owa, m4_regroup, m4_scores
+from tsflow.operators.m4 import m4_owa, m4_regroup, m4_scores, m4_series
 from tsflow.operators.order import global_rank
 from tsflow.operators.scaling import fit_scaler, fit_scaler_long, revin, scale, scale_long, unrevin, unscale
 from tsflow.operators.splits import split_fixed, split_groups, split_ratio, with_batches
 from tsflow.operators.windows import (
-    cut_windows, draw_cut, explode_windows, last_windows, length_histogram, patches, series_lengths,
-    shortest_series, sliding_windows, to_arrays, window_rejects,
+    cut_windows, decoder_input, decoder_input_from_x, draw_cut, explode_windows, last_windows, length_histogram, patches,
+    series_lengths, shortest_series, sliding_windows, to_arrays, window_arrays, window_rejects,
 )
-from tsflow.session import materialize, store_table
-from tsflow.sources import fixtures as fx
+from tsflow.functions.core import hash_bucket, hash_int
+from tsflow.session import materialize, scratch_path
+from tsflow.sources import fixtures as fx, readers
 
 # ---------------------------------------------------------------- parameters (mirrored in oracles.py)
 SEED = 42
@@ -33,10 +36,11 @@ UNMASKED = (18, 9, 30)        # seq, label, pred of the plain cut window
 MASKED = (24, 12, 36)         # masked cut window
 HEAD = (24, 12, 48)           # window from the cycle start
 RATE = 1.2                    # cutting rate of the masked window
-M4W = (6, 3, 3)               # M4 window seq, label, pred
+M4_SEQ = 2                    # M4 window: seq = 2 horizons, label = pred = 1 horizon of the group
 HIST = 1.5                    # M4 history size
 LAST_L = 6                    # last window of M4 train series
-EV_L = 24                     # last window of ev series
+EV_L = 24                     # every window of ev series
+QUARTER = (800, 1120, 1440)   # fixed split of the 15-minute table
 SLIDE = (48, 24, 24)          # sliding windows on hourly
 MARKS = (24, 12, 12)          # sliding windows with calendar marks on daily
 BORDERS = (600, 800, 1000)    # fixed split of daily
@@ -56,31 +60,9 @@ DESCRIPTION = "Customer events per user, one value per event."
 
 
 # ---------------------------------------------------------------- shared sub-plans
-# The fixtures are the operators' input tables.  Each is derived from the driver tables
-# once per session and source folder and stored in the shared checkpoint folder (like a
-# table a user keeps), so every query reads stored partitions instead of re-deriving them.
-# Derived tables read several times inside one query are materialized the same way.
-_FIXTURES: dict = {}
-
-
-# series keys of each fixture: the stored table is bucketed and sorted on them
-FIXTURE_KEYS = {"cycles": (KEYS, ["pos"]), "ev": (["series_id"], ["pos"]), "m4c": (["id"], ["pos"]),
-                "anom": (["series_id"], ["pos"]), "hourly": (None, None), "daily": (None, None)}
-
-
+# The fixtures are the operators' input tables, lazy plans over the driver tables.
 def fixture(spark, sf, name: str):
-    key = (id(spark), sf.rstrip("/"), name)
-    df = _FIXTURES.get(key)
-    if df is None:
-        keys, order = FIXTURE_KEYS[name]
-        df = store_table(getattr(fx, name)(spark, sf), name, bucket_by=keys,
-                         sort_by=(keys + order) if keys else None)
-        _FIXTURES[key] = df
-    return df
-
-
-def clear_fixtures() -> None:
-    _FIXTURES.clear()
+    return getattr(fx, name)(spark, sf)
 
 
 def T_cycles(spark, sf):
@@ -107,7 +89,6 @@ def T_anom(spark, sf):
     return fixture(spark, sf, "anom")
 
 
-FIXTURE_NAMES = ["cycles", "ev", "hourly", "daily", "m4c", "anom"]
 
 
 def kept_lengths(spark, sf):
@@ -119,98 +100,126 @@ def kept_lengths(spark, sf):
 def with_splits(spark, sf):
     """Cycle rows and one row per kept cycle with n, split, rank, split_rank."""
     cyc, lens = kept_lengths(spark, sf)
-    sg = split_groups(lens, KEYS, seed=SEED)
-    return cyc, materialize(lens.join(sg, on=KEYS))
+    return cyc, split_groups(lens, KEYS, seed=SEED, keep=["n"])
 
 
-def cycle_windows(spark, sf, mode, seq, label, pred, cols=(), rows=None):
+def cycle_windows(spark, sf, mode, sizes, cols=(), parts=("x", "y"), split=None, align="reference"):
+    """Long-form windows of every kept cycle (or of one split only: the filter comes first)."""
     cyc, w = with_splits(spark, sf)
+    if split is not None:
+        w = w.where(F.col("split") == split)
+    seq, label, pred = sizes
     cuts = draw_cut(w, KEYS, mode, seq, pred, seed=SEED, rate=RATE)
-    long = cut_windows(rows if rows is not None else cyc, cuts, KEYS, "target", mode, seq, label, pred, cols=cols)
-    return materialize(long), w
+    return cut_windows(cyc, cuts, KEYS, "target", mode, seq, label, pred, cols=cols, parts=parts, align=align), w
+
+
+def window_rows(spark, sf, mode, sizes, split=None) -> DataFrame:
+    """One row per window: arrays x, x_mask, y, y_mask and the cycle's split columns."""
+    long, w = cycle_windows(spark, sf, mode, sizes, split=split)
+    return window_arrays(long, KEYS).join(w.select(*KEYS, "split", "split_rank"), on=KEYS)
+
+
+def fold_mean(x: str):
+    """Mean of an array as an ordered fold (the same float result on every engine)."""
+    return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / F.size(x)
 
 
 def window_mean(x_long: DataFrame, keys) -> DataFrame:
-    """Mean of each window's x slots as an ordered fold (same float result on every engine)."""
     a = to_arrays(x_long, keys, cols=("value",), part=None)
-    return a.select(*keys, (F.aggregate("value", F.lit(0.0), lambda acc, v: acc + v) / F.size("value")).alias("yhat"))
+    return a.select(*keys, fold_mean("value").alias("yhat"))
 
 
-def fc_table(spark, sf, bundle=None) -> DataFrame:
-    """Forecast rows for metrics: masked windows, forecast = window mean, horizon steps."""
-    seq, label, pred = MASKED
-    long, w = bundle or cycle_windows(spark, sf, "masked", seq, label, pred)
-    mean = window_mean(long.where(F.col("part") == "x"), KEYS)
-    y = long.where((F.col("part") == "y") & (F.col("step") >= label))
-    return (y.join(mean, on=KEYS).join(w.select(*KEYS, "split", "split_rank"), on=KEYS)
-            .select(*KEYS, "split", F.floor(F.col("split_rank") / BS).cast("bigint").alias("batch_id"),
-                    F.col("split_rank").alias("window_id"), (F.col("step") - label).alias("step"),
-                    F.col("value").alias("y"), "yhat", "mask"))
+def fc_table(spark, sf, mode="masked", sizes=MASKED, extra: dict | None = None) -> DataFrame:
+    """Forecast rows for metrics: forecast = window mean, horizon steps, in one explode per window."""
+    _, label, pred = sizes
+    extra = extra or {}
+    w = window_rows(spark, sf, mode, sizes)
+    cells = F.arrays_zip(F.slice("y", label + 1, pred).alias("y"), F.slice("y_mask", label + 1, pred).alias("m"))
+    e = w.select(*KEYS, "split", F.floor(F.col("split_rank") / BS).cast("bigint").alias("batch_id"),
+                 F.col("split_rank").alias("window_id"), fold_mean("x").alias("yhat"), *(c.alias(n) for n, c in extra.items()), F.posexplode(cells).alias("step", "c"))
+    return e.select(*KEYS, "split", "batch_id", "window_id", F.col("step").cast("bigint").alias("step"), F.col("c.y").alias("y"),
+                    "yhat", F.col("c.m").alias("mask"), *extra)
 
 
-def fc_insample(spark, sf, bundle=None) -> DataFrame:
-    seq, label, pred = MASKED
-    long, _ = bundle or cycle_windows(spark, sf, "masked", seq, label, pred)
-    return long.where(F.col("part") == "x").select(*KEYS, F.col("step").alias("pos"), "value")
+def result_rows(spark, sf, masked: bool = False, history: bool = True) -> DataFrame:
+    """Result table of the test split: history + truth vs mean forecast, batch of 1."""
+    sizes = MASKED if masked else UNMASKED
+    w = window_rows(spark, sf, "masked" if masked else "cut", sizes, split="test")
+    w = w.select(F.col("split_rank").alias("batch"), F.lit(0).cast("bigint").alias("seq"), "x", "x_mask", "y", "y_mask",
+                 F.array_repeat(fold_mean("x"), sizes[2]).alias("f"))
+    return R.result_rows(w, ["batch", "seq"], sizes[1], yhat="f", history=history,
+                         **({"x_mask": "x_mask", "y_mask": "y_mask"} if masked else {}))
 
 
-def result_rows(spark, sf, masked: bool = False) -> DataFrame:
-    """Result table of the test split: history + truth vs mean forecast, batch of 1."""
-    seq, label, pred = MASKED if masked else UNMASKED
-    mode = "masked" if masked else "cut"
-    long, w = cycle_windows(spark, sf, mode, seq, label, pred)
-    test = w.where(F.col("split") == "test").select(*KEYS, F.col("split_rank").alias("batch"), F.lit(0).cast("bigint").alias("seq"))
-    long = long.join(test, on=KEYS)
-    wk = [*KEYS, "batch", "seq"]
-    x = long.where(F.col("part") == "x")
-    mean = window_mean(x, wk)
-    fc = mean.select(*wk, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pred - 1).cast("bigint"))).alias("h"), "yhat")
-    res = R.result_table(x, long.where(F.col("part") == "y"), fc, wk, seq, label, pred, mask_multiply=masked)
-    return res.select("batch", "seq", "id", "y", "yhat")
-
-
-def ev_last(spark, sf, normalize: bool) -> DataFrame:
-    e = T_ev(spark, sf)
-    lens = series_lengths(e, ["series_id"])
-    lw = last_windows(e, lens, ["series_id"], "value", EV_L)
-    if normalize:
-        lw = revin(lw, ["series_id"])
-    return to_arrays(lw, ["series_id"], cols=("value",), part=None).withColumnRenamed("value", "x")
+EV_KEYS = ["series_id", "window_id"]
+
+
+def ev_windows(spark, sf, normalize: bool) -> DataFrame:
+    """Every window of ``EV_L`` values of every ``ev`` series: ``(series_id, window_id, x)``.
+    Normalised windows are centred and divided by their own deviation, inside the row."""
+    w = sliding_windows(T_ev(spark, sf), ["series_id"], "value", EV_L, 0, 0, block=HALO_BLOCK).select(*EV_KEYS, "x")
+    if not normalize:
+        return w
+    w = S.pin(w, "st", F.struct(fold_mean("x").alias("m")))
+    w = S.pin(w, "sd", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("st.m")) * (v - F.col("st.m"))) / F.size("x") + 1e-5))
+    return w.select(*EV_KEYS, F.transform("x", lambda v: (v - F.col("st.m")) / F.col("sd")).alias("x"))
 
 
 def m4_parts(spark, sf):
     m = T_m4c(spark, sf)
-    train = m.where(F.col("part") == "train")
-    test = m.where(F.col("part") == "test").select("id", (F.col("pos") - (F.col("n") - fx.M4_HORIZON)).alias("step"),
-                                                   F.col("value").alias("y"))
-    info = m.select("id", "grp").distinct()
-    return m, train, test, info
+    train = m.where(F.col("part") == "train").select("id", "pos", "value")
+    test = m.where(F.col("part") == "test").select(
+        "id", (F.col("pos") - F.greatest(F.col("n") - F.col("horizon"), F.lit(0))).alias("step"), F.col("value").alias("y"))
+    return train, test, fx.m4_info(spark, sf)
 
 
 def m4_forecasts(train, test):
-    model = train.groupBy("id").agg(F.avg("value").alias("yhat"))
-    base = train.groupBy("id").agg(F.max_by("value", "pos").alias("yhat"))
-    steps = test.select("id", "step")
-    return steps.join(model, on="id"), steps.join(base, on="id")
+    """Per test step, the train mean (``yhat``) and the last train value (``base``), from one aggregate."""
+    fc = train.groupBy("id").agg(F.avg("value").alias("yhat"), F.max_by("value", "pos").alias("base"))
+    return test.select("id", "step").join(fc, on="id")
 
 
 # ---------------------------------------------------------------- sources / projections
 def q_scan_wide(spark, sf):
-    d = T_daily(spark, sf)
-    return d.select(F.col("date").cast("string").alias("date"), "pos", *fx.DAILY_CHANNELS)
+    """The wide table written as CSV and read through the CSV reader."""
+    path = scratch_path(spark, "wide-csv")
+    readers.write_result(T_daily(spark, sf).select(F.col("date").cast("timestamp").alias("date"), "pos", *fx.DAILY_CHANNELS), path, fmt="csv")
+    schema = "date timestamp, pos bigint, " + ", ".join(f"{c} double" for c in fx.DAILY_CHANNELS)
+    d = readers.read_points(spark, path, T.StructType.fromDDL(schema))
+    return d.select(F.to_date("date").cast("string").alias("date"), "pos", *fx.DAILY_CHANNELS)
 
 
 def q_scan_cycles(spark, sf):
-    return T_cycles(spark, sf)
+    """The sensor cycles written as CSV and read through the CSV reader."""
+    path = scratch_path(spark, "cycles-csv")
+    cyc = T_cycles(spark, sf)
+    readers.write_result(cyc, path, fmt="csv")
+    return readers.read_cycles(spark, path, cyc.schema)
 
 
 def q_m4_load(spark, sf):
-    return T_m4c(spark, sf).select("id", "grp", "pos", "value", "part")
+    """Info joined to ragged values, NaN tails dropped, test part by each group's horizon."""
+    return T_m4c(spark, sf).select("id", "grp", "freq", "horizon", "pos", "value", "part")
+
+
+def q_m4_forecast_file(spark, sf):
+    """Naive forecasts written as a file (a row per series, a column per step) and read back long."""
+    train, test, _ = m4_parts(spark, sf)
+    path, steps = scratch_path(spark, "forecasts"), max(h for _, h in fx.M4_GROUPS.values())
+    readers.write_forecasts(m4_forecasts(train, test), path, steps, value="base")
+    return readers.read_forecasts(spark, path, steps)
+
+
+def q_m4_group(spark, sf):
+    """Group selection: the values of one group."""
+    return m4_series(fx.m4_info(spark, sf), fx.m4_values(spark, sf), group="BUILDING").select("id", "pos", "value", "freq")
 
 
 def q_feature_modes(spark, sf):
-    d = T_daily(spark, sf).select(F.col("date").cast("string").alias("date"), "pos", *fx.DAILY_CHANNELS)
-    return feature_mode(d, "M", "ot", keep=["pos"])
+    """Feature mode ``M`` of a table whose target is not last; slots show the order of the channels."""
+    d = T_daily(spark, sf).select(F.col("date").cast("string").alias("date"), "pos", "ot", "p1", "p2", "p3", "p4", "px")
+    f = feature_mode(d, "M", "ot", keep=["pos"])
+    return f.select("date", "pos", F.posexplode(F.array(*f.columns[2:])).alias("slot", "value"))
 
 
 def q_feature_mode_s(spark, sf):
@@ -238,10 +247,9 @@ def q_melt_channels(spark, sf):
 
 
 def q_horizon_slice(spark, sf):
-    seq, label, pred = UNMASKED
-    long, _ = cycle_windows(spark, sf, "cut", seq, label, pred)
-    return long.where((F.col("part") == "y") & (F.col("step") >= label)).select(
-        *KEYS, (F.col("step") - label).alias("h"), "value")
+    label = UNMASKED[1]
+    long, _ = cycle_windows(spark, sf, "cut", UNMASKED, parts=("y",))
+    return long.where(F.col("step") >= label).select(*KEYS, (F.col("step") - label).alias("h"), "value")
 
 
 # ---------------------------------------------------------------- splits
@@ -267,6 +275,13 @@ def q_split_ratio(spark, sf):
     return split_ratio(d, "pos", lookback=DAILY_L).select("pos", "split", "ot")
 
 
+def q_split_quarter(spark, sf):
+    """Fixed split of a 15-minute table: the borders count quarter hours."""
+    e = fx.read_table(spark, sf, "events").select(F.window("ts", "15 minutes").start.alias("t"))
+    g = global_rank(e.groupBy("t").agg(F.count(F.lit(1)).alias("n")), ["t"], bucket=F.unix_date(F.to_date("t")), name="pos")
+    return split_fixed(g, "pos", *QUARTER, lookback=DAILY_L).select("pos", "split", "n")
+
+
 def q_split_groups(spark, sf):
     _, w = with_splits(spark, sf)
     return w.select(*KEYS, "split", "rank", "split_rank")
@@ -285,6 +300,14 @@ def q_batches(spark, sf):
                     (F.col("batch_id") < F.floor(F.col("n_split") / BS)).alias("full_batch"))
 
 
+def q_batches_full(spark, sf):
+    """Batches with the last, incomplete one of each split dropped."""
+    _, w = with_splits(spark, sf)
+    cnt = w.groupBy("split").agg(F.count(F.lit(1)).alias("n_split"))  # three rows
+    b = with_batches(w.join(F.broadcast(cnt), on="split"), "split_rank", BS, n_col="n_split", drop_last=True)
+    return b.select(*KEYS, "split", "batch_id", "batch_seq")
+
+
 # ---------------------------------------------------------------- scaling
 def _daily_scaler(spark, sf):
     d = T_daily(spark, sf)
@@ -309,15 +332,21 @@ def q_scaler_long(spark, sf):
 
 
 def q_scaler_inverse(spark, sf):
+    """Inverse of the scaled values plus one: the original values plus one deviation."""
     d, sc = _daily_scaler(spark, sf)
     s = scale(d.select("pos", *fx.DAILY_CHANNELS), sc, fx.DAILY_CHANNELS)
-    return unscale(s, sc, fx.DAILY_CHANNELS)
+    return unscale(s.select("pos", *((F.col(c) + 1).alias(c) for c in fx.DAILY_CHANNELS)), sc, fx.DAILY_CHANNELS)
+
+
+def q_scaler_transfer(spark, sf):
+    """Transfer: the scaler is fitted on one table (daily ``p1``, its first 600 days) and applied to another (``ot``)."""
+    d = T_daily(spark, sf)
+    sc = fit_scaler(d.where(F.col("pos") < BORDERS[0]).select(F.col("p1").alias("v")), ["v"])
+    return scale(d.select("pos", F.col("ot").alias("v")), sc, ["v"])
 
 
 def _masked_x(spark, sf):
-    seq, label, pred = MASKED
-    long, _ = cycle_windows(spark, sf, "masked", seq, label, pred)
-    return long.where(F.col("part") == "x").select(*KEYS, "step", "value")
+    return cycle_windows(spark, sf, "masked", MASKED, parts=("x",))[0].select(*KEYS, "step", "value")
 
 
 def q_revin_norm(spark, sf):
@@ -328,11 +357,27 @@ def q_revin_last(spark, sf):
     return revin(_masked_x(spark, sf), KEYS, subtract_last=True).select(*KEYS, "step", "value")
 
 
+def q_revin_affine(spark, sf):
+    return revin(_masked_x(spark, sf), KEYS, affine=(2.0, 0.5)).select(*KEYS, "step", "value")
+
+
+def q_revin_off(spark, sf):
+    """``non_norm``: values pass with the statistics attached; nothing is undone."""
+    z = revin(_masked_x(spark, sf), KEYS, non_norm=True)
+    return unrevin(z, "value", non_norm=True).select(*KEYS, "step", "value", "rv_last")
+
+
 def q_revin_denorm(spark, sf):
-    """Round trip de-normalise(normalise(x)) - x: the identity property, per slot."""
-    x = _masked_x(spark, sf).withColumnRenamed("value", "x0").withColumn("value", F.col("x0"))
-    back = unrevin(revin(x, KEYS), "value")
-    return back.select(*KEYS, "step", (F.col("value") - F.col("x0")).alias("roundtrip_err"))
+    """De-normalised 2 z + 1 of each slot: 2 x - mean + deviation of its window."""
+    z = revin(_masked_x(spark, sf), KEYS)
+    return unrevin(z.withColumn("value", 2 * F.col("value") + 1), "value").select(*KEYS, "step", "value")
+
+
+def q_revin_denorm_affine(spark, sf):
+    """The affine inverse, subtracting the last value: of the normalised value plus one."""
+    kw = {"subtract_last": True, "affine": (2.0, 0.5)}
+    z = revin(_masked_x(spark, sf), KEYS, **kw)
+    return unrevin(z.withColumn("value", F.col("value") + 1), "value", **kw).select(*KEYS, "step", "value")
 
 
 # ---------------------------------------------------------------- windows
@@ -359,38 +404,61 @@ def q_window_marks(spark, sf):
 
 
 def q_cut_windows(spark, sf):
-    seq, label, pred = UNMASKED
-    return cycle_windows(spark, sf, "cut", seq, label, pred, cols=CH)[0]
+    return cycle_windows(spark, sf, "cut", UNMASKED, cols=CH)[0]
 
 
 def q_masked_windows(spark, sf):
-    seq, label, pred = MASKED
-    return cycle_windows(spark, sf, "masked", seq, label, pred, cols=CH)[0]
+    return cycle_windows(spark, sf, "masked", MASKED, cols=CH)[0]
+
+
+def q_masked_windows_cut(spark, sf):
+    """Masked windows with y aligned to the cut."""
+    return cycle_windows(spark, sf, "masked", MASKED, align="cut")[0]
 
 
 def q_head_windows(spark, sf):
-    seq, label, pred = HEAD
-    return cycle_windows(spark, sf, "head", seq, label, pred)[0]
+    return cycle_windows(spark, sf, "head", HEAD)[0]
+
+
+def _m4_cuts(spark, sf):
+    train, _, info = m4_parts(spark, sf)
+    lens = series_lengths(train, ["id"]).join(info, on="id").withColumn("seq", M4_SEQ * F.col("horizon"))
+    return train, lens
 
 
 def q_m4_windows(spark, sf):
-    seq, label, pred = M4W
-    _, train, _, _ = m4_parts(spark, sf)
-    lens = series_lengths(train, ["id"])
-    cuts = draw_cut(lens, ["id"], "m4", seq, pred, seed=SEED, history=HIST)
-    return cut_windows(train, cuts, ["id"], "value", "m4", seq, label, pred)
+    """M4 windows, each with the sizes of its group."""
+    train, lens = _m4_cuts(spark, sf)
+    cuts = draw_cut(lens, ["id"], "m4", "seq", "horizon", seed=SEED, history=HIST)
+    return cut_windows(train, cuts, ["id"], "value", "m4", "seq", "horizon", "horizon")
+
+
+def q_m4_rejects(spark, sf):
+    """Series whose train part is too short for any cut."""
+    _, lens = _m4_cuts(spark, sf)
+    return window_rejects(lens, ["id"], "m4", "seq", "horizon", history=HIST)
 
 
 def q_last_windows(spark, sf):
-    _, train, _, _ = m4_parts(spark, sf)
+    train, _, _ = m4_parts(spark, sf)
     return last_windows(train, series_lengths(train, ["id"]), ["id"], "value", LAST_L)
 
 
+def _slots(df, keys, col):
+    return df.select(*keys, F.posexplode(col).alias("step", "value")).withColumn("step", F.col("step").cast("bigint"))
+
+
 def q_decoder_input(spark, sf):
-    seq, label, pred = MASKED
-    long, _ = cycle_windows(spark, sf, "masked", seq, label, pred)
-    y = long.where(F.col("part") == "y")
-    return y.select(*KEYS, "step", F.when(F.col("step") < label, F.col("value")).otherwise(F.lit(0.0)).alias("value"))
+    _, label, pred = MASKED
+    y = to_arrays(cycle_windows(spark, sf, "masked", MASKED, parts=("y",))[0], KEYS, cols=("value",), part=None)
+    return _slots(y, KEYS, decoder_input(F.col("value"), label, pred))
+
+
+def q_decoder_input_m4(spark, sf):
+    """M4 form: the last ``label`` values of x, then zeros."""
+    _, label, pred = MASKED
+    x = to_arrays(_masked_x(spark, sf), KEYS, cols=("value",), part=None)
+    return _slots(x, KEYS, decoder_input_from_x(F.col("value"), label, pred))
 
 
 def q_patches(spark, sf):
@@ -402,6 +470,16 @@ def q_patches(spark, sf):
                     F.posexplode("pv").alias("j", "value")).withColumn("j", F.col("j").cast("bigint"))
 
 
+def q_patch_masks(spark, sf):
+    """The mask of each patch slot, cut like the values."""
+    plen, stride = PATCH
+    m = cycle_windows(spark, sf, "masked", MASKED, parts=("x",))[0].select(*KEYS, "step", "mask")
+    arr = to_arrays(m, KEYS, cols=("mask",), part=None)
+    p = arr.select(*KEYS, F.posexplode(patches(F.col("mask"), MASKED[0], plen, stride)).alias("patch_id", "pv"))
+    return p.select(*KEYS, F.col("patch_id").cast("bigint").alias("patch_id"),
+                    F.posexplode("pv").alias("j", "mask")).withColumn("j", F.col("j").cast("bigint"))
+
+
 def q_length_histogram(spark, sf):
     cyc = T_cycles(spark, sf)
     return length_histogram(series_lengths(cyc, KEYS, count_col="cycle_test_time"))
@@ -435,6 +513,16 @@ def q_time_features_daily(spark, sf):
     return d.select("pos", *time_feature_cols(F.col("date").cast("timestamp"), "D"))
 
 
+ALL_FREQS = ("Q", "M", "W-SUN", "B", "H", "S")
+
+
+def q_time_features_all(spark, sf):
+    """Features of the other frequencies, by frequency and slot (their order is part of the definition)."""
+    per = [F.struct(F.lit(f).alias("freq"), F.array(*time_feature_cols("ts", f)).alias("v")) for f in ALL_FREQS]
+    e = T_ev(spark, sf).select("series_id", "pos", F.explode(F.array(*per)).alias("p"))
+    return e.select("series_id", "pos", F.col("p.freq").alias("freq"), F.posexplode("p.v").alias("slot", "value"))
+
+
 def q_sincos_position(spark, sf):
     h = T_hourly(spark, sf)
     return h.select("pos", F.posexplode(sincos(F.col("pos"), SINCOS_D)).alias("j", "value")) \
@@ -442,10 +530,8 @@ def q_sincos_position(spark, sf):
 
 
 def q_sincos_calendar(spark, sf):
-    h = T_hourly(spark, sf)
-    t = F.col("hour_ts")
-    code = sincos_sum([F.hour(t), F.weekday(t), F.dayofmonth(t), F.month(t)], SINCOS_D)
-    return h.select("pos", F.posexplode(code).alias("j", "value")).withColumn("j", F.col("j").cast("bigint"))
+    h = sincos_calendar(T_hourly(spark, sf), "hour_ts", SINCOS_D, name="code")
+    return h.select("pos", F.posexplode("code").alias("j", "value")).withColumn("j", F.col("j").cast("bigint"))
 
 
 # ---------------------------------------------------------------- series features
@@ -477,48 +563,61 @@ def q_decomp_init(spark, sf):
 
 
 def _ev_autocorr(spark, sf):
-    a = ev_last(spark, sf, normalize=True)
-    # pinned: the O(T^2) correlation is computed once per window, not per reference
+    a = ev_windows(spark, sf, normalize=True)
+    # pinned: the correlation is computed once per window, not per reference
     return S.pin(a, "r", S.autocorr(F.col("x"), EV_L))
 
 
+def _lag(df, col, name="lag", value="r"):
+    return df.select(*EV_KEYS, F.posexplode(col).alias(name, value)).withColumn(name, F.col(name).cast("bigint"))
+
+
 def q_autocorr(spark, sf):
-    a = _ev_autocorr(spark, sf)
-    return a.select("series_id", F.posexplode("r").alias("lag", "r")).withColumn("lag", F.col("lag").cast("bigint"))
+    return _lag(_ev_autocorr(spark, sf), "r")
 
 
 def q_top_lags(spark, sf):
-    a = _ev_autocorr(spark, sf)
-    return a.select("series_id", F.posexplode(S.top_lags(F.col("r"), TOPK)).alias("rank", "lag")) \
-            .select("series_id", F.col("rank").cast("bigint").alias("rank"), F.col("lag").cast("bigint").alias("lag"))
+    t = _lag(_ev_autocorr(spark, sf), S.top_lags(F.col("r"), TOPK), "rank", "lag")
+    return t.withColumn("lag", F.col("lag").cast("bigint"))
 
 
 def q_period_agg(spark, sf):
-    a = _ev_autocorr(spark, sf)
-    a = S.period_agg(a, "x", EV_L, 1.0, r="r", name="v")
-    return a.select("series_id", F.posexplode("v").alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
+    return _lag(S.period_agg(_ev_autocorr(spark, sf), "x", EV_L, 1.0, r="r", name="v"), "v", "t", "value")
+
+
+def q_period_agg_full(spark, sf):
+    """Per-channel form: every (window, channel) by its own correlation, on the hourly channels."""
+    w = sliding_windows(q_melt_channels(spark, sf), ["channel"], "value", EV_L, 0, 0, block=HALO_BLOCK).select("channel", "window_id", "x")
+    a = S.period_agg_full(w, "x", EV_L, 0.7, name="v")
+    return a.select("channel", "window_id", F.posexplode("v").alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
 
 
 def q_period_agg_batch(spark, sf):
-    """Training form: top lags shared by each batch of 8 series (mean correlation), weights per series."""
-    a = _ev_autocorr(spark, sf)
-    a = with_batches(global_rank(a, ["series_id"], bucket=F.floor(F.col("series_id") / 1024), name="rk"), "rk", BS)
+    """Training form: top lags shared by each batch of 8 windows (mean correlation), weights per window.
+    Batches are drawn by hash, so the rank has a fixed number of buckets."""
+    a = _ev_autocorr(spark, sf).withColumn("_h", hash_int("batch", SEED, EV_KEYS))
+    a = global_rank(a, ["_h", *EV_KEYS], bucket=hash_bucket("batch", SEED, EV_KEYS, 4), name="rk", bounded_buckets=True)
+    a = with_batches(a, "rk", BS)
     a = S.shared_lag_corr(a, "batch_id", "r", EV_L)
-    a = S.period_agg(a, "x", EV_L, 1.0, r="r", rank_r="r_batch", name="v")
-    return a.select("series_id", F.posexplode("v").alias("t", "value")).withColumn("t", F.col("t").cast("bigint"))
+    return _lag(S.period_agg(a, "x", EV_L, 1.0, r="r", rank_r="r_batch", name="v"), "v", "t", "value")
+
+
+def q_align_len(spark, sf):
+    """Arrays of 10 to 39 values brought to the window's length."""
+    a = ev_windows(spark, sf, normalize=False)
+    b = F.slice(F.concat("x", "x"), F.lit(1), (10 + F.col("series_id") % 30).cast("int"))
+    return _lag(a.select(*EV_KEYS, S.align_len(F.col("x"), b).alias("v")), "v", "t", "value")
 
 
 def q_window_stats(spark, sf):
-    a = ev_last(spark, sf, normalize=False)
-    return a.select("series_id", *S.window_stats_cols(F.col("x")))
+    return S.window_stats(ev_windows(spark, sf, normalize=False), "x").drop("x")
 
 
 def q_prompt_text(spark, sf):
-    a = _ev_autocorr(spark, sf)
-    st = a.select("series_id", *S.window_stats_cols(F.col("x")), S.top_lags(F.col("r"), TOPK).alias("lags"))
+    st = S.window_stats(_ev_autocorr(spark, sf), "x").withColumn("lags", S.top_lags(F.col("r"), TOPK))
     p = S.prompt_text(F.lit(DESCRIPTION), F.col("min_value"), F.col("max_value"), F.col("median_value"),
                       F.col("trend"), F.col("lags"), EV_L, MASKED[2])
-    return st.select("series_id", p.alias("prompt"))
+    return st.select(*EV_KEYS, p.alias("prompt"))
 
 
 def q_point_adjust(spark, sf):
@@ -527,15 +626,15 @@ def q_point_adjust(spark, sf):
 
 
 def q_accuracy(spark, sf):
-    a = S.point_adjust(T_anom(spark, sf), ["series_id"], "gt", "pred")
-    return a.agg(F.avg((F.col("gt") == F.col("pred")).cast("double")).alias("acc_raw"),
-                 F.avg((F.col("gt") == F.col("pred_adj")).cast("double")).alias("acc_adj"))
+    a = S.point_adjust(T_anom(spark, sf), ["series_id"], "gt", "pred").withColumn("_k", F.lit(1))
+    raw, adj = M.accuracy(a, "gt", "pred", ["_k"], "acc_raw"), M.accuracy(a, "gt", "pred_adj", ["_k"], "acc_adj")
+    return raw.join(adj, on="_k").drop("_k")
 
 
 # ---------------------------------------------------------------- metrics on fc
 def fc_data(spark, sf) -> DataFrame:
-    """Unpadded forecast cells (the plain metrics take no mask)."""
-    return fc_table(spark, sf).where(F.col("mask") == 1)
+    """Forecast cells of the unmasked windows (the plain metrics take no mask)."""
+    return fc_table(spark, sf, "cut", UNMASKED)
 
 
 def q_metrics_basic(spark, sf):
@@ -554,6 +653,11 @@ def q_metrics_eps(spark, sf):
     return M.metrics_eps(fc_data(spark, sf), "yhat", "y", by=["split"])
 
 
+def q_mape_abs(spark, sf):
+    """The analysis form of MAPE: abs of the guarded ratio."""
+    return fc_data(spark, sf).groupBy("split").agg(M.mape_abs("yhat", "y"))
+
+
 def q_metrics_masked(spark, sf):
     fc = fc_table(spark, sf)
     return fc.groupBy("split").agg(*M.eps_aggs("yhat", "y", "mask"), M.mse_loss_agg("yhat", "y", "mask"))
@@ -568,19 +672,20 @@ def q_mape_loss(spark, sf):
 
 
 def q_mase_loss(spark, sf):
-    bundle = cycle_windows(spark, sf, "masked", *MASKED)
-    return M.mase_loss(fc_table(spark, sf, bundle), fc_insample(spark, sf, bundle), KEYS, "yhat", "y", "mask",
-                       "value", 1, by=["split"])
+    fc = fc_table(spark, sf, extra={"masep": M.mase_scale_array("x", 1)})
+    return fc.groupBy("split").agg(M.mase_loss_agg("yhat", "y", "mask", "masep"))
 
 
 def q_metrics_batched(spark, sf):
+    """Means over batches, and beside them the loss over the whole set."""
     fc = fc_table(spark, sf)
-    return M.batched_metrics(fc, "batch_id", [M.smape_loss_agg("yhat", "y", "mask"),
-                                              *M.eps_aggs("yhat", "y", "mask")], by=["split"])
+    return M.batched_metrics(fc, "batch_id", [M.smape_loss_agg("yhat", "y", "mask"), *M.eps_aggs("yhat", "y", "mask")],
+                             by=["split"], overall=[M.smape_loss_agg("yhat", "y", "mask", "smape_all"),
+                                                    M.mse_loss_agg("yhat", "y", "mask", "mse_all")])
 
 
 def q_eval_last(spark, sf):
-    _, train, test, _ = m4_parts(spark, sf)
+    train, test, _ = m4_parts(spark, sf)
     lw = last_windows(train, series_lengths(train, ["id"]), ["id"], "value", LAST_L)
     d = test.join(window_mean(lw, ["id"]), on="id")
     return d.agg(M.smape_loss_agg("yhat", "y", F.lit(1.0)))
@@ -595,91 +700,95 @@ def eval_report(spark, sf) -> DataFrame:
     sc = fit_scaler(rows, CH, where=F.col("split") == "train")
     rows_s = scale(rows, sc, CH)
     cuts = draw_cut(w, KEYS, "cut", seq, pred, seed=SEED)
-    long = materialize(cut_windows(rows_s, cuts, KEYS, "target", "cut", seq, label, pred))
-    mean = long.where(F.col("part") == "x").groupBy(*KEYS).agg(F.avg("value").alias("yhat"))
-    y = long.where((F.col("part") == "y") & (F.col("step") >= label))
-    d = y.join(mean, on=KEYS).join(w.select(*KEYS, "split", "split_rank"), on=KEYS) \
-         .withColumn("batch_id", F.floor(F.col("split_rank") / BS))
+    win = window_arrays(cut_windows(rows_s, cuts, KEYS, "target", "cut", seq, label, pred), KEYS)
+    d = win.join(w.select(*KEYS, "split", "split_rank"), on=KEYS).select(
+        "split", F.floor(F.col("split_rank") / BS).alias("batch_id"), fold_mean("x").alias("yhat"),
+        F.explode(F.slice("y", label + 1, pred)).alias("value"))
     return M.batched_metrics(d, "batch_id", [M.mse_loss_agg("yhat", "value"), *M.eps_aggs("yhat", "value")],
                              by=["split"])
 
 
 # ---------------------------------------------------------------- M4 scoring
 def _m4_scores(spark, sf):
-    _, train, test, info = m4_parts(spark, sf)
-    model, base = m4_forecasts(train, test)
-    ins = train.select("id", "pos", "value")
-    return (m4_scores(model, test, ins, info, fx.M4_FREQ), m4_scores(base, test, ins, info, fx.M4_FREQ))
+    """Model and baseline, scored in one pass with each group's own frequency and horizon."""
+    train, test, info = m4_parts(spark, sf)
+    return m4_scores(m4_forecasts(train, test), test, train, info, fx.M4_FREQS, fc_cols=("yhat", "base"))
 
 
 def q_m4_group_scores(spark, sf):
-    return _m4_scores(spark, sf)[0]
+    return _m4_scores(spark, sf).where(F.col("forecast") == "yhat").drop("forecast")
 
 
 def q_mase(spark, sf):
-    _, train, test, _ = m4_parts(spark, sf)
-    model, _ = m4_forecasts(train, test)
-    sc = M.mase_scale(train, ["id"], "value", fx.M4_FREQ)
-    e = test.join(model, on=["id", "step"]).groupBy("id").agg(F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("_mae"))
+    train, test, info = m4_parts(spark, sf)
+    sc = M.mase_scale(train.join(info, on="id"), ["id"], "value", "freq", freqs=fx.M4_FREQS)
+    e = test.join(m4_forecasts(train, test), on=["id", "step"]).groupBy("id").agg(F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("_mae"))
     return e.join(sc, on="id").select("id", F.try_divide(F.col("_mae"), F.col("masep")).alias("mase"))
 
 
+def _m4_summary(spark, sf):
+    return m4_regroup(_m4_scores(spark, sf), fx.M4_MAIN_GROUPS, ["smape", "mape", "mase"], by=["forecast"])
+
+
 def q_m4_summary(spark, sf):
-    return m4_regroup(_m4_scores(spark, sf)[0], fx.M4_MAIN_GROUPS, ["smape", "mape", "mase"])
+    return _m4_summary(spark, sf).where(F.col("forecast") == "yhat").drop("forecast")
 
 
 def q_m4_owa(spark, sf):
-    model, base = _m4_scores(spark, sf)
-    mr = m4_regroup(model, fx.M4_MAIN_GROUPS, ["smape", "mape", "mase"])
-    br = m4_regroup(base, fx.M4_MAIN_GROUPS, ["smape", "mape", "mase"])
-    return m4_owa(mr, br)
+    return m4_owa(_m4_summary(spark, sf), "yhat", "base")
 
 
 # ---------------------------------------------------------------- result analysis
+def _result(spark, sf):
+    return result_rows(spark, sf).drop("mask")
+
+
 def q_result_table(spark, sf):
-    return result_rows(spark, sf)
+    return _result(spark, sf)
+
+
+def q_result_horizon(spark, sf):
+    """The result table without history."""
+    return result_rows(spark, sf, history=False).drop("mask")
 
 
 def q_result_roundtrip(spark, sf):
     """Result sink: written partitioned by a batch bucket under the shared checkpoint folder, read back."""
-    from tsflow.session import checkpoint_dir
-    from tsflow.sources.readers import write_result
-    import uuid
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tsflow-results/{uuid.uuid4().hex}"
-    res = result_rows(spark, sf).withColumn("bucket", F.pmod(F.xxhash64("batch"), F.lit(16)))
-    write_result(res, path, partition_by=["bucket"])
+    path = scratch_path(spark, "result")
+    res = _result(spark, sf).withColumn("bucket", F.pmod(F.xxhash64("batch"), F.lit(16)))
+    readers.write_result(res, path, partition_by=["bucket"])
     return spark.read.parquet(path).select("batch", "seq", "id", "y", "yhat")
 
 
 def q_result_dif(spark, sf):
-    return R.with_dif(result_rows(spark, sf))
+    return R.with_dif(_result(spark, sf))
 
 
 def q_result_nonzero(spark, sf):
-    return R.nonzero_predictions(result_rows(spark, sf))
+    return R.nonzero_predictions(_result(spark, sf))
 
 
 def q_endpoint_error(spark, sf):
     seq, _, pred = UNMASKED
-    return R.endpoint_error(result_rows(spark, sf), seq + pred - 1)
+    return R.endpoint_error(_result(spark, sf), seq + pred - 1)
 
 
 def q_error_quantiles(spark, sf):
     seq, _, pred = UNMASKED
-    e = R.with_dif(result_rows(spark, sf)).where(F.col("id") == seq + pred - 1).select(F.abs("dif").alias("abs_dif"))
+    e = R.with_dif(_result(spark, sf)).where(F.col("id") == seq + pred - 1).select(F.abs("dif").alias("abs_dif"))
     return M.error_quantiles(e, "abs_dif")
 
 
 def q_process_error(spark, sf):
-    return R.process_error(result_rows(spark, sf), UNMASKED[0])
+    return R.process_error(_result(spark, sf), UNMASKED[0])
 
 
 def q_series_rmse(spark, sf):
-    return R.series_rmse(result_rows(spark, sf), UNMASKED[0] - 1)
+    return R.series_rmse(_result(spark, sf), UNMASKED[0] - 1)
 
 
 def q_worst_series(spark, sf):
-    return R.worst_series(R.series_rmse(result_rows(spark, sf), UNMASKED[0] - 1), 10)
+    return R.worst_series(R.series_rmse(_result(spark, sf), UNMASKED[0] - 1), 10)
 
 
 def q_result_border(spark, sf):
@@ -688,12 +797,11 @@ def q_result_border(spark, sf):
 
 # ---------------------------------------------------------------- forecasters
 def _masked_fc_windows(spark, sf):
-    seq, label, pred = MASKED
     return to_arrays(_masked_x(spark, sf), KEYS, cols=("value",), part=None).withColumnRenamed("value", "x")
 
 
-def _explode_fc(df, col="yhat"):
-    return df.select(*KEYS, F.posexplode(col).alias("h", "yhat")).withColumn("h", F.col("h").cast("bigint"))
+def _explode_fc(df, col="yhat", keys=KEYS):
+    return df.select(*keys, F.posexplode(col).alias("h", "yhat")).withColumn("h", F.col("h").cast("bigint"))
 
 
 def q_fc_mean(spark, sf):
@@ -706,76 +814,111 @@ def q_score_windows(spark, sf):
     return _explode_fc(fcst.score_windows(w, fcst.mean_predictor(MASKED[2]), "x", MASKED[2], KEYS))
 
 
+def q_score_marks(spark, sf):
+    """A predictor that also takes calendar marks of the horizon and the decoder input."""
+    seq, label, pred = MARKS
+    d = T_daily(spark, sf).select("pos", "ot", F.weekday("date").cast("double").alias("wd"), F.lit(1).alias("_one"))
+    w = sliding_windows(d, ["_one"], "ot", seq, label, pred, extra=["wd"], block=HALO_BLOCK)
+    w = w.select("window_id", "x", "wd_y", decoder_input(F.col("y"), label, pred).alias("dec"))
+
+    def predict(x, marks, dec):
+        return x[:, -1:] + 100.0 * marks[:, label:] + 0.5 * dec[:, :1]
+    return _explode_fc(fcst.score_windows(w, predict, "x", pred, ["window_id"], inputs=["wd_y", "dec"]), keys=["window_id"])
+
+
 def q_fc_revin(spark, sf):
-    """Normalise -> window-mean forecast -> de-normalise (equals the plain mean forecast)."""
-    return fcst.with_revin(_masked_x(spark, sf), KEYS, MASKED[2])
+    """Normalise -> forecast in normalised space (half the last value, plus one) -> de-normalise."""
+    return fcst.with_revin(_masked_x(spark, sf), KEYS, MASKED[2],
+                           forecaster=lambda x, pred: F.array_repeat(0.5 * F.element_at(x, -1) + 1.0, pred))
+
+
+def q_fc_drift(spark, sf):
+    w = _masked_fc_windows(spark, sf)
+    return _explode_fc(w.select(*KEYS, fcst.forecast_drift(F.col("x"), MASKED[2]).alias("yhat")))
+
+
+def _linear(spark, sf, seq, pred):
+    """Windows of the last ``seq`` inputs and the first ``pred`` horizon values, by split."""
+    label = UNMASKED[1]
+    w = window_rows(spark, sf, "cut", UNMASKED)
+    return w.select(*KEYS, "split", F.slice("x", -seq, seq).alias("x"), F.slice("y", label + 1, pred).alias("y"))
+
+
+def _fc_linear(spark, sf, seq, pred):
+    win = materialize(_linear(spark, sf, seq, pred))  # two readers: fit and forecast
+    coef = fcst.fit_linear(win.where(F.col("split") == "train"), "x", "y", seq, pred)
+    return _explode_fc(fcst.forecast_linear(win.where(F.col("split") == "test"), coef, "x", seq, pred))
 
 
 def q_fc_linear(spark, sf):
-    """Fit on train windows (plain cut windows, target channel), forecast the test windows."""
-    seq, label, pred = UNMASKED
-    long, w = cycle_windows(spark, sf, "cut", seq, label, pred)
-    xa = to_arrays(long.where(F.col("part") == "x"), KEYS, cols=("value",), part=None).withColumnRenamed("value", "x")
-    ya = to_arrays(long.where((F.col("part") == "y") & (F.col("step") >= label)), KEYS, cols=("value",),
-                   part=None).withColumnRenamed("value", "y")
-    win = materialize(xa.join(ya, on=KEYS).join(w.select(*KEYS, "split"), on=KEYS))
-    coef = fcst.fit_linear(win.where(F.col("split") == "train"), "x", "y", seq, pred, ridge=1e-6)
-    out = fcst.forecast_linear(win.where(F.col("split") == "test"), coef, "x", seq, pred)
-    return _explode_fc(out)
+    """Fit on the train windows (last two inputs -> three steps), forecast the test windows; the
+    two-input least squares has a closed SQL form."""
+    return _fc_linear(spark, sf, 2, 3)
+
+
+def q_fc_linear_full(spark, sf):
+    """The same with all inputs and the whole horizon."""
+    return _fc_linear(spark, sf, UNMASKED[0], UNMASKED[2])
 
 
 def q_fc_linear_1(spark, sf):
     """Least-squares forecaster with seq = pred = 1 (last input -> first horizon value), fitted
     on the train windows: its two coefficients have a closed SQL form (regression slope/intercept)."""
-    seq, label, pred = UNMASKED
-    long, w = cycle_windows(spark, sf, "cut", seq, label, pred)
-    x = long.where((F.col("part") == "x") & (F.col("step") == seq - 1)).select(*KEYS, F.array("value").alias("x"))
-    y = long.where((F.col("part") == "y") & (F.col("step") == label)).select(*KEYS, F.array("value").alias("y"))
-    win = x.join(y, on=KEYS).join(w.where(F.col("split") == "train").select(*KEYS), on=KEYS)
-    coef = fcst.fit_linear(win, "x", "y", 1, 1)
-    return coef.select(F.col("coef")[0].alias("slope"), F.col("coef")[1].alias("intercept"))
+    win = _linear(spark, sf, 1, 1).where(F.col("split") == "train")
+    return fcst.fit_linear(win, "x", "y", 1, 1).select(F.col("coef")[0].alias("slope"), F.col("coef")[1].alias("intercept"))
+
+
+def q_fc_linear_channel(spark, sf):
+    """Individual mode: one least-squares model per hourly channel (one input, two steps), fitted on
+    the first 480 windows and applied to all windows of its channel."""
+    w = sliding_windows(q_melt_channels(spark, sf), ["channel"], "value", 1, 0, 2, block=HALO_BLOCK)
+    coef = fcst.fit_linear(w.where(F.col("window_id") < SCALER_LONG_TRAIN), "x", "y", 1, 2, by=["channel"])
+    return _explode_fc(fcst.forecast_linear(w, coef, "x", 1, 2, by=["channel"]), keys=["channel", "window_id"])
 
 
 QUERIES = {
     # sources / projections / joins
-    "scan_wide": q_scan_wide, "scan_cycles": q_scan_cycles, "m4_load": q_m4_load,
+    "scan_wide": q_scan_wide, "scan_cycles": q_scan_cycles, "m4_load": q_m4_load, "m4_group": q_m4_group, "m4_forecast_file": q_m4_forecast_file,
     "feature_modes": q_feature_modes, "feature_mode_s": q_feature_mode_s, "cycle_features": q_cycle_features, "long_cycles": q_long_cycles, "melt_channels": q_melt_channels,
     "horizon_slice": q_horizon_slice,
     # splits / batching
     "split_fixed": q_split_fixed, "split_ratio": q_split_ratio, "split_pretrain": q_split_pretrain,
     "split_percent": q_split_percent, "split_groups": q_split_groups, "cut_points": q_cut_points,
-    "batches": q_batches,
+    "batches": q_batches, "batches_full": q_batches_full, "split_quarter": q_split_quarter,
     # scaling
     "scaler_fit": q_scaler_fit, "scaler_apply": q_scaler_apply, "scaler_inverse": q_scaler_inverse,
-    "scaler_long": q_scaler_long,
+    "scaler_long": q_scaler_long, "scaler_transfer": q_scaler_transfer,
+    "revin_affine": q_revin_affine, "revin_off": q_revin_off, "revin_denorm_affine": q_revin_denorm_affine,
     "revin_norm": q_revin_norm, "revin_last": q_revin_last, "revin_denorm": q_revin_denorm,
     # windows
     "sliding_windows": q_sliding_windows, "window_marks": q_window_marks, "cut_windows": q_cut_windows,
     "masked_windows": q_masked_windows, "head_windows": q_head_windows, "m4_windows": q_m4_windows,
     "last_windows": q_last_windows, "decoder_input": q_decoder_input, "patches": q_patches,
-    "length_histogram": q_length_histogram,
+    "masked_windows_cut": q_masked_windows_cut, "m4_rejects": q_m4_rejects, "decoder_input_m4": q_decoder_input_m4,
+    "patch_masks": q_patch_masks, "length_histogram": q_length_histogram,
     "shortest_cycle": q_shortest_cycle, "window_rejects": q_window_rejects,
     # calendar
     "calendar_marks": q_calendar_marks, "time_features": q_time_features,
-    "time_features_daily": q_time_features_daily,
+    "time_features_daily": q_time_features_daily, "time_features_all": q_time_features_all,
     "sincos_position": q_sincos_position, "sincos_calendar": q_sincos_calendar,
     # series
     "moving_avg": q_moving_avg, "decompose": q_decompose, "decompose_multi": q_decompose_multi,
     "decomp_init": q_decomp_init, "autocorr": q_autocorr, "top_lags": q_top_lags, "period_agg": q_period_agg,
-    "period_agg_batch": q_period_agg_batch,
+    "period_agg_batch": q_period_agg_batch, "period_agg_full": q_period_agg_full, "align_len": q_align_len,
     "window_stats": q_window_stats, "prompt_text": q_prompt_text, "point_adjust": q_point_adjust,
     "accuracy": q_accuracy,
     # metrics
-    "metrics_basic": q_metrics_basic, "rse": q_rse, "corr_ref": q_corr_ref, "metrics_eps": q_metrics_eps,
+    "metrics_basic": q_metrics_basic, "rse": q_rse, "corr_ref": q_corr_ref, "metrics_eps": q_metrics_eps, "mape_abs": q_mape_abs,
     "metrics_masked": q_metrics_masked, "smape_loss": q_smape_loss, "mape_loss": q_mape_loss,
     "mase_loss": q_mase_loss, "metrics_batched": q_metrics_batched, "eval_last": q_eval_last,
     "eval_report": eval_report,
     # M4
     "m4_group_scores": q_m4_group_scores, "mase": q_mase, "m4_summary": q_m4_summary, "m4_owa": q_m4_owa,
     # results
-    "result_table": q_result_table, "result_roundtrip": q_result_roundtrip, "result_dif": q_result_dif, "result_nonzero": q_result_nonzero,
+    "result_table": q_result_table, "result_horizon": q_result_horizon, "result_roundtrip": q_result_roundtrip, "result_dif": q_result_dif, "result_nonzero": q_result_nonzero,
     "endpoint_error": q_endpoint_error, "error_quantiles": q_error_quantiles, "process_error": q_process_error,
     "series_rmse": q_series_rmse, "worst_series": q_worst_series, "result_border": q_result_border,
     # forecasters
     "fc_mean": q_fc_mean, "score_windows": q_score_windows, "fc_revin": q_fc_revin, "fc_linear": q_fc_linear, "fc_linear_1": q_fc_linear_1,
+    "fc_linear_full": q_fc_linear_full, "fc_linear_channel": q_fc_linear_channel, "fc_drift": q_fc_drift, "score_marks": q_score_marks,
 }

@@ -6,11 +6,10 @@ fills ``spark.checkpoint.dir`` when nobody set it (tests, local runs).
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours needs for correct results (UTC calendar math,
@@ -29,13 +28,16 @@ BASE_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "tsflow", extra: dict | None = None) -> SparkSession:
+    """A session with the settings above.  ``shuffle_partitions`` is set only where it is passed
+    (tests, local runs); a cluster keeps its own number."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -45,62 +47,48 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the context's, else ``spark.checkpoint.dir``; only when
-    neither is set (tests, local runs) a scratch folder is created."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server owns the checkpoint folder
-        return conf or ""
-    cur = sc.getCheckpointDir()
-    if cur:
-        return cur
-    conf = conf or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = os.environ.get("TSFLOW_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tsflow-ckpt-")
-    sc.setCheckpointDir(conf)
-    return conf
+    """The shared checkpoint folder: the context's, else ``spark.checkpoint.dir``.
 
+    Only a local-mode session (tests, one machine) may run without the setting and gets a
+    scratch folder; on a cluster a missing setting is an error, since executors could not
+    read a folder of the driver's machine.
+    """
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="tsflow-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a derived table that later steps read several times.
 
-    A reliable checkpoint into the shared checkpoint folder: after it every reference
-    reads the stored partitions instead of re-deriving them, and a lost executor costs a
-    re-read rather than a recompute of the whole lineage.  The rows are persisted (disk)
-    only for the duration of the checkpoint, so the lineage is computed once.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a derived table that has several consumers: one reliable checkpoint
+    in the shared folder.  A lost executor then costs a re-read, not a recompute."""
     checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.DISK_ONLY)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, deleted when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tsflow-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
-def store_table(df: DataFrame, name: str, bucket_by: list[str] | None = None,
-                buckets: int | None = None, sort_by: list[str] | None = None) -> DataFrame:
-    """Write a derived input table as parquet under the shared checkpoint folder and read it back.
+def store_table(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
+    """Write a table as plain parquet under the shared folder and read it back.
 
-    Later scans get column pruning and filter pushdown.  With ``bucket_by`` the table is
-    bucketed (and sorted) on those keys as an external table, so group-bys and joins on
-    them need no shuffle of this side.  Without a writable catalog it falls back to plain
-    parquet.
+    With ``order`` (say series key and position block) the files are range-clustered on these
+    columns, so scans prune by them.  The table is not bucketed: a bucketing on the series key
+    would let later windows skip the shuffle that splits a hot series into its blocks.
     """
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/") or "/tmp"
-    path = f"{base}/tsflow-tables/{name}-{uuid.uuid4().hex[:12]}"
-    if bucket_by:
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        table = f"tsflow_{name}_{uuid.uuid4().hex[:12]}"
-        try:
-            # one task per bucket: each bucket is written as one file, not one per input task
-            w = df.repartition(n, *bucket_by).write.mode("overwrite").option("path", path).bucketBy(n, *bucket_by)
-            if sort_by:
-                w = w.sortBy(*sort_by)
-            w.format("parquet").saveAsTable(table)
-            return spark.table(table)
-        except Exception:  # noqa: BLE001 -- no usable catalog: plain files
-            pass
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

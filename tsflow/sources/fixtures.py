@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from tsflow.operators.order import global_rank, with_group_count, with_position
 from tsflow.sources.readers import read_table
 
-# The event types and order priorities that become channels.
+# The event types and order priorities that become channels of their own.  Rows of
+# any other type or priority (or none) go to the channel ``other`` / ``px``, so no row is lost.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 PRIORITIES = [("p1", "1-URGENT"), ("p2", "2-HIGH"), ("p3", "3-MEDIUM"), ("p4", "4-NOT SPECIFIED"), ("ot", "5-LOW")]
 CYCLE_KEYS = ["battery_id", "cycle_index"]
 CYCLE_CHANNELS = ["cycle_test_time", "c_qty", "c_disc", "c_tax", "target"]
-HOURLY_CHANNELS = [f"n_{t}" for t in EVENT_TYPES] + [f"v_{t}" for t in EVENT_TYPES]
-DAILY_CHANNELS = [c for c, _ in PRIORITIES]
+HOURLY_CHANNELS = [f"{k}_{t}" for k in "nv" for t in [*EVENT_TYPES, "other"]]
+DAILY_CHANNELS = ["px", *(c for c, _ in PRIORITIES)]
 
 
 def _day(ts) -> F.Column:
@@ -51,9 +52,10 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long multi-channel series: per hour, count and value sum per event type (zero-filled)."""
     e = read_table(spark, sf_dir, "events").select("ts", "event_type", "value")
     h = F.date_trunc("hour", "ts")
-    aggs = [F.count(F.when(F.col("event_type") == t, 1)).cast("double").alias(f"n_{t}") for t in EVENT_TYPES]
-    aggs += [F.coalesce(F.sum(F.when(F.col("event_type") == t, F.col("value"))), F.lit(0.0)).alias(f"v_{t}")
-             for t in EVENT_TYPES]
+    of = {t: F.col("event_type") == t for t in EVENT_TYPES}
+    of["other"] = ~F.coalesce(F.col("event_type").isin(EVENT_TYPES), F.lit(False))
+    aggs = [F.count(F.when(c, 1)).cast("double").alias(f"n_{t}") for t, c in of.items()]
+    aggs += [F.coalesce(F.sum(F.when(c, F.col("value"))), F.lit(0.0)).alias(f"v_{t}") for t, c in of.items()]
     g = e.groupBy(h.alias("hour_ts")).agg(*aggs)
     g = global_rank(g, ["hour_ts"], bucket=_day("hour_ts"), name="pos")
     return g.select("hour_ts", "pos", *HOURLY_CHANNELS)
@@ -62,31 +64,48 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide time table: order date x 5 priorities, summed total price, missing pairs 0."""
     o = read_table(spark, sf_dir, "orders").select("o_orderdate", "o_orderpriority", "o_totalprice")
-    aggs = [F.coalesce(F.sum(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))), F.lit(0.0)).alias(c)
-            for c, p in PRIORITIES]
+    of = {c: F.col("o_orderpriority") == p for c, p in PRIORITIES}
+    of["px"] = ~F.coalesce(F.col("o_orderpriority").isin([p for _, p in PRIORITIES]), F.lit(False))
+    aggs = [F.coalesce(F.sum(F.when(x, F.col("o_totalprice"))), F.lit(0.0)).alias(c) for c, x in of.items()]
     g = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(*aggs)
     g = global_rank(g, ["date"], bucket=F.year("date"), name="pos")
     return g.select("date", "pos", *DAILY_CHANNELS)
 
 
-# M4-style layout of the customer-order series.
+# M4-style layout of the customer-order series: (frequency, horizon) of each group.
 M4_MAIN_GROUPS = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
-M4_HORIZON = 3
-M4_FREQ = 1
-M4_MIN_LEN = 6
+M4_GROUPS = {"AUTOMOBILE": (1, 3), "BUILDING": (4, 4), "FURNITURE": (2, 2), "HOUSEHOLD": (1, 3), "MACHINERY": (3, 5)}
+M4_OTHER = (1, 3)
+M4_FREQS = sorted({f for f, _ in [*M4_GROUPS.values(), M4_OTHER]})
+
+
+def m4_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Info table: every customer's group with its frequency and horizon."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("grp"))
+
+    def of(k: int):
+        e = F.lit(M4_OTHER[k])
+        for g, v in M4_GROUPS.items():
+            e = F.when(F.col("grp") == g, F.lit(v[k])).otherwise(e)
+        return e
+    return c.select("id", "grp", of(0).alias("freq"), of(1).alias("horizon"))
+
+
+def m4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ragged values: each customer's orders by (date, key), every length, with a NaN tail slot."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderdate", "o_orderkey",
+                                                   F.col("o_totalprice").alias("value"))
+    d = with_position(o, ["id"], ["o_orderdate", "o_orderkey"], bucket=F.year("o_orderdate")).select("id", "pos", "value")
+    tail = o.groupBy("id").agg(F.count(F.lit(1)).alias("pos")).select("id", "pos", F.lit(float("nan")).alias("value"))
+    return d.unionByName(tail)
 
 
 def m4c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ragged grouped series: each customer's orders by (date, key); last 3 = test part."""
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    d = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("o_custkey").alias("id"), F.col("c_mktsegment").alias("grp"), "o_orderdate", "o_orderkey",
-        F.col("o_totalprice").alias("value"))
-    d = with_position(d, ["id"], ["o_orderdate", "o_orderkey"], bucket=F.year("o_orderdate"))
-    d = with_group_count(d, ["id"], name="n").where(F.col("n") >= M4_MIN_LEN)
-    part = F.when(F.col("pos") < F.col("n") - M4_HORIZON, F.lit("train")).otherwise(F.lit("test"))
-    return d.select("id", "grp", "pos", "value", "n", part.alias("part"))
+    """Info joined to the values without their NaN tails; the last ``horizon`` values are the test part."""
+    from tsflow.operators.m4 import m4_series
+    d = with_group_count(m4_series(m4_info(spark, sf_dir), m4_values(spark, sf_dir)), ["id"], name="n")
+    part = F.when(F.col("pos") < F.col("n") - F.col("horizon"), F.lit("train")).otherwise(F.lit("test"))
+    return d.select("id", "grp", "freq", "horizon", "pos", "value", "n", part.alias("part"))
 
 
 def anom(spark: SparkSession, sf_dir: str) -> DataFrame:

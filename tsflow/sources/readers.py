@@ -55,6 +55,25 @@ def read_cycles(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return read_points(spark, path, schema, fmt=fmt, header=header)
 
 
+def read_forecasts(spark: SparkSession, path: str, steps: int, id_type: T.DataType | None = None,
+                   fmt: str = "csv") -> DataFrame:
+    """Forecast file: one row per series, an id and then one column per step, with a NaN or empty
+    tail where a series has fewer steps -> long ``(id, step, yhat)`` without the tail."""
+    from pyspark.sql import functions as F
+    schema = T.StructType([T.StructField("id", id_type or T.LongType()),
+                           *(T.StructField(f"V{i + 1}", T.DoubleType()) for i in range(steps))])
+    wide = read_points(spark, path, schema, fmt=fmt)
+    long = wide.select("id", F.posexplode(F.array(*(f"V{i + 1}" for i in range(steps)))).alias("step", "yhat"))
+    return long.where(F.col("yhat").isNotNull() & ~F.isnan("yhat")).select("id", F.col("step").cast("bigint").alias("step"), "yhat")
+
+
+def write_forecasts(fc: DataFrame, path: str, steps: int, id_col: str = "id", step: str = "step", value: str = "yhat") -> None:
+    """The file that ``read_forecasts`` reads, from long rows; missing steps are left empty."""
+    from pyspark.sql import functions as F
+    cols = [F.max(F.when(F.col(step) == i, F.col(value))).alias(f"V{i + 1}") for i in range(steps)]
+    write_result(fc.groupBy(F.col(id_col).alias("id")).agg(*cols), path, fmt="csv")
+
+
 def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet",
                  mode: str = "overwrite") -> None:
     """Result sink: partitioned parquet (or csv) -- the notebook's ``to_csv`` re-aimed."""
@@ -79,9 +98,8 @@ def read_prompt_bank(spark: SparkSession, folder: str) -> DataFrame:
 def with_content(df: DataFrame, bank: DataFrame, name_col: str) -> DataFrame:
     """Attach the bank text for each row's dataset name; every ``ETT*`` name shares ``ETT``.
 
-    The bank has one row per file (bounded by the number of datasets) and is broadcast.
+    The bank has one row per dataset; Spark broadcasts it where it is small.
     """
     from pyspark.sql import functions as F
     key = F.when(F.col(name_col).contains("ETT"), F.lit("ETT")).otherwise(F.col(name_col))
-    return df.withColumn("_bank", key).join(F.broadcast(bank.withColumnRenamed("name", "_bank")), on="_bank",
-                                            how="left").drop("_bank")
+    return df.withColumn("_bank", key).join(bank.withColumnRenamed("name", "_bank"), on="_bank", how="left").drop("_bank")

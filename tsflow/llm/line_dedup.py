@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsflow.llm.common import BLANKS, hash128, let, lower_ascii
+from tsflow.llm.common import BLANKS, cut, hash128, let, lower_ascii
 
 
 def line_key(line: Column) -> Column:
@@ -51,13 +51,14 @@ def with_kept(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> Data
     ``min_chars`` code points is never dropped.  A text whose lines all go becomes empty.
     """
     narrow = docs.select(F.col(f"`{text}`").alias("text"))
-    common = common_lines(narrow, "text", min_docs, min_chars)
+    # stored, so that the joins below are between plain shuffles and a hot line or text can be split
+    common = cut(common_lines(narrow, "text", min_docs, min_chars))
     placed = narrow.withColumns(dict(zip(("t1", "t2"), hash128(F.coalesce("text", F.lit(""))), strict=True)))
     placed = placed.select("t1", "t2", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
     placed = placed.select("t1", "t2", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     placed = placed.select("t1", "t2", "at", *(h.alias(n) for h, n in zip(hash128(F.col("key")), "ab", strict=True)))
-    gone = (placed.join(common, ["a", "b"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("at").alias("__gone"))
-            .withColumnsRenamed({"t1": "__t1", "t2": "__t2"}))
+    gone = placed.join(common, ["a", "b"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("at").alias("__gone"))
+    gone = cut(gone.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     got = docs.withColumns(dict(zip(("__t1", "__t2"), hash128(body), strict=True))).join(gone, ["__t1", "__t2"], "left")
     lines = _lines(F.col(text))

@@ -143,7 +143,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = (both.join(labels.select(F.col("node").alias("v"), "root"), "v")
                 .groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near")))
-        step = labels.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        # stored, so that the join below is between plain shuffles and a hot root can be split
+        step = cut(labels.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("jump"))
         new = cut(step.join(up, "root").select("node", "was", F.least("root", "jump").alias("root")))
         moved = new.where("root != was").limit(1).count()
@@ -161,8 +162,8 @@ def with_components(marked: DataFrame, doc_id: str, threshold: int = 2) -> DataF
     nodes = cut(marked.groupBy("fp").agg(F.min(doc_id).alias("least")))
     roots = components(links(nodes.select("fp"), threshold))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
-    best = linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("b"))
+    linked = rooted.join(cut(roots.select("root").distinct()), "root", "left_semi")
+    best = cut(linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("b")))
     done = rooted.join(best, "root", "left")
     return done.select("fp", F.coalesce(F.col("b.least"), F.col("least")).alias("component_id"),
                        F.coalesce(F.col("b.fp") == F.col("fp"), F.lit(True)).alias("keeper"))

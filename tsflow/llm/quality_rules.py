@@ -30,11 +30,11 @@ TRUST, TRUSTED = 100, 1.0
 RULES = {
     "length": ("n_words", (40, math.inf), (20, math.inf)),
     "word_length": ("try_divide(word_chars, n_words)", (3, 11), (2, 20)),
-    "variety": ("try_divide(n_distinct_words, sqrt(n_words))", (3, math.inf), (1, math.inf)),
+    "variety": ("try_divide(n_distinct_words, sqrt(n_words))", (4, math.inf), (3, math.inf)),
     "symbols": ("try_divide(n_symbols, n_words)", None, (0, 0.2)),
     "exclamation": ("try_divide(n_exclamations, n_words)", None, (0, 0.25)),
     "capitals": ("try_divide(n_capitals, word_chars)", None, (0, 0.5)),
-    "repeated_lines": ("try_divide(n_dup_lines, n_lines)", None, (0, 0.3)),
+    "repeated_lines": ("try_divide(n_dup_lines, n_lines)", None, (0, 0.4)),
     "repeated_words": ("try_divide(n_repeat_words, n_words)", None, (0, 0.3)),
 }
 

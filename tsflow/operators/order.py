@@ -23,13 +23,16 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
                   name: str = "pos", first_bucket: str | None = None) -> DataFrame:
     """Add a 0-based position of each row inside its ``keys`` group, following ``order``.
 
-    With ``bucket`` the numbering runs inside (keys, bucket) plus an offset from the
+    Without ``bucket`` a series is numbered in one task; leave it out only for short series.  With
+    ``bucket`` the numbering runs inside (keys, bucket) plus an offset from the
     bucket-count prefix sums, so a hot group is spread over many tasks.
     ``first_bucket`` optionally names a column receiving the group's smallest bucket.
     """
     keys = list(keys)
     if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*_cols(order)) if keys else Window.orderBy(*_cols(order))
+        if not keys:
+            raise ValueError("numbering a whole table needs a bucket expression")
+        w = Window.partitionBy(*keys).orderBy(*_cols(order))
         out = df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
         if first_bucket:
             raise ValueError("first_bucket needs a bucket expression")

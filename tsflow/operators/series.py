@@ -19,13 +19,13 @@ def _c(x) -> Column:
 
 # ---------------------------------------------------------------- moving average / decomposition
 def moving_avgs(df: DataFrame, keys: Sequence[str], col: str, kernels: dict[str, int], pos: str = "pos",
-                block: int | None = None) -> DataFrame:
+                block: int | None = 1 << 16) -> DataFrame:
     """Centred moving averages of odd widths ``{name: k}`` with edge replication, in one window pass.
 
     Rows of a series are numbered 0, 1, ... by ``pos``.  A frame that is cut short by an end of the
     series is filled up with the first or last value.  The frame itself shows that: it holds fewer
     rows than it should, and its outermost row is the series' first or last one, so no second
-    shuffle fetches the ends.  ``block`` turns on halo blocks: rows are copied into neighbouring
+    shuffle fetches the ends.  ``block`` (None: off) is the size of halo blocks: rows are copied into neighbouring
     blocks within reach of the widest kernel, the window runs per (series, block), and each row is
     kept in its own block, so a long series becomes many tasks.
     """
@@ -35,8 +35,7 @@ def moving_avgs(df: DataFrame, keys: Sequence[str], col: str, kernels: dict[str,
     reach = (max(kernels.values()) - 1) // 2
     src = df
     if block is not None:
-        if block < 2 * reach:
-            raise ValueError("block must be >= k - 1")
+        block = max(block, 2 * reach)
         lo = F.greatest(F.floor((F.col(pos) - reach) / block), F.lit(0)).cast("bigint")
         hi = F.floor((F.col(pos) + reach) / block).cast("bigint")
         src = df.withColumn("_blk", F.explode(F.sequence(lo, hi)))
@@ -57,13 +56,13 @@ def moving_avgs(df: DataFrame, keys: Sequence[str], col: str, kernels: dict[str,
 
 
 def moving_avg(df: DataFrame, keys: Sequence[str], col: str, k: int, pos: str = "pos",
-               name: str = "trend", block: int | None = None) -> DataFrame:
+               name: str = "trend", block: int | None = 1 << 16) -> DataFrame:
     """One centred moving average; see ``moving_avgs``."""
     return moving_avgs(df, keys, col, {name: k}, pos, block)
 
 
 def decompose(df: DataFrame, keys: Sequence[str], col: str, kernels, pos: str = "pos",
-              block: int | None = None) -> DataFrame:
+              block: int | None = 1 << 16) -> DataFrame:
     """trend = moving average (mean of several kernels when a list), seasonal = x - trend."""
     ks = [kernels] if isinstance(kernels, int) else list(kernels)
     names = [f"_t{i}" for i in range(len(ks))]

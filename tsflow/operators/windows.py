@@ -224,11 +224,11 @@ def window_arrays(long_df: DataFrame, keys: Sequence[str], extra: Sequence[str]
 
 # ---------------------------------------------------------------- sliding windows
 def sliding_windows(df: DataFrame, keys: Sequence[str], value: str, seq: int, label: int, pred: int,
-                    pos: str = "pos", block: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
+                    pos: str = "pos", block: int | None = 1 << 16, extra: Sequence[str] = ()) -> DataFrame:
     """Stride-1 windows per series: x = [s, s+seq), y = [s+seq-label, s+seq+pred).
 
-    Output ``(keys, window_id=s, x, y[, <extra>_x, <extra>_y])``.  ``block`` turns on
-    halo blocks: positions are cut into blocks of ``block`` rows, each row is also
+    Output ``(keys, window_id=s, x, y[, <extra>_x, <extra>_y])``.  ``block`` (None: off) is the
+    size of halo blocks, at least a window: positions are cut into blocks of ``block`` rows, each row is also
     copied into the block before it when a window starting there reaches it, and
     windows are kept only in the block they start in -- so one long series runs
     as many tasks instead of one.
@@ -238,8 +238,7 @@ def sliding_windows(df: DataFrame, keys: Sequence[str], value: str, seq: int, la
     src = df.select(*keys, pos, value, *extra)
     part_cols = list(keys)
     if block is not None:
-        if block < W:
-            raise ValueError("block must be >= seq + pred")
+        block = max(block, W)
         # row at pos belongs to blocks floor((pos-W+1)/block) .. floor(pos/block)
         lo = F.floor((F.col(pos) - (W - 1)) / block).cast("bigint")
         hi = F.floor(F.col(pos) / block).cast("bigint")

@@ -10,13 +10,12 @@ Empty tables pass through every stage; further columns pass through all stages b
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsflow.llm import bpe, decontamination, line_dedup, quality_rules, simhash_dedup
-from tsflow.llm.common import documents, shared_dir, tokenizer_path
+from tsflow.llm.common import documents, tokenizer_path
+from tsflow.session import scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "pipeline")  # in the shared folder, deleted when the session's driver ends
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")

@@ -19,9 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsflow.llm.common import A_Z, a_z, cut, shared_dir
-
-FIRST_HASHES = 3
+from tsflow.llm.common import A_Z, a_z, cut
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -87,7 +85,6 @@ class Cascade:
     """
 
     def __init__(self, universe: DataFrame, max_words: int = 1 << 20, rate: float = 0.25) -> None:
-        shared_dir(universe.sparkSession)
         self.levels: list[Level] = []
         self.exact: DataFrame | None = None
         holds, rejects = universe.where("listed").select("key"), universe.where("NOT listed").select("key")

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 from tsflow.llm import decontamination as D
 from tsflow.llm.queries import QUERIES
 
-TOKEN = regex.compile(D.TOKEN)
-
-
 def template(text):
-    raw = [m.group() for m in TOKEN.finditer("." + (text or ""))]
-    out = []
-    for i, r in enumerate(raw):
-        first = r[0] in ".!?\n"
-        core = regex.sub(r"^[^\p{L}\p{N}]+", "", r) if first else r
-        low = core.lower()
-        kind = (D.NUMBER if regex.match(r"\p{N}", core) else D.UNIT if i and low in D.UNITS and not first and regex.search(r"\p{N}$", raw[i - 1])
-                else D.NAME if not first and regex.fullmatch(r"\p{Lu}[\p{Ll}\p{M}]+", core) else None)
+    """(template word, placeholder and value or None) per token, from the text's tokens one by one."""
+    text = text or ""
+    out, before = [], 0
+    for m in regex.finditer(r"\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+", text):
+        raw, gap = m.group(), text[before:m.start()]
+        low = raw.lower()
+        after_number = out and out[-1][0] == D.NUMBER
+        # a replaced number leaves a blank behind it
+        blanks = len(gap) - len(gap.rstrip(" ")) + (1 if after_number and not gap.strip(" ") else 0)
+        edge = (gap.rstrip(" ") or (text[before - 1] if before else ""))[-1:]
+        title = regex.fullmatch(r"\p{Lu}[\p{Ll}\p{M}]+", raw) and not regex.match(r"\p{N}", text[m.end():m.end() + 1] or " ")
+        if regex.match(r"\p{N}", raw):
+            kind = D.NUMBER
+        elif after_number and gap in ("", " ") and low in D.UNITS and not regex.match(r"\p{N}", text[m.end():m.end() + 1] or " "):
+            kind = D.UNIT
+        elif title and 1 <= blanks <= 3 and edge and edge not in ".!?" and not edge.isspace():
+            kind = D.NAME
+        else:
+            kind = None
         out.append((kind or low, kind and kind + low))
+        before = m.end()
     return out
 
 

@@ -22,58 +22,90 @@ from pyspark.sql import functions as F
 from tsflow.llm.common import cut, hash128, let
 
 BLOCK_WINDOWS = 100_000
-#: a token with the sentence end before it, if there is one
-TOKEN = r"(?:[.!?\n][^\p{L}\p{N}]*)?(?:\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+)"
-NUMBER, UNIT, NAME = "0", "1", "2"  # placeholders; no word of a template is a digit
+NUMBER, UNIT, NAME = "0", "1", "2"  # placeholders; no other word of a template has a digit
 #: Words that are units where they follow a number.
 UNITS = ("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ton tons ml cl l liter liters "
          "litre litres gal gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month "
          "months year years c f k degrees percent pct usd eur gbp dollar dollars euro euros pound pounds cent cents hz khz mhz "
          "ghz w kw mw kwh v kv a ma pa kpa bar j kj cal kcal n kb mb gb tb mph kmh kph rpm").split()
+A_NUMBER = r"\p{N}+(?:[.,:/]\p{N}+)*"
+A_UNIT = r"(?i)(?<= 0 ) ?(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}\p{N}])"
+#: a title-case word after a blank that no sentence end or line break precedes
+A_NAME = r"(?=\p{Lu})(?<=[^.!?\s] {1,3})\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}\p{N}])"
+TOKEN = A_NUMBER + r"|[\p{L}\p{M}]+"
 
 
-def _template(text: Column) -> Column:
-    """Array of (word or placeholder, value or null) per token."""
-    def token(raw: Column, i: Column, all_raw: Column) -> Column:
-        first = raw.rlike(r"^[.!?\n]")
-        core = F.when(first, F.regexp_replace(raw, r"^[^\p{L}\p{N}]+", "")).otherwise(raw)
+def _words(text: Column) -> Column:
+    """Template words: placeholders, and other words in lower case without punctuation."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), A_NUMBER, f" {NUMBER} ")
+    t = F.regexp_replace(F.regexp_replace(t, A_UNIT, f" {UNIT} "), A_NAME, f" {NAME} ")
+    return F.array_remove(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}]+"), "")
 
-        def typed(c: Column) -> Column:
-            low = F.lower(c)
-            number = c.rlike(r"^\p{N}")
-            after = (i > 0) & low.isin(*UNITS) & ~first & F.coalesce(F.get(all_raw, i - 1).rlike(r"\p{N}$"), F.lit(False))
-            name = ~first & c.rlike(r"^\p{Lu}[\p{Ll}\p{M}]+$")
-            kind = F.when(number, NUMBER).when(after, UNIT).when(name, NAME)
-            return F.struct(F.coalesce(kind, low).alias("w"), F.when(kind.isNotNull(), F.concat(kind, low)).alias("v"))
 
-        return let(core, typed)
+def _values(text: Column, words: Column) -> Column:
+    """What each template word stands for: placeholder and value, or null."""
+    raws = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
+    return F.zip_with(words, raws, lambda w, r: F.when(w.isin(NUMBER, UNIT, NAME), F.concat(w, F.lower(r))))
 
-    raws = F.regexp_extract_all(F.concat(F.lit("."), F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
-    return let(raws, lambda r: F.transform(r, lambda x, i: token(x, i, r)))
 
-
-def _windows(tokens: Column, length: int) -> Column:
+def _windows(words: Column, length: int) -> Column:
     """Hash of every window of ``length`` template words."""
     def hashes(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(h) - length),
                            lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(length))))
-    return F.when(F.size(tokens) < length, F.array().cast("array<bigint>")).otherwise(
-        let(F.transform(tokens, lambda t: F.xxhash64(t["w"])), hashes))
+    return let(F.transform(words, lambda w: F.xxhash64(w)),
+               lambda h: F.when(F.size(h) < length, F.array().cast("array<bigint>")).otherwise(hashes(h)))
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shortest: int) -> DataFrame:
-    """``(item, length, n_windows, hash, b_at, b_values)``.  Items of fewer than ``window`` tokens are
-    one window; those of fewer than ``shortest`` cannot be told from ordinary text and are left out."""
-    items = (benchmark.select(F.col(f"`{item_id}`").alias("item"), _template(F.col(f"`{text}`").cast("string")).alias("tokens"))
-             .withColumn("length", F.least(F.size("tokens"), F.lit(window))).where(F.col("length") >= shortest))
-    every = [items.where(F.col("length") == n).select("item", "length", "tokens", F.posexplode(_windows(F.col("tokens"), n)).alias("b_at", "hash"))
+    """``(item, length, n_windows, hash, b_at, b_values)``; ``b_values`` is null without a placeholder.
+    Items of fewer than ``window`` tokens are one window; those of fewer than ``shortest`` cannot
+    be told from ordinary text and are left out."""
+    body = F.col(f"`{text}`").cast("string")
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), body.alias("text"), _words(body).alias("words"))
+    items = items.select("item", "words", _values(F.col("text"), F.col("words")).alias("values"),
+                         F.least(F.size("words"), F.lit(window)).alias("length")).where(F.col("length") >= shortest)
+    every = [items.where(F.col("length") == n).select("item", "length", "values", F.posexplode(_windows(F.col("words"), n)).alias("b_at", "hash"))
              for n in range(shortest, window + 1)]
     out = every[0]
     for df in every[1:]:
         out = out.union(df)
     counts = out.groupBy("item", "length").agg(F.count(F.lit(1)).alias("n_windows"))
-    values = F.transform(F.slice("tokens", F.col("b_at") + 1, F.col("length")), lambda t: t["v"])
-    return out.join(counts, ["item", "length"]).select("item", "length", "n_windows", "hash", "b_at", values.alias("b_values"))
+    values = F.slice("values", F.col("b_at") + 1, F.col("length"))
+    return out.join(counts, ["item", "length"]).select(
+        "item", "length", "n_windows", "hash", "b_at", F.when(F.exists(values, lambda v: v.isNotNull()), values).alias("b_values"))
+
+
+def _aligned(hits: DataFrame) -> DataFrame:
+    """``(t1, t2, item, n_windows, length, shift, at, slots)`` per alignment: item places matched, and
+    those with placeholders together with the item's values."""
+    slot = F.when(F.col("b_values").isNotNull(), F.struct("b_at", "b_values"))
+    return hits.groupBy("t1", "t2", "item", "n_windows", "length", "shift").agg(
+        F.collect_set("b_at").alias("at"), F.collect_set(slot).alias("slots"))
+
+
+def _consistent(aligned: DataFrame, texts: DataFrame) -> DataFrame:
+    """The alignments whose placeholders are filled one to one.  Only texts with such alignments are
+    fetched, each once, together with all its alignments."""
+    doubtful = aligned.where(F.size("slots") > 0)
+    by_text = cut(doubtful.groupBy("t1", "t2").agg(F.collect_list(F.struct("item", "n_windows", "length", "shift", "at", "slots")).alias("all")))
+    if by_text.isEmpty():
+        return aligned.drop("slots", "length")
+    held = texts.dropDuplicates(["t1", "t2"]).join(by_text, ["t1", "t2"])
+    held = held.select("t1", "t2", "all", "text", _words(F.col("text")).alias("words"))
+    held = held.select("t1", "t2", "all", _values(F.col("text"), F.col("words")).alias("values"))
+
+    def agrees(a: Column) -> Column:
+        def of_place(s: Column) -> Column:
+            mine = F.slice(F.col("values"), (s["b_at"] + a["shift"] + 1).cast("int"), a["length"])
+            return F.zip_with(s["b_values"], mine, lambda b, d: F.when(b.isNotNull(), F.struct(b.alias("b"), d.alias("d"))))
+        pairs = F.array_distinct(F.filter(F.flatten(F.transform(a["slots"], of_place)), lambda p: p.isNotNull()))
+        return let(pairs, lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["b"]))) == F.size(p))
+                   & (F.size(F.array_distinct(F.transform(p, lambda x: x["d"]))) == F.size(p)))
+
+    sure = held.select("t1", "t2", F.explode(F.filter("all", agrees)).alias("a"))
+    return (aligned.where(F.size("slots") == 0).drop("slots", "length")
+            .unionByName(sure.select("t1", "t2", "a.item", "a.n_windows", "a.shift", "a.at")))
 
 
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -83,28 +115,22 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     lengths = {r.length: r.n for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     body = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
     t1, t2 = hash128(F.coalesce("text", F.lit("")))
-    rows = body.select(t1.alias("t1"), t2.alias("t2"), _template(F.col("text")).alias("tokens"))
+    texts = body.select(t1.alias("t1"), t2.alias("t2"), "text")
     found = None
     for length, n in sorted(lengths.items()):
-        spread = rows.select("t1", "t2", "tokens", F.posexplode(_windows(F.col("tokens"), length)).alias("d_at", "hash"))
+        spread = texts.select("t1", "t2", F.posexplode(_windows(_words(F.col("text")), length)).alias("d_at", "hash"))
         blocks = math.ceil(n / BLOCK_WINDOWS)
         for block in range(blocks):
-            part = items.where((F.col("length") == length) & (F.pmod("hash", F.lit(blocks)) == block)).drop("length")
-            values = F.transform(F.slice("tokens", F.col("d_at") + 1, length), lambda t: t["v"])
+            part = items.where((F.col("length") == length) & (F.pmod("hash", F.lit(blocks)) == block))
             # bounded: at most about BLOCK_WINDOWS rows of under 100 values
             hit = spread.join(F.broadcast(part), "hash").select(
-                "t1", "t2", "item", "n_windows", "b_at", (F.col("d_at") - F.col("b_at")).alias("shift"),
-                F.filter(F.arrays_zip("b_values", values.alias("d_values")),
-                         lambda p: p["b_values"].isNotNull() | p["d_values"].isNotNull()).alias("pairs"))
+                "t1", "t2", "item", "n_windows", "length", "b_at", (F.col("d_at") - F.col("b_at")).alias("shift"), "b_values")
             found = hit if found is None else found.union(hit)
     if found is None:
         return docs.sparkSession.createDataFrame(
             [], f"t1 long, t2 long, item {benchmark.schema[item_id].dataType.simpleString()}, n_windows long, n_matched long")
-    aligned = found.groupBy("t1", "t2", "item", "n_windows", "shift").agg(
-        F.collect_set("b_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = ((F.size(F.array_distinct(F.transform("pairs", lambda p: p["b_values"]))) == F.size("pairs"))
-                  & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d_values"]))) == F.size("pairs")))
-    covered = aligned.where(one_to_one).select("t1", "t2", "item", "n_windows", F.explode("at").alias("at"))
+    aligned = _consistent(cut(_aligned(found)), texts)
+    covered = aligned.select("t1", "t2", "item", "n_windows", F.explode("at").alias("at"))
     return (covered.groupBy("t1", "t2", "item", "n_windows").agg(F.size(F.collect_set("at")).cast("long").alias("n_matched"))
             .where(F.col("n_matched") >= share * F.col("n_windows")))
 

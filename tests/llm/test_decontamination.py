@@ -32,7 +32,7 @@ def template(text):
     return out
 
 
-def brute(docs, bench, window=8, shortest=5, share=.5):
+def brute(docs, bench, window=8, shortest=5, share=.3):
     index, total = defaultdict(list), {}
     items = {i: template(t) for i, t in bench}
     for i, t in items.items():

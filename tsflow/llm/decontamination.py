@@ -109,7 +109,7 @@ def _consistent(aligned: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                 window: int = 8, shortest: int = 5, share: float = 0.5) -> DataFrame:
+                 window: int = 8, shortest: int = 5, share: float = 0.3) -> DataFrame:
     """``(t1, t2, item, n_windows, n_matched)``: hash of a leaking text, and what it leaks."""
     items = cut(item_windows(benchmark, item_id, item_text, window, shortest))
     lengths = {r.length: r.n for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -20,13 +20,15 @@ def _cols(order: Sequence) -> list[Column]:
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column | None = None,
-                  name: str = "pos", first_bucket: str | None = None) -> DataFrame:
+                  name: str = "pos", first: tuple[str, Column] | None = None) -> DataFrame:
     """Add a 0-based position of each row inside its ``keys`` group, following ``order``.
 
     Without ``bucket`` a series is numbered in one task; leave it out only for short series.  With
     ``bucket`` the numbering runs inside (keys, bucket) plus an offset from the
     bucket-count prefix sums, so a hot group is spread over many tasks.
-    ``first_bucket`` optionally names a column receiving the group's smallest bucket.
+    ``first = (column name, expression)`` also attaches the expression's minimum over the group, from
+    the same bucket table.  A bucket should hold many rows of a usual series, so that the bucket
+    table is small, and few enough of a hot one for one task.
     """
     keys = list(keys)
     if bucket is None:
@@ -34,22 +36,22 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
             raise ValueError("numbering a whole table needs a bucket expression")
         w = Window.partitionBy(*keys).orderBy(*_cols(order))
         out = df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-        if first_bucket:
-            raise ValueError("first_bucket needs a bucket expression")
+        if first:
+            raise ValueError("first needs a bucket expression")
         return out
     # counts per (keys, bucket): a partial aggregate over the key columns only, so its
     # shuffle carries one row per (key, bucket) per task; prefix sums over that small
     # table give each bucket's offset; rows are numbered inside (keys, bucket) only.
     b = df.withColumn("_bkt", bucket)
-    counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    least = [F.min(first[1]).alias("_first")] if first else []
+    counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"), *least)
     wk = Window.partitionBy(*keys).orderBy("_bkt") if keys else Window.orderBy("_bkt")
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sel = [*keys, "_bkt", "_off"]
-    if first_bucket:
-        offs = offs.withColumn(first_bucket, F.min("_bkt").over(Window.partitionBy(*keys)) if keys
-                               else F.min("_bkt").over(Window.partitionBy()))
-        sel.append(first_bucket)
+    if first:
+        offs = offs.withColumn(first[0], F.min("_first").over(Window.partitionBy(*keys)))
+        sel.append(first[0])
     joined = b.join(offs.select(*sel), on=[*keys, "_bkt"], how="inner")
     wl = Window.partitionBy(*keys, "_bkt").orderBy(*_cols(order))
     return (joined.withColumn(name, (F.col("_off") + F.row_number().over(wl) - 1).cast("bigint"))

@@ -116,13 +116,14 @@ def window_bounds(cuts: DataFrame, mode: str, seq, label, pred, align: str = "re
 def cut_windows(df: DataFrame, cuts: DataFrame, keys: Sequence[str], target: str, mode: str,
                 seq, label, pred, cols: Sequence[str] = (), pos: str = "pos",
                 align: str = "reference", n: str = "n", cut: str = "cut",
-                parts: Sequence[str] = ("x", "y"), block: int = 1 << 16) -> DataFrame:
+                parts: Sequence[str] = ("x", "y"), block: int = 1 << 16, carry: Sequence[str] = ()) -> DataFrame:
     """Long-form window slots ``(keys, part, step, value, mask, cols...)``.
 
     ``df``: series rows ``(keys, pos, target, cols...)``; ``cuts``: one row per series
     with ``n`` and ``cut`` (see ``draw_cut``).  ``value`` is the target channel; x rows
     also carry every channel in ``cols`` (the reference feeds all channels as x).
-    Pads carry 0 and mask 0.  ``parts`` limits the work to x or y.
+    Pads carry 0 and mask 0.  ``parts`` limits the work to x or y; ``carry`` names columns of ``cuts``
+    that every slot of the window gets.
 
     Rows meet their window by (series, block of ``block`` positions): a window names the one or
     few blocks that it touches, so a series of any length is spread over its blocks, whichever
@@ -131,7 +132,7 @@ def cut_windows(df: DataFrame, cuts: DataFrame, keys: Sequence[str], target: str
     keys = list(keys)
     cols = list(cols)
     b = window_bounds(cuts, mode, seq, label, pred, align, n, cut).select(
-        *keys, "_x_lo", "_x_hi", "_x_off", "_y_lo", "_y_hi", "_y_off", "_x_m", "_y_m", "_x_len", "_y_len")
+        *keys, *carry, "_x_lo", "_x_hi", "_x_off", "_y_lo", "_y_hi", "_y_off", "_x_m", "_y_m", "_x_len", "_y_len")
     rows = df.select(*keys, pos, target, *[c for c in cols if c not in keys and c != target and c != pos])
     first = F.least(*(F.col(f"_{p}_lo") for p in parts)) if len(parts) > 1 else F.col(f"_{parts[0]}_lo")
     last = (F.greatest(*(F.col(f"_{p}_hi") for p in parts)) if len(parts) > 1 else F.col(f"_{parts[0]}_hi")) - 1
@@ -154,7 +155,7 @@ def cut_windows(df: DataFrame, cuts: DataFrame, keys: Sequence[str], target: str
          .otherwise(F.col(pos) - F.col("_y_lo") + F.col("_y_off")).cast("bigint").alias("step"),
         F.col(target).cast("double").alias("value"),
         F.when(is_x, F.col("_x_m")).otherwise(F.col("_y_m")).alias("mask"),
-        *chan)
+        *chan, *carry)
     # pad slots: x left pad [0, x_off) and, of a short head, right pad [x_off + len, seq);
     # y left pad [0, y_off) and right pad [y_off + len, label + pred)
     def span(lo: Column, hi: Column) -> Column:
@@ -166,13 +167,13 @@ def cut_windows(df: DataFrame, cuts: DataFrame, keys: Sequence[str], target: str
     y_pad_l, y_pad_r = span(F.lit(0), F.col("_y_off")), span(ylen, F.col("_y_len"))
     empty = F.array().cast("array<bigint>")
     both = {"x": (x_pad_l, x_pad_r), "y": (y_pad_l, y_pad_r)}
-    pads = b.select(*keys, F.explode(F.concat(*(
+    pads = b.select(*keys, *carry, F.explode(F.concat(*(
         F.transform(F.concat(*(F.coalesce(x, empty) for x in both[p])),
                     _slot_of(p)) for p in parts)
     )).alias("p")).select(
         *keys, F.col("p.part").alias("part"), F.col("p.step").alias("step"), F.lit(0.0).alias("value"),
         F.lit(0.0).alias("mask"),
-        *[F.when(F.col("p.part") == "x", F.lit(0.0)).alias(c) for c in cols])
+        *[F.when(F.col("p.part") == "x", F.lit(0.0)).alias(c) for c in cols], *carry)
     return data.unionByName(pads)
 
 

@@ -91,10 +91,13 @@ def T_anom(spark, sf):
 
 
 
+def cycle_lengths(spark, sf):
+    """Rows per cycle; lengths need no positions, so they are counted before rows are numbered."""
+    return series_lengths(fx.cycle_rows(spark, sf), KEYS, count_col="l_shipdate")
+
+
 def kept_lengths(spark, sf):
-    cyc = T_cycles(spark, sf)
-    lens = series_lengths(cyc, KEYS, count_col="cycle_test_time").where(F.col("n") > LONG)
-    return cyc, lens
+    return T_cycles(spark, sf), cycle_lengths(spark, sf).where(F.col("n") > LONG)
 
 
 def with_splits(spark, sf):
@@ -103,20 +106,21 @@ def with_splits(spark, sf):
     return cyc, split_groups(lens, KEYS, seed=SEED, keep=["n"])
 
 
-def cycle_windows(spark, sf, mode, sizes, cols=(), parts=("x", "y"), split=None, align="reference"):
+def cycle_windows(spark, sf, mode, sizes, cols=(), parts=("x", "y"), split=None, align="reference", carry=()):
     """Long-form windows of every kept cycle (or of one split only: the filter comes first)."""
     cyc, w = with_splits(spark, sf)
     if split is not None:
         w = w.where(F.col("split") == split)
     seq, label, pred = sizes
     cuts = draw_cut(w, KEYS, mode, seq, pred, seed=SEED, rate=RATE)
-    return cut_windows(cyc, cuts, KEYS, "target", mode, seq, label, pred, cols=cols, parts=parts, align=align), w
+    return cut_windows(cyc, cuts, KEYS, "target", mode, seq, label, pred, cols=cols, parts=parts, align=align,
+                       carry=carry), w
 
 
 def window_rows(spark, sf, mode, sizes, split=None) -> DataFrame:
     """One row per window: arrays x, x_mask, y, y_mask and the cycle's split columns."""
-    long, w = cycle_windows(spark, sf, mode, sizes, split=split)
-    return window_arrays(long, KEYS).join(w.select(*KEYS, "split", "split_rank"), on=KEYS)
+    carry = ["split", "split_rank"]
+    return window_arrays(cycle_windows(spark, sf, mode, sizes, split=split, carry=carry)[0], KEYS, extra=carry)
 
 
 def fold_mean(x: str):
@@ -233,6 +237,7 @@ def q_cycle_features(spark, sf):
     cyc, w = with_splits(spark, sf)
     rows = cyc.join(w.select(*KEYS, "split"), on=KEYS).drop("battery_id") \
               .withColumn("cycle_index", F.col("cycle_index").cast("double"))
+    rows = materialize(rows)  # two readers: fit and scale
     feats = ["cycle_index", *CH]
     sc = fit_scaler(rows, feats, where=F.col("split") == "train")
     return scale(rows, sc, feats).select("split", "pos", *feats)
@@ -481,20 +486,16 @@ def q_patch_masks(spark, sf):
 
 
 def q_length_histogram(spark, sf):
-    cyc = T_cycles(spark, sf)
-    return length_histogram(series_lengths(cyc, KEYS, count_col="cycle_test_time"))
+    return length_histogram(cycle_lengths(spark, sf))
 
 
 def q_shortest_cycle(spark, sf):
     """Arg-min cycle length; among ties the last in key order (as the reference's loop keeps)."""
-    cyc = T_cycles(spark, sf)
-    return shortest_series(series_lengths(cyc, KEYS, count_col="cycle_test_time"), KEYS)
+    return shortest_series(cycle_lengths(spark, sf), KEYS)
 
 
 def q_window_rejects(spark, sf):
-    cyc = T_cycles(spark, sf)
-    lens = series_lengths(cyc, KEYS, count_col="cycle_test_time")
-    return window_rejects(lens, KEYS, "cut", MASKED[0], MASKED[2])
+    return window_rejects(cycle_lengths(spark, sf), KEYS, "cut", MASKED[0], MASKED[2])
 
 
 # ---------------------------------------------------------------- calendar
@@ -696,12 +697,12 @@ def eval_report(spark, sf) -> DataFrame:
     forecast -> per-split report (MSE criterion + guarded bundle, batch means)."""
     seq, label, pred = UNMASKED
     cyc, w = with_splits(spark, sf)
-    rows = cyc.join(w.select(*KEYS, "split"), on=KEYS)
+    rows = materialize(cyc.join(w.select(*KEYS, "split"), on=KEYS))  # two readers: fit and scale
     sc = fit_scaler(rows, CH, where=F.col("split") == "train")
     rows_s = scale(rows, sc, CH)
     cuts = draw_cut(w, KEYS, "cut", seq, pred, seed=SEED)
-    win = window_arrays(cut_windows(rows_s, cuts, KEYS, "target", "cut", seq, label, pred), KEYS)
-    d = win.join(w.select(*KEYS, "split", "split_rank"), on=KEYS).select(
+    carry = ["split", "split_rank"]
+    d = window_arrays(cut_windows(rows_s, cuts, KEYS, "target", "cut", seq, label, pred, carry=carry), KEYS, extra=carry).select(
         "split", F.floor(F.col("split_rank") / BS).alias("batch_id"), fold_mean("x").alias("yhat"),
         F.explode(F.slice("y", label + 1, pred)).alias("value"))
     return M.batched_metrics(d, "batch_id", [M.mse_loss_agg("yhat", "value"), *M.eps_aggs("yhat", "value")],

@@ -27,15 +27,19 @@ def _day(ts) -> F.Column:
     return F.unix_date(F.to_date(ts))
 
 
-def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor cycles: battery = supplier, cycle = ship year, ordered by ship date."""
-    li = read_table(spark, sf_dir, "lineitem").select(
+def cycle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the sensor cycles without positions (enough for their lengths)."""
+    return read_table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("battery_id"), F.year("l_shipdate").cast("int").alias("cycle_index"),
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
         F.col("l_quantity").alias("c_qty"), F.col("l_discount").alias("c_disc"), F.col("l_tax").alias("c_tax"),
         (F.col("l_extendedprice") / 1000).alias("target"))
-    d = with_position(li, CYCLE_KEYS, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"],
-                      bucket=_day("l_shipdate"), first_bucket="_d0")
+
+
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor cycles: battery = supplier, cycle = ship year, ordered by ship date (buckets: quarters)."""
+    d = with_position(cycle_rows(spark, sf_dir), CYCLE_KEYS, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"],
+                      bucket=F.quarter("l_shipdate"), first=("_d0", _day("l_shipdate")))
     return d.select(*CYCLE_KEYS, "pos", (_day("l_shipdate") - F.col("_d0")).cast("double").alias("cycle_test_time"),
                     "c_qty", "c_disc", "c_tax", "target")
 
@@ -44,7 +48,7 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many short univariate series: one per user, ordered by (ts, event_id)."""
     e = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("series_id"), "ts", "event_id", "value", "event_type")
-    d = with_position(e, ["series_id"], ["ts", "event_id"], bucket=_day("ts"))
+    d = with_position(e, ["series_id"], ["ts", "event_id"], bucket=F.floor(_day("ts") / 14))
     return d.select("series_id", "pos", "ts", "value", "event_type")
 
 

@@ -27,8 +27,9 @@ Texts are told apart by a 128-bit hash, so copies of a document are worked on on
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -174,28 +175,44 @@ def _member_batch(rows: list[tuple], keys: list[bytes]) -> pa.RecordBatch:
     return _batch(MEMBER, gram, block, k[:, 0], k[:, 1], *rest)
 
 
-def repeated_distances(members: list[tuple[int, int, int, bytes]], length: int) -> list[list[int]]:
-    """For each member (low, high, start, bytes): the distances at which it agrees with another."""
-    lead = [high for _, high, _, _ in members]
-    classes = []
-    for side in ([b[h:] for h, (_, _, _, b) in zip(lead, members, strict=True)],
-                 [b[:h][::-1] for h, (_, _, _, b) in zip(lead, members, strict=True)]):
-        order, lcps = deep_shallow(side)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        classes.append((np.array(lcps), rank))
-    (right, right_rank), (left, left_rank) = classes
-    lows, highs = np.array([m[0] for m in members]), np.array([m[1] for m in members])
-    found: list[list[int]] = [[] for _ in members]
-    for d in range(int(lows.min()), int(highs.max()) + 1):
-        inside = np.flatnonzero((lows <= d) & (d <= highs))
+def _orders(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """(common prefixes in sorted order, rank of each string)."""
+    order, lcps = deep_shallow(strings)
+    rank = [0] * len(order)
+    for r, i in enumerate(order):
+        rank[i] = r
+    return lcps, rank
+
+
+def repeated_distances(members: list[tuple[int, int, bytes]], length: int) -> list[list[tuple[int, int]]]:
+    """For each member (low, high, bytes): the ranges of distances at which it agrees with another.
+
+    At distance d members fall into classes that agree on length - d bytes from the anchor on, and
+    on d bytes before it.  The classes change only where a common prefix or a member ends, so
+    they are compared once per such range of distances.
+    """
+    right, right_rank = _orders([b[h:] for _, h, b in members])
+    left, left_rank = _orders([b[:h][::-1] for _, h, b in members])
+    low, high = min(m[0] for m in members), max(m[1] for m in members)
+    turns = {low, *(length - x for x in right[1:]), *(x + 1 for x in left[1:]), *(m[0] for m in members), *(m[1] + 1 for m in members)}
+    turns = sorted(t for t in turns if low <= t <= high)
+    found: list[list[tuple[int, int]]] = [[] for _ in members]
+    for d, end in zip(turns, [*turns[1:], high + 1], strict=True):
+        inside = [i for i, m in enumerate(members) if m[0] <= d <= m[1]]
         if len(inside) < 2:
             continue
-        r = np.cumsum(right < length - d)[right_rank[inside]]
-        key = r * (len(members) + 1) + np.cumsum(left < d)[left_rank[inside]]
-        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-        for i in inside[n[back] > 1].tolist():
-            found[i].append(d)
+        r = list(accumulate(x < length - d for x in right))
+        f = list(accumulate(x < d for x in left))
+        keys = [(r[right_rank[i]], f[left_rank[i]]) for i in inside]
+        if len(set(keys)) == len(keys):
+            continue
+        n = Counter(keys)
+        for i, k in zip(inside, keys, strict=True):
+            if n[k] > 1:
+                if found[i] and found[i][-1][1] == d - 1:
+                    found[i][-1] = (found[i][-1][0], end - 1)
+                else:
+                    found[i].append((d, end - 1))
     return found
 
 
@@ -208,17 +225,9 @@ def _sort_groups(members: DataFrame, length: int, group: int) -> DataFrame:
     def runs(held: list[dict]) -> list[tuple]:
         if len(held) < 2 or all(m["known"] for m in held):
             return []
-        out = []
-        hits = repeated_distances([(m["low"], m["high"], m["start"], m["bytes"]) for m in held], length)
-        for m, ds in zip(held, hits, strict=True):
-            if not m["known"] and ds:
-                starts = sorted(m["start"] + m["high"] - d for d in ds)
-                first = starts[0]
-                for a, b in zip(starts, [*starts[1:], -1], strict=True):
-                    if b != a + 1:
-                        out.append((m["t1"], m["t2"], first, a - first + 1, 0, 0))
-                        first = b
-        return out
+        hits = repeated_distances([(m["low"], m["high"], m["bytes"]) for m in held], length)
+        return [(m["t1"], m["t2"], m["start"] + m["high"] - b, b - a + 1, 0, 0)
+                for m, ranges in zip(held, hits, strict=True) if not m["known"] for a, b in ranges]
 
     def singly(m: dict) -> list[tuple]:
         from xxhash import xxh3_128_digest
@@ -229,18 +238,23 @@ def _sort_groups(members: DataFrame, length: int, group: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, large, out = None, [], False, []
         for batch in batches:
-            for m in batch.to_pylist():
-                k = (m["gram"], m["block"], m["k1"], m["k2"])
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            begin = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))).tolist()
+            for a, b in zip(begin, [*begin[1:], batch.num_rows], strict=True):
+                k = tuple(keys[:, a].tolist())
                 if k != key:
                     out += runs(held)
                     key, held, large = k, [], False
-                if large:
-                    out += singly(m)
-                else:
-                    held.append(m)
-                    if len(held) > group:
-                        out += [x for h in held for x in singly(h)]
-                        held, large = [], True
+                    if b - a == 1 and b < batch.num_rows:
+                        continue  # alone in its key
+                for m in batch.slice(a, b - a).to_pylist():
+                    if large:
+                        out += singly(m)
+                    else:
+                        held.append(m)
+                        if len(held) > group:
+                            out += [x for h in held for x in singly(h)]
+                            held, large = [], True
                 if len(out) >= 8192:
                     yield _batch(RESULT, *zip(*out, strict=True))
                     out = []
@@ -259,19 +273,17 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = 400, bloc
     texts = docs.where(F.octet_length(body) >= length).select(t1.alias("t1"), t2.alias("t2"), body.alias("text"))
     # what is joined to a side that may be skewed is stored first: only joins of plain shuffles are split
     again = cut(_gram_hashes(texts, length).groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"))
-    # copies of a text give equal rows; they meet as one row with their number
-    found = _intervals(texts, length).join(again, "gram", "left_semi").groupBy(
-        "t1", "t2", "start", "n", "lead", "gram", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"))
-    found = cut(found)
+    found = cut(_intervals(texts, length).join(again, "gram", "left_semi"))
     kind = ["gram", "lead", "n", "c1", "c2"]
-    kinds = cut(found.groupBy(*kind).agg(F.sum("copies").alias("copies"), F.min(F.struct("t1", "t2", "start")).alias("one")))
+    kinds = cut(found.groupBy(*kind).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("t1", "t2", "start")).alias("one")))
     whole = found.join(kinds.where("copies > 1").select(*kind), kind, "left_semi").select("t1", "t2", "start", "n")
 
     mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("copies") == 1).alias("open")).where("k > 1 AND open")
     open_kinds = kinds.join(cut(mixed.select("gram")), "gram", "left_semi").select(
         "one.t1", "one.t2", F.struct("one.start", "n", "lead", "gram", (F.col("copies") > 1).alias("known")).alias("x"))
     by_text = cut(open_kinds.groupBy("t1", "t2").agg(F.collect_list("x").alias("found")))
-    open_texts = texts.join(by_text, ["t1", "t2"]).dropDuplicates(["t1", "t2"]).select("text", "t1", "t2", "found")
+    # copies of a text are dropped before the shuffle
+    open_texts = texts.dropDuplicates(["t1", "t2"]).join(by_text, ["t1", "t2"]).select("text", "t1", "t2", "found")
     parts = cut(_sort_groups(_members(open_texts, length, block), length, group))
     singles = parts.where("n = 0")
     same = singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2")
@@ -298,7 +310,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = 400, **op
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     t1, t2 = hash128(body)
     texts = docs.where(F.octet_length(body) >= length).select(t1.alias("t1"), t2.alias("t2"), body.alias("text"))
-    hit = texts.join(cut(repeated_starts(docs, text, length, **options)), ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    hit = texts.dropDuplicates(["t1", "t2"]).join(cut(repeated_starts(docs, text, length, **options)), ["t1", "t2"])
     schema = "t1 long, t2 long, spans array<struct<begin: int, end: int>>, kept binary"
     spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsflow.operators.metrics import error_quantiles
+from tsflow.session import materialize
 
 RKEYS = ["batch", "seq"]
 
@@ -47,14 +48,14 @@ def _attach_one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def endpoint_error(df: DataFrame, at_id: int) -> DataFrame:
     """|dif| at one id per series, with the 25 / 75 % quantiles of that column."""
-    e = with_dif(df).where(F.col("id") == at_id).select(*RKEYS, F.abs("dif").alias("abs_dif"))
+    e = materialize(with_dif(df).where(F.col("id") == at_id).select(*RKEYS, F.abs("dif").alias("abs_dif")))  # several readers
     return _attach_one_row(e, error_quantiles(e, "abs_dif"))
 
 
 def process_error(df: DataFrame, from_id: int) -> DataFrame:
     """Mean dif over ids >= from_id per series, its abs, and quantiles of the signed means."""
     m = with_dif(df).where(F.col("id") >= from_id).groupBy(*RKEYS).agg(F.avg("dif").alias("mean_dif"))
-    m = m.withColumn("abs_mean_dif", F.abs("mean_dif"))
+    m = materialize(m.withColumn("abs_mean_dif", F.abs("mean_dif")))  # several readers
     return _attach_one_row(m, error_quantiles(m, "mean_dif"))
 
 

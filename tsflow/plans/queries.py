@@ -627,7 +627,7 @@ def q_point_adjust(spark, sf):
 
 
 def q_accuracy(spark, sf):
-    a = S.point_adjust(T_anom(spark, sf), ["series_id"], "gt", "pred").withColumn("_k", F.lit(1))
+    a = materialize(S.point_adjust(T_anom(spark, sf), ["series_id"], "gt", "pred").withColumn("_k", F.lit(1)))  # two readers
     raw, adj = M.accuracy(a, "gt", "pred", ["_k"], "acc_raw"), M.accuracy(a, "gt", "pred_adj", ["_k"], "acc_adj")
     return raw.join(adj, on="_k").drop("_k")
 
@@ -679,7 +679,7 @@ def q_mase_loss(spark, sf):
 
 def q_metrics_batched(spark, sf):
     """Means over batches, and beside them the loss over the whole set."""
-    fc = fc_table(spark, sf)
+    fc = materialize(fc_table(spark, sf))  # two readers
     return M.batched_metrics(fc, "batch_id", [M.smape_loss_agg("yhat", "y", "mask"), *M.eps_aggs("yhat", "y", "mask")],
                              by=["split"], overall=[M.smape_loss_agg("yhat", "y", "mask", "smape_all"),
                                                     M.mse_loss_agg("yhat", "y", "mask", "mse_all")])
@@ -777,7 +777,7 @@ def q_endpoint_error(spark, sf):
 def q_error_quantiles(spark, sf):
     seq, _, pred = UNMASKED
     e = R.with_dif(_result(spark, sf)).where(F.col("id") == seq + pred - 1).select(F.abs("dif").alias("abs_dif"))
-    return M.error_quantiles(e, "abs_dif")
+    return M.error_quantiles(materialize(e), "abs_dif")  # several readers
 
 
 def q_process_error(spark, sf):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsflow.llm.common import read_text, special_splitter, white_runs
+from tsflow.llm.common import cut, read_text, special_splitter, white_runs
 
 LONGEST_CACHED = 64      # characters; longer runs are encoded and not kept
 _WORKER: dict = {}       # one tokenizer and cache per worker process and vocabulary
@@ -56,8 +56,9 @@ def _trim(counts: Counter, slots: int) -> Counter:
     return Counter({k: v - floor for k, v in counts.items() if v > floor})
 
 
-def frequent_runs(docs: DataFrame, text: str = "text", slots: int = 16384, keep: int = 32768) -> list[str]:
-    """The most frequent runs of the whole corpus, at most ``keep`` of at most 64 characters."""
+def frequent_runs(docs: DataFrame, text: str = "text", slots: int = 16384, keep: int = 65536) -> list[str]:
+    """The most frequent runs of the whole corpus, at most ``keep`` of at most 64 characters: all
+    that are counted as often as the least power of two that leaves no more."""
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -71,12 +72,20 @@ def frequent_runs(docs: DataFrame, text: str = "text", slots: int = 16384, keep:
                                           pa.array([v for _, v in kept], pa.int64())], ["run", "n"])
 
     summaries = docs.select(F.col(text).cast("string")).mapInArrow(summarise, "run string, n long")
-    top = summaries.groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(keep)
-    return [r.run for r in top.collect()]
+    counts = cut(summaries.groupBy("run").agg(F.sum("n").alias("n")))
+    # the table of counts by power of two (at most 64 rows) tells from which count on at most ``keep`` runs are left
+    sizes = counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("runs")).collect()
+    least, room = None, keep
+    for r in sorted(sizes, reverse=True):
+        room -= r.runs
+        if room < 0:
+            break
+        least = 2 ** r.power
+    return [] if least is None else [r.run for r in counts.where(F.col("n") >= least).select("run").collect()]
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text",
-                 slots: int = 16384, keep: int = 32768, cache: int = 1 << 18) -> DataFrame:
+                 slots: int = 16384, keep: int = 65536, cache: int = 1 << 18) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens)`` per row, in input order of rows.
 
     Null or empty text: 0 bytes, 0 tokens.  Repeated rows are counted row by row; a null id

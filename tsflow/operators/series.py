@@ -121,7 +121,7 @@ def autocorr(x: Column, length: int) -> Column:
 def top_lags(r: Column, k: int = 5) -> Column:
     """Indices of the k largest r; ties (r[k] = r[T-k]) broken by the smaller lag."""
     pairs = F.transform(r, lambda v, i: F.struct(F.round(-v, 9).alias("nv"), i.alias("lag")))
-    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s: s["lag"])
+    return F.slice(F.sort_array(pairs), 1, k)["lag"]
 
 
 def period_agg(df: DataFrame, x: str, length: int, factor: float = 1.0, r: str | None = None,
@@ -139,7 +139,7 @@ def period_agg(df: DataFrame, x: str, length: int, factor: float = 1.0, r: str |
     rk = F.col(rank_r) if rank_r is not None else rr
     pairs = F.transform(F.arrays_zip(rk.alias("q"), rr.alias("v")),
                         lambda z, i: F.struct(F.round(-z["q"], 9).alias("nv"), i.alias("lag"), z["v"].alias("r")))
-    d = pin(d, "_top", F.slice(F.array_sort(pairs), 1, k))
+    d = pin(d, "_top", F.slice(F.sort_array(pairs), 1, k))
     d = d.withColumn("_mx", F.aggregate("_top", F.lit(float("-inf")), lambda a, s: F.greatest(a, s["r"])))
     d = pin(d, "_w", F.transform("_top", lambda s: F.struct(s["lag"].alias("lag"),
                                                              F.exp(s["r"] - F.col("_mx")).alias("e"))))
@@ -163,8 +163,8 @@ def shared_lag_corr(df: DataFrame, batch: str, r: str, length: int) -> DataFrame
     batch shares the same top lags (a plain group-by on the batch id, element-wise mean)."""
     e = df.select(batch, F.posexplode(r).alias("_i", "_v"))
     m = e.groupBy(batch, "_i").agg(F.avg("_v").alias("_v"))
-    arr = m.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_a"))
-    return df.join(arr.select(batch, F.transform("_a", lambda s: s["_v"]).alias("r_batch")), on=batch)
+    arr = m.groupBy(batch).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_a"))
+    return df.join(arr.select(batch, F.col("_a")["_v"].alias("r_batch")), on=batch)
 
 
 def align_len(a: Column, b: Column) -> Column:
@@ -176,7 +176,7 @@ def align_len(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- window statistics / prompt
 def window_stats_cols(x: Column) -> list[Column]:
     """min, max, lower median (sorted[(n-1) div 2]) and trend sign of an array."""
-    srt = F.array_sort(x)
+    srt = F.sort_array(x)
     med = F.element_at(srt, F.floor((F.size(x) - 1) / 2).cast("int") + 1)
     diff_sum = F.element_at(x, -1) - F.element_at(x, 1)
     return [F.array_min(x).alias("min_value"), F.array_max(x).alias("max_value"), med.alias("median_value"),

@@ -200,26 +200,22 @@ def to_arrays(long_df: DataFrame, keys: Sequence[str], cols: Sequence[str] = ("v
               part: str | None = "part") -> DataFrame:
     """Gather long-form slots into arrays per window (bounded by window length)."""
     by = list(keys) + ([part] if part else [])
-    s = F.array_sort(F.collect_list(F.struct(F.col("step"), *[F.col(c) for c in cols])))
+    s = F.sort_array(F.collect_list(F.struct(F.col("step"), *[F.col(c) for c in cols])))
     g = long_df.groupBy(*by).agg(s.alias("_s"))
-    return g.select(*by, *[F.transform("_s", _field(c)).alias(c) for c in cols])
+    return g.select(*by, *[F.col("_s")[c].alias(c) for c in cols])
 
 
 def _slot_of(part: str):
     return lambda s: F.struct(F.lit(part).alias("part"), s.alias("step"))
 
 
-def _field(name: str):
-    return lambda e: e[name]
-
-
 def window_arrays(long_df: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """One row per window ``(keys, x, x_mask, y, y_mask, extra...)`` from its long form, in one shuffle.
     Arrays are bounded by the window length; ``extra`` columns are constant per window."""
     def side(part: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("step", "value", "mask"))))
+        return F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("step", "value", "mask"))))
     g = long_df.groupBy(*keys).agg(side("x").alias("_x"), side("y").alias("_y"), *(F.first(c).alias(c) for c in extra))
-    return g.select(*keys, *(F.transform(f"_{p}", _field(f)).alias(n) for p in "xy"
+    return g.select(*keys, *(F.col(f"_{p}")[f].alias(n) for p in "xy"
                              for f, n in (("value", p), ("mask", f"{p}_mask"))), *extra)
 
 

@@ -147,13 +147,13 @@ MEMBER = "gram long, block int, k1 long, k2 long, t1 long, t2 long, start int, l
 
 
 def _members(open_texts: DataFrame, length: int, size: int) -> DataFrame:
-    """Blocks of the open intervals.  ``open_texts``: text, t1, t2, found = [(start, n, lead, gram, known)].
+    """Blocks of the open intervals.  ``open_texts``: text (packed), t1, t2, found = [(start, n, lead, gram, known)].
     A member covers the start distances low..high of its block; ``start`` is the position at ``high``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
         for batch in batches:
             rows, keys = [], []
-            for text, t1, t2, found in zip(batch.column(0).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for text, t1, t2, found in zip(_unpacked(batch.column(0)), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 for x in found:
                     anchor, top, bottom = x["start"] + x["lead"], x["lead"], x["lead"] - x["n"] + 1
                     for block in range(bottom // size, top // size + 1):
@@ -266,6 +266,23 @@ def _sort_groups(members: DataFrame, length: int, group: int) -> DataFrame:
     return members.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, RESULT)
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """``(t1, t2, text)`` with compressed texts, one row per text: what is shuffled to fetch texts by hash.
+    Copies within a task are dropped before the shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+        pack = ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array(map(pack, batch.column(2).cast(pa.binary()).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["t1", "t2", "text"])
+    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, text binary").dropDuplicates(["t1", "t2"])
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    from zstandard import ZstdDecompressor
+    return list(map(ZstdDecompressor().decompress, column.to_pylist()))
+
+
 def repeated_starts(docs: DataFrame, text: str = "text", length: int = 400, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """``(t1, t2, runs)``: per text (by its hash) the runs (start, n) of starts whose string repeats."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -282,8 +299,7 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = 400, bloc
     open_kinds = kinds.join(cut(mixed.select("gram")), "gram", "left_semi").select(
         "one.t1", "one.t2", F.struct("one.start", "n", "lead", "gram", (F.col("copies") > 1).alias("known")).alias("x"))
     by_text = cut(open_kinds.groupBy("t1", "t2").agg(F.collect_list("x").alias("found")))
-    # copies of a text are dropped before the shuffle
-    open_texts = texts.dropDuplicates(["t1", "t2"]).join(by_text, ["t1", "t2"]).select("text", "t1", "t2", "found")
+    open_texts = _packed(texts).join(by_text, ["t1", "t2"]).select("text", "t1", "t2", "found")
     parts = cut(_sort_groups(_members(open_texts, length, block), length, group))
     singles = parts.where("n = 0")
     same = singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2")
@@ -310,14 +326,14 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = 400, **op
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     t1, t2 = hash128(body)
     texts = docs.where(F.octet_length(body) >= length).select(t1.alias("t1"), t2.alias("t2"), body.alias("text"))
-    hit = texts.dropDuplicates(["t1", "t2"]).join(cut(repeated_starts(docs, text, length, **options)), ["t1", "t2"])
+    hit = _packed(texts).join(cut(repeated_starts(docs, text, length, **options)), ["t1", "t2"])
     schema = "t1 long, t2 long, spans array<struct<begin: int, end: int>>, kept binary"
     spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, kept = [], []
-            for t, runs in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for t, runs in zip(_unpacked(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 found = removed_spans(runs, length)
                 spans.append([{"begin": a, "end": b} for a, b in found])
                 kept.append(b"".join(t[a:b] for a, b in zip([0, *(b for _, b in found)], [*(a for a, _ in found), len(t)], strict=True)))

@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import duckdb
@@ -66,3 +67,54 @@ def test_held_out_labels(spark, sf):
     long = [i for i in good if got[i]]
     assert len(long) / len(good) > .95
     assert sum(not got[i] for i in bad) / len(bad) > .95
+
+
+@pytest.mark.parametrize("share", [.01, .1, .35])
+def test_junk_share_does_not_turn_verdicts(spark, share):
+    """Junk of which only one rule says so, as a small and as a large part of the corpus."""
+    n = 400
+    words = lambda i: " ".join(f"word{(i * 31 + k * 7) % 977}" for k in range(60))
+    rows = [(i, words(i) + (" #$%&" * 15 if i < share * n else "")) for i in range(n)]
+    got = Q.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert [r.doc_id for r in got if not r.kept] == [i for i in range(n) if i < share * n]
+
+
+def posteriors(seen, n_rules):
+    """The same estimate from one list of votes per document, without numbers shared by equal votes."""
+    docs = [v for v, n in seen.items() for _ in range(n)]
+    good = [.1 if Q.BAD in v else .9 for v in docs]
+    for _ in range(60):
+        odds = [4.0] * len(docs)
+        for j in range(n_rules):
+            on = lambda x, g: sum(p for p, v in zip(g, docs, strict=True) if v[j] == x)  # noqa: B023, E731
+            ill = [1 - p for p in good]
+            held = 1 + on(Q.BAD, [1] * len(docs))
+            usual = 2 * (1 + on(Q.GOOD, [1] * len(docs))) / (2 + len(docs))
+            ratio = {Q.BAD: (on(Q.BAD, good) + held / 101) / (on(Q.BAD, ill) + held * 100 / 101) / 4, Q.ABSTAIN: 1.0,
+                     Q.GOOD: (on(Q.GOOD, good) + usual) / (sum(good) + 2) / ((on(Q.GOOD, ill) + usual) / (sum(ill) + 2))}
+            odds = [o * ratio[v[j]] for o, v in zip(odds, docs, strict=True)]
+        good = [o / (1 + o) for o in odds]
+    return dict(zip(docs, good, strict=True))
+
+
+@pytest.mark.parametrize("share", [.01, .1, .35])
+def test_fit_matches_brute_force(share):
+    fine, junk, short = (2, 2, 2, 1), (2, 2, 2, 0), (0, 2, 0, 1)
+    seen = Counter({fine: round(500 * (1 - share)), junk: round(500 * share), short: 20})
+    prior, w = Q.fit(list(seen.items()), 4)
+    want = posteriors(seen, 4)
+    for v in seen:
+        assert 1 / (1 + math.exp(-prior - sum(w[j][x] for j, x in enumerate(v)))) == pytest.approx(want[v], abs=1e-6)
+    assert want[fine] > .5 > max(want[junk], want[short])
+
+
+def test_accurate_rules_outweigh_a_weak_one():
+    import random
+    r = random.Random(1)
+    seen = Counter()
+    for _ in range(5000):
+        good = r.random() < .8
+        seen[tuple((Q.GOOD if good else Q.BAD) if r.random() < .85 else Q.ABSTAIN for _ in range(3)) + ((Q.BAD if r.random() < .15 else Q.ABSTAIN),)] += 1
+    prior, w = Q.fit(list(seen.items()), 4)
+    assert prior + sum(w[j][Q.GOOD] for j in range(3)) + w[3][Q.BAD] > 0 > prior + w[3][Q.BAD]

@@ -100,26 +100,32 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, good_share: f
     """Expectation-maximisation over ``(votes, documents)``; returns the log-odds of good
     without any vote, and those that each vote of each rule adds (an abstention adds none).
 
-    It starts from the rules' meaning: a document with a bad vote is probably bad.  Where a rule
-    votes alone its accuracy can't be seen in the data, so each rule also counts as
-    many documents as ``TRUSTED`` of the corpus, half of them good votes in
-    either class, the others bad votes that are ``TRUST`` times as common in bad documents.  All counts are smoothed by one document, so an unseen vote adds a finite
-    log-odds.  The share of good documents is a parameter: abstentions are no evidence of it.
+    It starts from the rules' meaning: a document with a bad vote is probably bad.  The accuracy of a
+    bad vote is read off the rule's own bad votes (how many of them fall on good documents, against
+    the fixed share of good documents), so the mix of the corpus is no part of it.  Where a rule
+    votes alone its accuracy can't be seen in the data, so ``TRUSTED`` times as many bad votes are
+    added, ``TRUST`` times as common in bad documents; good votes of rules that the data show to be
+    accurate outweigh them.  Good votes are smoothed by two documents of each class that vote as the
+    corpus does, so an unseen vote adds a finite log-odds and one that all documents get adds none.
+    The share of good documents is a parameter: abstentions are no evidence of it.
     """
     patterns = sorted(patterns)
-    held = TRUSTED * sum(n for _, n in patterns)
+    documents = sum(n for _, n in patterns)
+    bad_votes, good_votes = ([sum(n for v, n in patterns if v[j] == x) for j in range(n_rules)] for x in (BAD, GOOD))
     good = [0.1 if BAD in v else 0.9 for v, _ in patterns]
     prior, weights = math.log(good_share / (1 - good_share)), [[0.0] * 3 for _ in range(n_rules)]
     for _ in range(rounds):
-        total = [[[1 + held / 2, 1.0, 1 + held / 2] for _ in range(n_rules)],
-                 [[1 + held / 2 / TRUST, 1 + held / 2 * (1 - 1 / TRUST), 1 + held / 2] for _ in range(n_rules)]]
+        total = [[[0.0] * 3 for _ in range(n_rules)] for _ in range(2)]
         for (v, n), g in zip(patterns, good, strict=True):
             for kind, share in ((0, 1 - g), (1, g)):
                 for j, x in enumerate(v):
                     total[kind][j][x] += n * share
-        weights = [[0.0 if x == ABSTAIN else
-                    math.log(total[1][j][x] / sum(total[1][j])) - math.log(total[0][j][x] / sum(total[0][j]))
-                    for x in range(3)] for j in range(n_rules)]
+        for j in range(n_rules):
+            bad, fine = total[0][j], total[1][j]
+            held = 1 + TRUSTED * bad_votes[j]
+            weights[j][BAD] = math.log(fine[BAD] + held / (1 + TRUST)) - math.log(bad[BAD] + held * TRUST / (1 + TRUST)) - prior
+            usual = 2 * (1 + good_votes[j]) / (2 + documents)
+            weights[j][GOOD] = math.log((fine[GOOD] + usual) / (sum(fine) + 2)) - math.log((bad[GOOD] + usual) / (sum(bad) + 2))
         good = [1 / (1 + math.exp(-max(-500, min(500, prior + sum(weights[j][x] for j, x in enumerate(v)))))) for v, _ in patterns]
     return prior, weights
 

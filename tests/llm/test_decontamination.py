@@ -92,3 +92,16 @@ def test_query_matches_brute_force(spark):
     bench = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
     got = sorted(map(tuple, QUERIES["op9_decontamination"](spark, sf).collect()), key=str)
     assert got == brute(docs, bench) and got
+
+
+def found(spark, docs, bench, **options):
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), **options)
+    return sorted(map(tuple, got.collect()), key=str)
+
+
+def test_repeated_items_texts_under_one_id_and_null_ids(spark):
+    one, two = "six words are just enough here", "another text of which all the words are in lower case"
+    third = "yet one more text under no id that some page holds whole"
+    bench = [(1, one)] * 5 + [(2, one), (2, two), (None, third), (None, third), (None, two)]
+    docs = [(1, one), (2, two), (3, third)]
+    assert found(spark, docs, bench) == sorted([(1, 1, 1, 1), (1, 2, 1, 1), (2, 2, 4, 4), (2, None, 4, 4), (3, None, 5, 5)], key=str)

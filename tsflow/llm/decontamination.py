@@ -58,29 +58,31 @@ def _windows(words: Column, length: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, shortest: int) -> DataFrame:
-    """``(item, length, n_windows, hash, b_at, b_values)``; ``b_values`` is null without a placeholder.
-    Items of fewer than ``window`` tokens are one window; those of fewer than ``shortest`` cannot
+    """``(item, key, length, n_windows, hash, b_at, b_values)``; ``b_values`` is null without a placeholder.
+    Each distinct text under an id is an item with a ``key`` of its own; a null id is an id.  Items of fewer than ``window`` tokens are one window; those of fewer than ``shortest`` cannot
     be told from ordinary text and are left out."""
     body = F.col(f"`{text}`").cast("string")
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), body.alias("text"), _words(body).alias("words"))
-    items = items.select("item", "words", _values(F.col("text"), F.col("words")).alias("values"),
+    own = F.col(f"`{item_id}`")
+    items = benchmark.select(own.alias("item"), F.xxhash64(own.isNull(), own.cast("string"), body).alias("key"), body.alias("text"))
+    items = items.dropDuplicates(["item", "key"]).select("item", "key", "text", _words(F.col("text")).alias("words"))
+    items = items.select("item", "key", "words", _values(F.col("text"), F.col("words")).alias("values"),
                          F.least(F.size("words"), F.lit(window)).alias("length")).where(F.col("length") >= shortest)
-    every = [items.where(F.col("length") == n).select("item", "length", "values", F.posexplode(_windows(F.col("words"), n)).alias("b_at", "hash"))
+    items = items.withColumn("n_windows", (F.size("words") - F.col("length") + 1).cast("long"))
+    every = [items.where(F.col("length") == n).select("item", "key", "length", "n_windows", "values", F.posexplode(_windows(F.col("words"), n)).alias("b_at", "hash"))
              for n in range(shortest, window + 1)]
     out = every[0]
     for df in every[1:]:
         out = out.union(df)
-    counts = out.groupBy("item", "length").agg(F.count(F.lit(1)).alias("n_windows"))
     values = F.slice("values", F.col("b_at") + 1, F.col("length"))
-    return out.join(counts, ["item", "length"]).select(
-        "item", "length", "n_windows", "hash", "b_at", F.when(F.exists(values, lambda v: v.isNotNull()), values).alias("b_values"))
+    return out.select("item", "key", "length", "n_windows", "hash", "b_at",
+                      F.when(F.exists(values, lambda v: v.isNotNull()), values).alias("b_values"))
 
 
 def _aligned(hits: DataFrame) -> DataFrame:
-    """``(t1, t2, item, n_windows, length, shift, at, slots)`` per alignment: item places matched, and
+    """``(t1, t2, item, key, n_windows, length, shift, at, slots)`` per alignment: item places matched, and
     those with placeholders together with the item's values."""
     slot = F.when(F.col("b_values").isNotNull(), F.struct("b_at", "b_values"))
-    return hits.groupBy("t1", "t2", "item", "n_windows", "length", "shift").agg(
+    return hits.groupBy("t1", "t2", "item", "key", "n_windows", "length", "shift").agg(
         F.collect_set("b_at").alias("at"), F.collect_set(slot).alias("slots"))
 
 
@@ -88,7 +90,7 @@ def _consistent(aligned: DataFrame, texts: DataFrame) -> DataFrame:
     """The alignments whose placeholders are filled one to one.  Only texts with such alignments are
     fetched, each once, together with all its alignments."""
     doubtful = aligned.where(F.size("slots") > 0)
-    by_text = cut(doubtful.groupBy("t1", "t2").agg(F.collect_list(F.struct("item", "n_windows", "length", "shift", "at", "slots")).alias("all")))
+    by_text = cut(doubtful.groupBy("t1", "t2").agg(F.collect_list(F.struct("item", "key", "n_windows", "length", "shift", "at", "slots")).alias("all")))
     if by_text.isEmpty():
         return aligned.drop("slots", "length")
     held = texts.dropDuplicates(["t1", "t2"]).join(by_text, ["t1", "t2"])
@@ -105,7 +107,7 @@ def _consistent(aligned: DataFrame, texts: DataFrame) -> DataFrame:
 
     sure = held.select("t1", "t2", F.explode(F.filter("all", agrees)).alias("a"))
     return (aligned.where(F.size("slots") == 0).drop("slots", "length")
-            .unionByName(sure.select("t1", "t2", "a.item", "a.n_windows", "a.shift", "a.at")))
+            .unionByName(sure.select("t1", "t2", "a.item", "a.key", "a.n_windows", "a.shift", "a.at")))
 
 
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -124,15 +126,15 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             part = items.where((F.col("length") == length) & (F.pmod("hash", F.lit(blocks)) == block))
             # bounded: at most about BLOCK_WINDOWS rows of under 100 values
             hit = spread.join(F.broadcast(part), "hash").select(
-                "t1", "t2", "item", "n_windows", "length", "b_at", (F.col("d_at") - F.col("b_at")).alias("shift"), "b_values")
+                "t1", "t2", "item", "key", "n_windows", "length", "b_at", (F.col("d_at") - F.col("b_at")).alias("shift"), "b_values")
             found = hit if found is None else found.union(hit)
     if found is None:
         return docs.sparkSession.createDataFrame(
             [], f"t1 long, t2 long, item {benchmark.schema[item_id].dataType.simpleString()}, n_windows long, n_matched long")
     aligned = _consistent(cut(_aligned(found)), texts)
-    covered = aligned.select("t1", "t2", "item", "n_windows", F.explode("at").alias("at"))
-    return (covered.groupBy("t1", "t2", "item", "n_windows").agg(F.size(F.collect_set("at")).cast("long").alias("n_matched"))
-            .where(F.col("n_matched") >= share * F.col("n_windows")))
+    covered = aligned.select("t1", "t2", "item", "key", "n_windows", F.explode("at").alias("at"))
+    return (covered.groupBy("t1", "t2", "item", "key", "n_windows").agg(F.size(F.collect_set("at")).cast("long").alias("n_matched"))
+            .where(F.col("n_matched") >= share * F.col("n_windows")).drop("key"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -141,6 +143,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
     Null and empty texts hold none; an empty benchmark gives no row.  A repeated document gives
     its rows again, a null id stays null; an item that repeats under one id counts once.
+    Several texts under one id are items of their own, each with its row; so are those of a null id.
     """
     got = cut(leaked_texts(docs, benchmark, text, item_id, item_text, **options))  # so that hot texts can be split in the join
     t1, t2 = hash128(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))

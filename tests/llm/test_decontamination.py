@@ -105,3 +105,14 @@ def test_repeated_items_texts_under_one_id_and_null_ids(spark):
     bench = [(1, one)] * 5 + [(2, one), (2, two), (None, third), (None, third), (None, two)]
     docs = [(1, one), (2, two), (3, third)]
     assert found(spark, docs, bench) == sorted([(1, 1, 1, 1), (1, 2, 1, 1), (2, 2, 4, 4), (2, None, 4, 4), (3, None, 5, 5)], key=str)
+
+
+def test_one_changed_value_leaves_the_other_windows(spark):
+    plain = "then all of the words that come after them stay just as they were in the book of old"
+    bench = [(1, f"take 12 of these and 15 of those and 12 more, {plain}")]
+    whole = len(template(bench[0][1])) - 7
+    edited = f"take 12 of these and 15 of those and 13 more, {plain}"  # the second 12 reads 13
+    equal = f"take 15 of these and 15 of those and 15 more, {plain}"  # 12 and 15 became equal
+    got = found(spark, [(1, edited), (2, equal), (3, "take 12 of these and 15 of those and 13 more, no word after it")], bench)
+    # the last number is word 9, so the windows from word 10 on hold none; in both documents a 12 conflicts before
+    assert got == [(1, 1, whole, whole - 10), (2, 1, whole, whole - 10)]

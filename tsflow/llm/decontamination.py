@@ -4,9 +4,10 @@ Texts and benchmark items become templates: numbers, names (title-case words ins
 and units (after a number) turn into typed placeholders, other words lose case and punctuation.
 Windows of ``window`` template tokens are hash-joined.  Matches of one item at one alignment
 (document position minus item position) must fill the placeholders consistently: one value of
-the item, one value of the document, and the other way round.  So a question with other
+the item, one value of the document, and the other way round; windows with a value that breaks this
+are dropped, and windows without placeholders count in any case.  So a question with other
 numbers or names is found, and a chance match of placeholders is not.  A document leaks an item
-if consistent alignments cover at least ``share`` of the item's windows.
+if the windows that are left cover at least ``share`` of the item's windows.
 
 Only benchmark windows are broadcast, in blocks of at most ``BLOCK_WINDOWS`` rows, so documents are
 never shuffled for the search; what is grouped afterwards are matches, keyed by a hash of the text.
@@ -79,16 +80,18 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int, sho
 
 
 def _aligned(hits: DataFrame) -> DataFrame:
-    """``(t1, t2, item, key, n_windows, length, shift, at, slots)`` per alignment: item places matched, and
-    those with placeholders together with the item's values."""
+    """``(t1, t2, item, key, n_windows, length, shift, at, slots)`` per alignment: item places matched
+    without placeholders, and those with placeholders together with the item's values."""
     slot = F.when(F.col("b_values").isNotNull(), F.struct("b_at", "b_values"))
+    sure = F.when(F.col("b_values").isNull(), F.col("b_at"))
     return hits.groupBy("t1", "t2", "item", "key", "n_windows", "length", "shift").agg(
-        F.collect_set("b_at").alias("at"), F.collect_set(slot).alias("slots"))
+        F.collect_set(sure).alias("at"), F.collect_set(slot).alias("slots"))
 
 
 def _consistent(aligned: DataFrame, texts: DataFrame) -> DataFrame:
-    """The alignments whose placeholders are filled one to one.  Only texts with such alignments are
-    fetched, each once, together with all its alignments."""
+    """The alignments with, in ``at``, the places without placeholders and those whose placeholders are
+    filled one to one.  Only texts with placeholders are fetched, each once, together with all
+    their alignments."""
     doubtful = aligned.where(F.size("slots") > 0)
     by_text = cut(doubtful.groupBy("t1", "t2").agg(F.collect_list(F.struct("item", "key", "n_windows", "length", "shift", "at", "slots")).alias("all")))
     if by_text.isEmpty():
@@ -97,15 +100,24 @@ def _consistent(aligned: DataFrame, texts: DataFrame) -> DataFrame:
     held = held.select("t1", "t2", "all", "text", _words(F.col("text")).alias("words"))
     held = held.select("t1", "t2", "all", _values(F.col("text"), F.col("words")).alias("values"))
 
-    def agrees(a: Column) -> Column:
+    def twice(x: Column) -> Column:
+        return let(F.sort_array(x), lambda s: F.filter(s, lambda v, i: (F.get(s, i - 1) == v) | (F.get(s, i + 1) == v)))
+
+    def agreeing(a: Column) -> Column:
         def of_place(s: Column) -> Column:
             mine = F.slice(F.col("values"), (s["b_at"] + a["shift"] + 1).cast("int"), a["length"])
-            return F.zip_with(s["b_values"], mine, lambda b, d: F.when(b.isNotNull(), F.struct(b.alias("b"), d.alias("d"))))
-        pairs = F.array_distinct(F.filter(F.flatten(F.transform(a["slots"], of_place)), lambda p: p.isNotNull()))
-        return let(pairs, lambda p: (F.size(F.array_distinct(F.transform(p, lambda x: x["b"]))) == F.size(p))
-                   & (F.size(F.array_distinct(F.transform(p, lambda x: x["d"]))) == F.size(p)))
-
-    sure = held.select("t1", "t2", F.explode(F.filter("all", agrees)).alias("a"))
+            pairs = F.zip_with(s["b_values"], mine, lambda b, d: F.when(b.isNotNull(), F.struct(b.alias("b"), d.alias("d"))))
+            return F.struct(s["b_at"].alias("b_at"), F.filter(pairs, lambda p: p.isNotNull()).alias("pairs"))
+
+        def keep(places: Column) -> Column:
+            pairs = F.array_distinct(F.flatten(F.transform(places, lambda p: p["pairs"])))
+            many = let(pairs, lambda p: F.struct(twice(F.transform(p, lambda x: x["b"])).alias("b"), twice(F.transform(p, lambda x: x["d"])).alias("d")))
+            return let(many, lambda m: F.transform(F.filter(places, lambda s: ~F.exists(
+                s["pairs"], lambda p: F.array_contains(m["b"], p["b"]) | F.array_contains(m["d"], p["d"]))), lambda s: s["b_at"]))
+        return F.array_union(a["at"], let(F.transform(a["slots"], of_place), keep))
+
+    sure = held.select("t1", "t2", F.explode(F.transform("all", lambda a: F.struct(
+        a["item"].alias("item"), a["key"].alias("key"), a["n_windows"].alias("n_windows"), a["shift"].alias("shift"), agreeing(a).alias("at")))).alias("a"))
     return (aligned.where(F.size("slots") == 0).drop("slots", "length")
             .unionByName(sure.select("t1", "t2", "a.item", "a.key", "a.n_windows", "a.shift", "a.at")))
 

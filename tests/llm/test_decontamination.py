@@ -114,5 +114,17 @@ def test_one_changed_value_leaves_the_other_windows(spark):
     edited = f"take 12 of these and 15 of those and 13 more, {plain}"  # the second 12 reads 13
     equal = f"take 15 of these and 15 of those and 15 more, {plain}"  # 12 and 15 became equal
     got = found(spark, [(1, edited), (2, equal), (3, "take 12 of these and 15 of those and 13 more, no word after it")], bench)
-    # the last number is word 9, so the windows from word 10 on hold none; in both documents a 12 conflicts before
-    assert got == [(1, 1, whole, whole - 10), (2, 1, whole, whole - 10)]
+    # the last number is word 9, so the windows from word 10 on hold none; in both documents a 12 conflicts before.
+    # Of the first document, the first two windows are there word for word.
+    assert got == [(1, 1, whole, whole - 8), (2, 1, whole, whole - 10)]
+
+
+def test_exact_copies_in_any_context_and_case(spark):
+    short, rich = "What is the capital of France?", "Der Hund des Nachbarn jagt die Katze der Frau Meier durch den Garten am Haus"
+    bench = [(1, short), (2, rich), (3, "It costs 12 dollars in Rome or Paris")]
+    docs = [(1, f"Q: {short}"), (2, f"1) {short}"), (3, "one asks What is the capital of France at times"), (4, short.lower()), (5, rich.upper()), (6, rich.lower()),
+            (7, "so, What is the capital of Peru?"), (8, "it costs 12 dollars in rome or paris"), (9, "it costs 13 dollars in rome or paris"),
+            (10, "What was the capital of France"), (11, f"Hier ist {rich}")]
+    got = found(spark, docs, bench)
+    n = len(rich.split()) - 7
+    assert sorted(got) == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1), (4, 1, 1, 1), (5, 2, n, n), (6, 2, n, n), (7, 1, 1, 1), (8, 3, 1, 1), (11, 2, n, n - 1)]

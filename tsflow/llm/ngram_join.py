@@ -143,7 +143,7 @@ def scan(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
 
 def sketch_of(scanned: DataFrame) -> np.ndarray:
     """The corpus' counts per cell: partial sums in groups of tasks, then ``CELLS`` numbers to the driver."""
-    def add(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PART, np.int64)
         for batch in batches:
             for cells in batch.column("cells").to_pylist():

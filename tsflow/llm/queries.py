@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsflow.llm import bpe, decontamination, license_scan, line_dedup, pii, quality_rules, simhash_dedup, suffix_dedup, token_counts, url_filters
+from tsflow.llm import bpe, decontamination, license_scan, line_dedup, ngram_join, pii, quality_rules, simhash_dedup, spelling, suffix_dedup, token_counts, url_filters, whitening
 from tsflow.llm.common import documents, tokenizer_path
 from tsflow.llm.license_texts import TEMPLATES
 
@@ -56,6 +56,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(documents(spark, sf_dir), length=400)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir), shingle=3, percent=90)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir), every=97, min_chars=5, min_count=3)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
@@ -67,6 +79,9 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: DuckDB SQL; operators without an entry are tested against brute force in tests/llm.

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tsflow.llm import line_dedup, url_filters
 from tsflow.llm.queries import ORACLES, QUERIES
@@ -34,7 +35,7 @@ def test_line_dedup_edges(spark):
 
 def test_line_dedup_clashing_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "x", "p", 3, 4, 5)], "doc_id long, text string, key string, n int, a int, t1 int")
-    assert line_dedup.with_kept(df, "text", 1, 1).columns == [*df.columns, "__n", "__dropped", "__kept"]
+    assert line_dedup.with_kept(df, "text", 1, 1).columns == ["row", "n_lines", "n_dropped", "kept"]
     assert line_dedup.digests(df).count() == 1
     assert line_dedup.digests(df.limit(0)).count() == 0
 
@@ -71,3 +72,26 @@ def test_url_edges(spark):
     assert got[None] == ("m.adult-x.example.net", "", None, "block")
     assert got[13][:2] == ("Ä.org", "/a\nb") and len(got[14][0]) == 5006
     assert url_filters.judge_urls(df.limit(0), url_filters.RULES, url_filters.LISTED_LABELS).count() == 0
+
+
+CLASHING = ("__gone", "__t1", "__t2", "gone", "t1", "t2", "row", "kept", "n_lines", "n_dropped", "a", "b", "at", "key", "line", "a.b")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    from tsflow.llm import decontamination
+    rows = [(i, f"shared line\nown {i}", 1) for i in range(12)] + [(12, "shared line", 1), (13, None, None), (14, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    df = df.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    got = corpus_pipeline.lines(spark, df, "")
+    assert got.columns == df.columns
+    kept = {r.doc_id: r for r in got.collect()}
+    assert sorted(kept) == [*range(12), 13, 14]
+    assert all(kept[i].text == f"own {i}" and kept[i].n_chars == len(f"own {i}") for i in range(12))
+    assert all(r[c] == f"{c}{i}" for i, r in kept.items() for c in CLASHING)
+    item = "what is the largest planet that moves around the sun in our system"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = df.union(df.limit(1).withColumns({"doc_id": F.lit(99).cast("long"), "text": F.lit(f"They asked: {item}?")}))
+    clean = decontamination.drop_leaking(df, benchmark)
+    assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == list(range(15))
+    assert all(r[c] == f"{c}{r.doc_id}" for r in clean.collect() for c in CLASHING)

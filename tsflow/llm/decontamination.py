@@ -200,6 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that leak no item, all columns."""
-    got = cut(leaked_texts(docs, benchmark, text, **options).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct())
-    keyed = docs.withColumns(dict(zip(("__t1", "__t2"), hash128(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), strict=True)))
-    return keyed.join(got, ["__t1", "__t2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    got = cut(leaked_texts(docs, benchmark, text, **options).select("t1", "t2").distinct())
+    t1, t2 = hash128(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), t1.alias("t1"), t2.alias("t2"))
+    return keyed.join(got, ["t1", "t2"], "left_anti").select("row.*")

@@ -39,13 +39,13 @@ def common_lines(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> D
 def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Every row of ``docs`` as ``(doc_id, n_lines, n_dropped, kept)``; see ``with_kept``."""
-    rows = docs.select(F.col(doc_id), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     return with_kept(rows, "text", min_docs, min_chars).select(
-        doc_id, F.col("__n").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__kept").alias("kept"))
+        F.col("row.id").alias(doc_id), "n_lines", "n_dropped", "kept")
 
 
 def with_kept(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> DataFrame:
-    """All columns of ``docs`` and ``__n``, ``__dropped``, ``__kept``.
+    """``(row, n_lines, n_dropped, kept)``: the row of ``docs`` as a struct, so that its columns may have any name.
 
     Each row is a document.  A null or empty text is one empty line.  A key shorter than
     ``min_chars`` code points is never dropped.  A text whose lines all go becomes empty.
@@ -57,14 +57,17 @@ def with_kept(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> Data
     placed = placed.select("t1", "t2", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
     placed = placed.select("t1", "t2", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     placed = placed.select("t1", "t2", "at", *(h.alias(n) for h, n in zip(hash128(F.col("key")), "ab", strict=True)))
-    gone = placed.join(common, ["a", "b"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("at").alias("__gone"))
-    gone = cut(gone.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}))
+    gone = cut(placed.join(common, ["a", "b"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("at").alias("gone")))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    got = docs.withColumns(dict(zip(("__t1", "__t2"), hash128(body), strict=True))).join(gone, ["__t1", "__t2"], "left")
-    lines = _lines(F.col(text))
-    kept = F.when(F.col("__gone").isNull(), body).otherwise(_without(lines, F.col("__gone")))
-    return got.select(*(F.col(f"`{c}`") for c in docs.columns), F.size(lines).cast("long").alias("__n"),
-                      F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__dropped"), kept.alias("__kept"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(h.alias(n) for h, n in zip(hash128(body), ("t1", "t2"), strict=True)))
+    # hashed are the positions, a row per text; the wide rows stream past them unsorted
+    got = packed.join(gone.hint("shuffle_hash"), ["t1", "t2"], "left").drop("t1", "t2")
+    whole = F.col("row").getField(text)
+    lines = _lines(whole)
+    kept = F.when(F.col("gone").isNull(), F.coalesce(whole, F.lit(""))).otherwise(_without(lines, F.col("gone")))
+    # one evaluation, however many expressions name the text
+    return got.select("row", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+                      F.explode(F.array(kept)).alias("kept"))
 
 
 def _without(lines: Column, gone: Column) -> Column:

@@ -328,7 +328,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = 400, **op
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, **options) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row.
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats)`` per row.
 
     A null text is empty.  Repeated rows are copies of each other: with at least ``length`` bytes
     they lose all of them.  Offsets are bytes; null ids stay.
@@ -342,4 +342,5 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         F.size("spans").cast("long").alias("cuts"), F.sha2("kept", 256).alias("kept")))
     return own.join(hit, ["t1", "t2"], "left").select(
         F.col("__id").alias(doc_id), "n_bytes", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+        F.coalesce("cuts", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"),
+        F.col("gone").isNotNull().alias("has_repeats"))

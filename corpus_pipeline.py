@@ -27,10 +27,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share go; ``n_chars`` follows the text.  A document of
     which nothing is left goes too."""
     kept = line_dedup.with_kept(docs, "text", min_docs=10, min_chars=1)
-    done = kept.where((F.col("__dropped") == 0) | (F.col("__kept") != "")).withColumn("text", F.col("__kept"))
+    done = kept.where((F.col("n_dropped") == 0) | (F.col("kept") != ""))
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

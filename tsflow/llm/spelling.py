@@ -119,42 +119,43 @@ def handle(word: str) -> str:
     return "0" + xxhash.xxh3_128_hexdigest(word)
 
 
-def _keys(words: DataFrame, of, names: tuple[str, str]) -> DataFrame:
+def _keys(words: DataFrame, of, name: str) -> DataFrame:
     """``(key, word's handle, n)`` for each key that ``of`` gives a word; keys are hashes, as pairs are verified anyway."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.string()), pa.array(counts, pa.int64())], ["key", *names])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.string()), pa.array(counts, pa.int64())], ["key", name, "n"])
         keys, held, counts = [], [], []
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, name = of(word), handle(word)
+                own, short = of(word), handle(word)
                 while some := set(islice(own, ROWS)):
                     keys += some
-                    held += [name] * len(some)
+                    held += [short] * len(some)
                     counts += [n] * len(some)
                     if len(keys) >= ROWS:
                         yield rows()
                         keys, held, counts = [], [], []
         if keys:
             yield rows()
-    return words.select("word", "n").mapInArrow(run, f"key long, {names[0]} string, {names[1]} long")
+    return words.select("word", "n").mapInArrow(run, f"key long, {name} string, n long")
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """``(word, n, near, near_n)`` for each ordered pair of words exactly one edit apart."""
-    met = _keys(words, neighbourhood, ("word", "n")).join(_keys(words, listed, ("near", "near_n")), "key").where("word != near")
+    """``(word, near, near_n)`` for each ordered pair of words exactly one edit apart."""
+    met = _keys(words, neighbourhood, "word").drop("n").join(_keys(words, listed, "near").withColumnRenamed("n", "near_n"), "key").where("word != near")
     close = F.levenshtein("word", "near", 1) == 1
     digest = F.col("word").startswith("0") | F.col("near").startswith("0")
-    met = met.select("word", "n", "near", "near_n")
-    short = met.where(~digest & (F.abs(F.length("word") - F.length("near")) <= 1) & close).distinct()
+    # stored, so that the keys are written once for both kinds of pairs
+    met = cut(met.select("word", "near", "near_n").where(digest | ((F.abs(F.length("word") - F.length("near")) <= 1) & close)).distinct())
+    short = met.where(~digest)
     long = words.where(F.length("word") >= SHORT).select("word")  # a digest may meet a word one letter shorter
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([handle(w) for w in batch.column(0).to_pylist()], pa.string()), batch.column(0)], ["name", "whole"])
     names = long.mapInArrow(named, "name string, whole string")
-    rest = met.where(digest).distinct().join(names.toDF("word", "w"), "word").join(names.toDF("near", "v"), "near")
-    rest = rest.select(F.col("w").alias("word"), "n", F.col("v").alias("near"), "near_n").where(close)
+    rest = met.where(digest).join(names.toDF("word", "w"), "word").join(names.toDF("near", "v"), "near")
+    rest = rest.select(F.col("w").alias("word"), F.col("v").alias("near"), "near_n").where(close)
     return short.union(rest)
 
 
@@ -186,11 +187,11 @@ def spelling_variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     if ratio < 2:
         raise ValueError("ratio must be 2 or more")
     words = cut(count_words(docs, doc_id, text, every, min_chars, min_count))
-    best = near_words(words).groupBy("word", "n").agg(
+    best = near_words(words).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    best = cut(best.select("word", "n_near", F.when(-F.col("best.less") >= ratio * F.col("n"), F.struct(
+    best = cut(words.join(best, "word", "left").select("word", "n", "n_near", F.when(-F.col("best.less") >= ratio * F.col("n"), F.struct(
         F.col("best.near").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("f")))
     linked = best.where("f IS NOT NULL").select("word", "f.form")
-    return words.join(best, "word", "left").join(roots(linked), "word", "left").select(
+    return best.join(roots(linked), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("f.form").alias("form"),
         F.col("f.form_n").alias("form_n"), F.coalesce("root", "word").alias("root"))

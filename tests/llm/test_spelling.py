@@ -83,14 +83,36 @@ def test_long_chains(spark):
     assert {r[5] for r in result} == {"abcde" + "k" * 8}
 
 
-def test_neighbourhood_is_complete():
+def keys(of, word):
+    return [int(k) for part in of(S._letters([word])) for k in part[0] if k]
+
+
+@pytest.mark.parametrize("places", [3, S.PLACES])
+def test_neighbourhood_is_complete(monkeypatch, places):
+    monkeypatch.setattr(S, "PLACES", places)
     rng = random.Random(2)
     for _ in range(2000):
         w = "".join(rng.choices("abcdeé", k=rng.randint(5, 8)))
         at = rng.randrange(len(w) + 1)
         v = w[:at] + rng.choice(["", *"abcdeé"]) + w[at + rng.randint(0, 1):]
         if len(v) >= 5 and one_edit(w, v):
-            assert set(S.neighbourhood(w)) & set(S.listed(v))
+            assert set(keys(S.neighbourhood, w)) & set(keys(S.listed, v))
+
+
+def test_neighbourhood_is_no_larger_than_needed():
+    rng = random.Random(3)
+    symbols = range(1, S.SYMBOLS + 1)
+    for _ in range(300):
+        w = "".join(rng.choices("abcdeéxyz", k=rng.randint(5, 9)))
+        r = [int(S.REDUCED[ord(c)]) for c in w]
+        want = set()
+        for at in range(len(w) + 1):
+            end = at >= S.END
+            want |= {(end, *r[:at], s, *r[at:]) for s in symbols}
+            if at < len(w):
+                want |= {(end, *r[:at], *s, *r[at + 1:]) for s in [(), *((s,) for s in symbols)]}
+        own = keys(S.neighbourhood, w)
+        assert len(own) == len(set(own)) == len(want)
 
 
 def test_edges(spark):

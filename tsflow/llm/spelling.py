@@ -12,23 +12,29 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsflow.llm.common import cut
 
-SYMBOLS = 4
+SYMBOLS = 8
 END = 2                      # letters of the end that an edit leaves alone; 2 * END + 1 letters are the least
 HELD = 200_000               # words that a task counts before it hands them on
 SHORT = 40                   # letters of a word that is sent itself beside its keys
-ROWS = 20_000                # of one batch of keys
-MODULUS, BASE = (1 << 61) - 1, 1_000_003_579  # of the hash of reduced words
-WORD, HALF = 1 << 64, 1 << 63
+LETTERS = 1 << 15            # of the words that get their keys together
+PLACES = 1 << 16             # of a word that are edited at a time
+BASE = np.uint64(0x9E3779B97F4A7C15)  # of the hash of reduced words, odd
+BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+FILTER_BITS = 1 << 26        # of the bitmap of the vocabulary's keys: 8 MB
+FILTER_SHIFT = np.uint64(64 - 26)
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
-REDUCED = {chr(c): 1 + zlib.crc32(chr(c).encode()) % SYMBOLS for c in (*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100))}
+REDUCED = np.zeros(0x100, np.uint64)
+for _c in (*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)):
+    REDUCED[_c] = 1 + zlib.crc32(chr(_c).encode()) % SYMBOLS
 
 
 def damaged(run: str, prefix_crc: int, every: int) -> str:
@@ -68,47 +74,70 @@ def count_words(docs: DataFrame, doc_id: str, text: str, every: int, min_chars:
     return counted.where(F.col("n") >= min_count)
 
 
-def _end(which: str, letters: str) -> int:
-    import xxhash
-    return xxhash.xxh3_64_intdigest(which + letters)
-
-
-def _sums(r: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """Hash of each prefix and of each suffix of a reduced word, and powers of the base."""
-    before, after, power = [0], [0], [1]
-    for s in r:
-        before.append((before[-1] * BASE + s) % MODULUS)
-        power.append(power[-1] * BASE % MODULUS)
-    for at, s in enumerate(reversed(r)):
-        after.append((s * power[at] + after[-1]) % MODULUS)
-    return before, after[::-1], power
-
-
-def neighbourhood(word: str) -> Iterator[int]:
-    """Keys of all reduced words one edit away, each with the letters of the end that the edit leaves alone.
-
-    The hash of a neighbour is put together from those of its parts, so a word's keys take time in proportion to its length."""
-    r = [REDUCED[c] for c in word]
-    n = len(r)
-    before, after, power = _sums(r)
-    head, tail = _end("head", word[:END]), _end("tail", word[-END:])
-    for at in range(n + 1):
-        end = head if at >= END else tail
-        edits = [(before[at] * BASE + s) % MODULUS for s in range(1, SYMBOLS + 1)]
-        for x in edits:
-            yield ((x * power[n - at] + after[at]) % MODULUS + end) % WORD - HALF
-        if at < n:
-            for x in (before[at], *edits):
-                yield ((x * power[n - at - 1] + after[at + 1]) % MODULUS + end) % WORD - HALF
-
-
-def listed(word: str) -> Iterator[int]:
-    """The two keys under which a word of the vocabulary is found."""
-    h = 0
-    for c in word:
-        h = (h * BASE + REDUCED[c]) % MODULUS
-    for end in (_end("head", word[:END]), _end("tail", word[-END:])):
-        yield (h + end) % WORD - HALF
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
+def _ends(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the letters at the start and at the end of each word."""
+    def digest(some: np.ndarray, which: int) -> np.ndarray:
+        h = np.full(len(some), which, np.uint64)
+        for k in range(END):
+            h = _mix(h * np.uint64(0x110000) + some[:, k])
+        return h
+    return digest(letters[:, :END], 1), digest(letters[:, -END:], 2)
+
+
+def _powers(n: int) -> np.ndarray:
+    p = np.full(n + 1, BASE, np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)  # modulo 2^64
+
+
+def neighbourhood(letters: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of all reduced words one edit away from each word, a row per word, each with the letters of the end that the
+    edit leaves alone; 0 stands where another edit at the same end gives the same reduced word.
+
+    The hash of a reduced word is a polynomial, so that of a neighbour is put together from sums over its parts.
+    Columns come in slices of a bounded number of places."""
+    r, (head, tail), (k, n) = REDUCED[letters], _ends(letters), letters.shape
+    power = _powers(n)
+    sums = np.zeros((k, n + 1), np.uint64)
+    np.cumsum(r * power[:n], axis=1, out=sums[:, 1:])
+    total = sums[:, -1:]
+    yield np.stack([_mix(total[:, 0] + head), _mix(total[:, 0] + tail)], axis=1)  # a letter of the same symbol in its place
+    for lo in range(0, n + 1, PLACES):
+        at, inner = np.arange(lo, min(lo + PLACES, n + 1)), np.arange(lo, min(lo + PLACES, n))
+        end = np.where(at >= END, head[:, None], tail[:, None])
+        own = r[:, inner]
+        after = np.zeros((k, len(at)), np.uint64)  # the symbol behind the place, 0 at the end of the word
+        after[:, :len(inner)] = own
+        after[:, at == END - 1] = 0  # there the other end is left alone, so the next edit has another key
+        for s in np.arange(1, SYMBOLS + 1, dtype=np.uint64):
+            whole = sums[:, at] + s * power[at] + BASE * (total - sums[:, at])
+            yield np.where(after == s, np.uint64(0), _mix(whole + end))
+            whole = total + (s - own) * power[inner]
+            yield np.where(own == s, np.uint64(0), _mix(whole + end[:, :len(inner)]))
+        follows = np.zeros_like(own)
+        inside = inner[inner < n - 1]
+        follows[:, :len(inside)] = r[:, inside + 1]
+        follows[:, inner == END - 1] = 0
+        whole = sums[:, inner] + BASE_INVERSE * (total - sums[:, inner + 1])
+        yield np.where(follows == own, np.uint64(0), _mix(whole + end[:, :len(inner)]))
+
+
+def listed(letters: np.ndarray) -> Iterator[np.ndarray]:
+    """The two keys under which each word of the vocabulary is found."""
+    r = REDUCED[letters]
+    total = (r * _powers(r.shape[1])[:-1]).sum(axis=1, dtype=np.uint64)
+    yield np.stack([_mix(total + end) for end in _ends(letters)], axis=1)
 
 
 def handle(word: str) -> str:
@@ -119,30 +148,47 @@ def handle(word: str) -> str:
     return "0" + xxhash.xxh3_128_hexdigest(word)
 
 
-def _keys(words: DataFrame, of, name: str) -> DataFrame:
-    """``(key, word's handle, n)`` for each key that ``of`` gives a word; keys are hashes, as pairs are verified anyway."""
+def _keys(words: DataFrame, of, name: str, bits: np.ndarray | None = None) -> DataFrame:
+    """``(key, word's handle, n)`` for each key that ``of`` gives a word and that ``bits`` do not rule out; keys are
+    hashes, as pairs are verified anyway."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.string()), pa.array(counts, pa.int64())], ["key", name, "n"])
-        keys, held, counts = [], [], []
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, short = of(word), handle(word)
-                while some := set(islice(own, ROWS)):
-                    keys += some
-                    held += [short] * len(some)
-                    counts += [n] * len(some)
-                    if len(keys) >= ROWS:
-                        yield rows()
-                        keys, held, counts = [], [], []
-        if keys:
-            yield rows()
+            lengths = pc.utf8_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths).tolist():
+                whole = np.flatnonzero(lengths == length)
+                step = max(1, LETTERS // length)
+                for lo in range(0, len(whole), step):
+                    some = batch.take(pa.array(whole[lo:lo + step]))
+                    texts = some.column(0).to_pylist()
+                    handles = some.column(0) if length <= SHORT else pa.array([handle(w) for w in texts], pa.string())
+                    for keys in of(_letters(texts)):
+                        live = keys != 0
+                        if bits is not None:
+                            bit = (keys >> FILTER_SHIFT).astype(np.int64)
+                            live &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                        at, place = np.nonzero(live)
+                        if len(at):
+                            rows = pa.array(at)
+                            yield pa.RecordBatch.from_arrays([pa.array(keys[at, place].view(np.int64)), handles.take(rows), some.column(1).take(rows)], ["key", name, "n"])
     return words.select("word", "n").mapInArrow(run, f"key long, {name} string, n long")
 
 
+def _bits(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the keys' leading bits, of one size whatever the vocabulary: it only ever lets too much through."""
+    where = keys.select((F.shiftrightunsigned("key", int(FILTER_SHIFT)) + 1).alias("bit"))
+    where = where.select(F.bitmap_bucket_number("bit").alias("k"), F.bitmap_bit_position("bit").alias("at")).repartition("k")
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in where.groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():  # FILTER_BITS bits in all
+        held[(row.k - 1) * 4096:row.k * 4096] = np.frombuffer(row.bits, np.uint8)
+    return held
+
+
 def near_words(words: DataFrame) -> DataFrame:
-    """``(word, near, near_n)`` for each ordered pair of words exactly one edit apart."""
-    met = _keys(words, neighbourhood, "word").drop("n").join(_keys(words, listed, "near").withColumnRenamed("n", "near_n"), "key").where("word != near")
+    """``(word, near, near_n)`` for each ordered pair of words exactly one edit apart.
+
+    A bitmap of the vocabulary's keys drops most neighbours that no word has before the shuffle."""
+    vocabulary = _keys(words, listed, "near").withColumnRenamed("n", "near_n")
+    met = _keys(words, neighbourhood, "word", _bits(vocabulary)).drop("n").join(vocabulary, "key").where("word != near")
     close = F.levenshtein("word", "near", 1) == 1
     digest = F.col("word").startswith("0") | F.col("near").startswith("0")
     # stored, so that the keys are written once for both kinds of pairs

@@ -40,6 +40,21 @@ def uniform_int(tag: str, seed: int, keys: Sequence[str], low: Column, high: Col
     return F.when(span > 0, low + F.pmod(hash_int(tag, seed, keys), span.cast("bigint")))
 
 
+def permuted(x: Column, n: Column, tag: str, seed: int, epoch: Column, rounds: int = 32) -> Column:
+    """Place of ``x`` in a keyed permutation of [0, n), a different one for each epoch.
+
+    Swap-or-not rounds: the pair ``x`` and ``key - x`` (mod n) swaps places if a hash of its greater member
+    says so.  Each round maps [0, n) onto itself for any n, so no sort, no shuffle and no count per row is needed."""
+    def digits(i: Column, what: Column, length: int) -> Column:
+        text = F.concat_ws("|", F.lit(tag), F.lit(str(seed)), epoch.cast("string"), i.cast("string"), what.cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, length), 16, 10).cast("bigint")
+
+    def swap(at: Column, i: Column) -> Column:
+        other = F.pmod(digits(i, F.lit("key"), 12) - at, n)
+        return F.when(digits(i, F.greatest(at, other), 1) >= 8, other).otherwise(at)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x.cast("bigint"), swap)
+
+
 def pad_left(arr: Column, size: int, fill: float = 0.0) -> Column:
     """Right-align ``arr`` in ``size`` slots with ``fill`` on the left (arr must be <= size)."""
     n = F.greatest(F.lit(size) - F.size(arr), F.lit(0))

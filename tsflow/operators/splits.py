@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsflow.functions.core import hash_bucket, hash_int
+from tsflow.functions.core import hash_bucket, hash_int, permuted
 from tsflow.operators.order import global_rank
 
 SPLITS = ("train", "val", "test")
@@ -89,6 +89,15 @@ def split_groups(df: DataFrame, keys: Sequence[str], seed: int = 42, bounds: tup
     return r.select(*keys, *keep, split.alias("split"), "rank", (F.col("rank") - start).cast("bigint").alias("split_rank"))
 
 
+def with_epochs(df: DataFrame, rank: str, n_col: str, epochs: int, seed: int = 42, tag: str = "epoch",
+                shuffled: Column | None = None, name: str = "epoch") -> DataFrame:
+    """A row per row and epoch; ``rank`` (0 .. ``n_col`` - 1 within its split) is permuted anew in every epoch where
+    ``shuffled`` holds (everywhere by default) and stays elsewhere.  No row moves: the order is a formula."""
+    out = df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(epochs - 1).cast("bigint"))))
+    place = permuted(F.col(rank), F.col(n_col), tag, seed, F.col(name))
+    return out.withColumn(rank, place if shuffled is None else F.when(shuffled, place).otherwise(F.col(rank)))
+
+
 def with_batches(df: DataFrame, rank: str, size: int, n_col: str | None = None, drop_last: bool = False,
                  name: str = "batch_id") -> DataFrame:
     """``batch_id = rank div size``; ``drop_last`` keeps only full batches (needs the count ``n_col``)."""

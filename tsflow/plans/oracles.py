@@ -509,14 +509,17 @@ ORACLES["fc_revin"] = q(["mx_stats"], f"""
 ORACLES["fc_drift"] = q(["mx"], f"""
     SELECT battery_id, cycle_index, CAST(h AS BIGINT) AS h, l + (l - f) / {M_SEQ - 1} * (h + 1) AS yhat
     FROM (SELECT battery_id, cycle_index, arg_max(value, step) AS l, arg_min(value, step) AS f FROM mx GROUP BY 1, 2), (SELECT unnest(range({M_PRED})) AS h)""")
-cte("m4_cuts", ["m4_train"], "SELECT id, count(*) AS n, any_value(horizon) AS horizon FROM m4_train GROUP BY 1")
+# every customer is a series, also one of which no value is in the train part
+cte("m4_cuts", ["m4_train"], """
+  SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 4 WHEN 'FURNITURE' THEN 2 WHEN 'MACHINERY' THEN 5 ELSE 3 END AS horizon, count(t.id) AS n
+  FROM customer LEFT JOIN m4_train t ON t.id = c_custkey GROUP BY ALL""")
 _M4S, _M4H = f"({Q.M4_SEQ} * horizon)", "horizon"
 cte("m4cuts", ["m4_cuts"], cuts_sql("m4_cuts", ["id"], "m4", _M4S, _M4H))
 ORACLES["m4_windows"] = q(["m4_train", "m4cuts"], windows_sql("m4_train", "m4cuts", ["id"], "value", "m4", _M4S, _M4H, _M4H))
 ORACLES["m4_rejects"] = q(["m4_cuts"], """
     SELECT id, n, low, n AS high FROM (SELECT *, greatest(1, n - CAST(floor(CAST(1.5 AS DOUBLE) * horizon) AS BIGINT)) AS low FROM m4_cuts) WHERE low >= n""")
-ORACLES["last_windows"] = q(["m4_train"], f"""
-    WITH n AS (SELECT id, count(*) AS n FROM m4_train GROUP BY 1)
+ORACLES["last_windows"] = q(["m4_train", "m4_cuts"], f"""
+    WITH n AS (SELECT id, n FROM m4_cuts)
     SELECT t.id, CAST(t.pos - greatest(n.n - {Q.LAST_L}, 0) + ({Q.LAST_L} - least(n.n, {Q.LAST_L})) AS BIGINT) AS step,
            t.value, CAST(1 AS DOUBLE) AS mask
     FROM m4_train t JOIN n USING (id) WHERE t.pos >= greatest(n.n - {Q.LAST_L}, 0)
@@ -636,3 +639,23 @@ ORACLES["time_features_daily"] = q(["daily"], """
 ORACLES["feature_mode_s"] = q(["daily"], "SELECT CAST(date AS VARCHAR) AS date, pos, ot FROM daily")
 ORACLES["shortest_cycle"] = q(["clen"], """
     SELECT battery_id, cycle_index, n FROM clen ORDER BY n, battery_id DESC, cycle_index DESC LIMIT 1""")
+
+_KEY = "|| CAST(epoch AS VARCHAR) || '|' || CAST(i AS VARCHAR) || '|'"
+_OTHER = f"(((CAST('0x' || substr(md5('epoch|{Q.SEED}|' {_KEY} || 'key'), 1, 12) AS BIGINT) - a) % c + c) % c)"
+ORACLES["batches_epoch"] = q(["sg"], f"""
+    WITH e AS (SELECT sg.*, count(*) OVER (PARTITION BY split) AS c FROM sg),
+         s AS (SELECT battery_id, cycle_index, split, epoch, CASE WHEN split = 'test' THEN split_rank ELSE list_reduce(list_prepend(CAST(split_rank AS BIGINT), range(32)),
+                   lambda a, i: CASE WHEN substr(md5('epoch|{Q.SEED}|' {_KEY} || CAST(greatest(a, {_OTHER}) AS VARCHAR)), 1, 1) >= '8' THEN {_OTHER} ELSE a END) END AS r
+               FROM e, (SELECT CAST(unnest(range({Q.EPOCHS})) AS BIGINT) AS epoch))
+    SELECT battery_id, cycle_index, split, epoch, CAST(floor(r / {Q.BS}) AS BIGINT) AS batch_id, CAST(r % {Q.BS} AS BIGINT) AS batch_seq FROM s""")
+ORACLES["scan_accepted"] = """
+    SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0"""
+ORACLES["scan_rejects"] = """
+    SELECT o_orderkey || 'x,' || o_custkey || ',' || o_orderpriority AS line, 'o_orderkey' AS reason FROM orders WHERE o_orderkey % 17 = 0
+    UNION ALL SELECT o_orderkey || ',' || o_custkey, 'fields' FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 23 = 0
+    UNION ALL SELECT o_orderkey || ',' || o_custkey || ',' || o_orderpriority || ',more', 'fields' FROM orders
+    WHERE o_orderkey % 17 <> 0 AND o_orderkey % 23 <> 0 AND o_orderkey % 29 = 0"""
+ORACLES["prompt_bank"] = """
+    WITH c AS (SELECT c_custkey, c_mktsegment AS seg, CASE WHEN c_mktsegment IN ('FURNITURE', 'MACHINERY') THEN 'ETT' ELSE c_mktsegment END AS family FROM customer),
+         b AS (SELECT family, 'The data set has ' || count(*) || ' series.' || chr(10) || 'The last is ' || max(c_custkey) || '.' AS content FROM c WHERE seg <> 'HOUSEHOLD' GROUP BY 1)
+    SELECT c_custkey, CASE seg WHEN 'FURNITURE' THEN 'ETTh1' WHEN 'MACHINERY' THEN 'ETTm2' ELSE seg END AS data, content FROM c LEFT JOIN b USING (family)"""

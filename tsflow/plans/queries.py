@@ -20,7 +20,7 @@ from tsflow.operators import series as S
 from tsflow.operators.m4 import m4_owa, m4_regroup, m4_scores, m4_series
 from tsflow.operators.order import global_rank
 from tsflow.operators.scaling import fit_scaler, fit_scaler_long, revin, scale, scale_long, unrevin, unscale
-from tsflow.operators.splits import split_fixed, split_groups, split_ratio, with_batches
+from tsflow.operators.splits import split_fixed, split_groups, split_ratio, with_batches, with_epochs
 from tsflow.operators.windows import (
     cut_windows, decoder_input, decoder_input_from_x, draw_cut, explode_windows, last_windows, length_histogram, patches,
     series_lengths, shortest_series, sliding_windows, to_arrays, window_arrays, window_rejects,
@@ -38,6 +38,7 @@ HEAD = (24, 12, 48)           # window from the cycle start
 RATE = 1.2                    # cutting rate of the masked window
 M4_SEQ = 2                    # M4 window: seq = 2 horizons, label = pred = 1 horizon of the group
 HIST = 1.5                    # M4 history size
+EPOCHS = 3
 LAST_L = 6                    # last window of M4 train series
 EV_L = 24                     # every window of ev series
 QUARTER = (800, 1120, 1440)   # fixed split of the 15-minute table
@@ -201,6 +202,37 @@ def q_scan_cycles(spark, sf):
     return readers.read_cycles(spark, path, cyc.schema)
 
 
+def _broken_csv(spark, sf):
+    """The orders as CSV lines: every 17th key has a letter in its number, every 23rd lacks its last field, every 29th has one more."""
+    path, key = scratch_path(spark, "broken-csv"), F.col("o_orderkey")
+    line = (F.when(key % 17 == 0, F.concat_ws(",", F.concat(key.cast("string"), F.lit("x")), "o_custkey", "o_orderpriority"))
+            .when(key % 23 == 0, F.concat_ws(",", key, "o_custkey"))
+            .when(key % 29 == 0, F.concat_ws(",", key, "o_custkey", "o_orderpriority", F.lit("more")))
+            .otherwise(F.concat_ws(",", key, "o_custkey", "o_orderpriority")))
+    fx.read_table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    return readers.read_rejecting(spark, path, T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_orderpriority string"))
+
+
+def q_scan_accepted(spark, sf):
+    return _broken_csv(spark, sf)[0]
+
+
+def q_scan_rejects(spark, sf):
+    return _broken_csv(spark, sf)[1]
+
+
+def q_prompt_bank(spark, sf):
+    """A bank of one text per market segment, written and read back; each customer's data set looks its text up, and two
+    data sets of one family (``ETT*``) share its text."""
+    path, c = scratch_path(spark, "prompt-bank"), fx.read_table(spark, sf, "customer")
+    family = F.when(F.col("c_mktsegment").isin("FURNITURE", "MACHINERY"), F.lit("ETT")).otherwise(F.col("c_mktsegment"))
+    bank = c.where("c_mktsegment != 'HOUSEHOLD'").groupBy(family.alias("name")).agg(
+        F.concat(F.lit("The data set has "), F.count(F.lit(1)).cast("string"), F.lit(" series.\nThe last is "), F.max("c_custkey").cast("string"), F.lit(".")).alias("content"))
+    readers.write_prompt_bank(bank, path)
+    data = F.when(F.col("c_mktsegment") == "FURNITURE", F.lit("ETTh1")).when(F.col("c_mktsegment") == "MACHINERY", F.lit("ETTm2")).otherwise(F.col("c_mktsegment"))
+    return readers.with_content(c.select("c_custkey", data.alias("data")), readers.read_prompt_bank(spark, path, partitioned=True), "data")
+
+
 def q_m4_load(spark, sf):
     """Info joined to ragged values, NaN tails dropped, test part by each group's horizon."""
     return T_m4c(spark, sf).select("id", "grp", "freq", "horizon", "pos", "value", "part")
@@ -313,6 +345,14 @@ def q_batches_full(spark, sf):
     return b.select(*KEYS, "split", "batch_id", "batch_seq")
 
 
+def q_batches_epoch(spark, sf):
+    """Batches of every epoch: train and validation in a new order each, test as it is."""
+    _, w = with_splits(spark, sf)
+    cnt = w.groupBy("split").agg(F.count(F.lit(1)).alias("n_split"))  # three rows
+    e = with_epochs(w.join(F.broadcast(cnt), on="split"), "split_rank", "n_split", EPOCHS, seed=SEED, shuffled=F.col("split") != "test")
+    return with_batches(e, "split_rank", BS).select(*KEYS, "split", "epoch", "batch_id", "batch_seq")
+
+
 # ---------------------------------------------------------------- scaling
 def _daily_scaler(spark, sf):
     d = T_daily(spark, sf)
@@ -425,10 +465,14 @@ def q_head_windows(spark, sf):
     return cycle_windows(spark, sf, "head", HEAD)[0]
 
 
+def m4_lengths(train, info):
+    """Train length of every series of the info table, 0 where it has no train value."""
+    return info.join(series_lengths(train, ["id"]), on="id", how="left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
+
 def _m4_cuts(spark, sf):
     train, _, info = m4_parts(spark, sf)
-    lens = series_lengths(train, ["id"]).join(info, on="id").withColumn("seq", M4_SEQ * F.col("horizon"))
-    return train, lens
+    return train, m4_lengths(train, info).withColumn("seq", M4_SEQ * F.col("horizon"))
 
 
 def q_m4_windows(spark, sf):
@@ -439,14 +483,15 @@ def q_m4_windows(spark, sf):
 
 
 def q_m4_rejects(spark, sf):
-    """Series whose train part is too short for any cut."""
+    """Series whose train part is too short for any cut, or empty."""
     _, lens = _m4_cuts(spark, sf)
     return window_rejects(lens, ["id"], "m4", "seq", "horizon", history=HIST)
 
 
 def q_last_windows(spark, sf):
-    train, _, _ = m4_parts(spark, sf)
-    return last_windows(train, series_lengths(train, ["id"]), ["id"], "value", LAST_L)
+    """Last windows of all series of the info table; one without train values is all padding."""
+    train, _, info = m4_parts(spark, sf)
+    return last_windows(train, m4_lengths(train, info), ["id"], "value", LAST_L)
 
 
 def _slots(df, keys, col):
@@ -880,12 +925,13 @@ def q_fc_linear_channel(spark, sf):
 QUERIES = {
     # sources / projections / joins
     "scan_wide": q_scan_wide, "scan_cycles": q_scan_cycles, "m4_load": q_m4_load, "m4_group": q_m4_group, "m4_forecast_file": q_m4_forecast_file,
+    "scan_accepted": q_scan_accepted, "scan_rejects": q_scan_rejects, "prompt_bank": q_prompt_bank,
     "feature_modes": q_feature_modes, "feature_mode_s": q_feature_mode_s, "cycle_features": q_cycle_features, "long_cycles": q_long_cycles, "melt_channels": q_melt_channels,
     "horizon_slice": q_horizon_slice,
     # splits / batching
     "split_fixed": q_split_fixed, "split_ratio": q_split_ratio, "split_pretrain": q_split_pretrain,
     "split_percent": q_split_percent, "split_groups": q_split_groups, "cut_points": q_cut_points,
-    "batches": q_batches, "batches_full": q_batches_full, "split_quarter": q_split_quarter,
+    "batches": q_batches, "batches_full": q_batches_full, "batches_epoch": q_batches_epoch, "split_quarter": q_split_quarter,
     # scaling
     "scaler_fit": q_scaler_fit, "scaler_apply": q_scaler_apply, "scaler_inverse": q_scaler_inverse,
     "scaler_long": q_scaler_long, "scaler_transfer": q_scaler_transfer,

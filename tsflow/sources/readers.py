@@ -87,9 +87,45 @@ def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None
         w.format(fmt).save(path)
 
 
-def read_prompt_bank(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompt bank: one text file per dataset name -> ``(name, content)`` (whole files)."""
+def read_rejecting(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """CSV lines that fit the declared schema, and the others as ``(line, reason)``.
+
+    A line is rejected if it has too few or too many fields or a field is no value of its column's type; an empty field is a
+    null.  Nothing is stored between the two: each reads the file.  One record a line (no line breaks in quotes); a quote
+    inside quotes is doubled."""
+    from pyspark.sql import functions as F
+    names = schema.fieldNames()
+    lines = spark.read.text(path).withColumnRenamed("value", "line").where(F.trim("line") != "")
+    if header:
+        lines = lines.where(F.col("line") != ",".join(names))
+    raw = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names) + 1)])  # one more than allowed
+    parsed = lines.select("line", F.from_csv("line", raw.simpleString()[7:-1].replace(":", " "), {"escape": '"'}).alias("raw"))
+    # a field that is missing and one that is empty are both null in the raw row: fields are counted outside quotes
+    n_fields = F.size(F.split(F.regexp_replace("line", '"[^"]*"', ""), ",", -1))
+    kept, bad = [], []
+    for k, f in enumerate(schema.fields):
+        given = F.col(f"raw.c{k}")
+        value = (F.try_to_timestamp(given, F.lit(CSV_TS_FORMAT)) if isinstance(f.dataType, T.TimestampType)
+                 else given.try_cast(f.dataType))
+        kept.append(value.alias(f.name))
+        bad.append(F.when(given.isNotNull() & value.isNull(), F.lit(f.name)))
+    reason = F.when(n_fields != len(names), F.lit("fields")).otherwise(F.coalesce(*bad))
+    parsed = parsed.withColumn("reason", reason)
+    return parsed.where(F.col("reason").isNull()).select(*kept), parsed.where(F.col("reason").isNotNull()).select("line", "reason")
+
+
+def write_prompt_bank(df: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
+    """``(name, content)`` as text files, a folder per name, as ``read_prompt_bank`` reads them."""
+    from pyspark.sql import functions as F
+    df.select(F.col(name).alias("name"), F.col(content).alias("value")).write.partitionBy("name").text(path)
+
+
+def read_prompt_bank(spark: SparkSession, folder: str, partitioned: bool = False) -> DataFrame:
+    """Prompt bank -> ``(name, content)`` of whole files: ``<name>.txt`` each, or the folders of ``write_prompt_bank``."""
     from pyspark.sql import functions as F
+    if partitioned:
+        d = spark.read.schema("value string, name string").text(folder, wholetext=True)
+        return d.select("name", F.regexp_replace("value", r"\n\z", "").alias("content"))
     d = spark.read.text(f"{folder.rstrip('/')}/*.txt", wholetext=True).withColumn("_f", F.input_file_name())
     name = F.regexp_extract(F.col("_f"), r"([^/]+)\.txt$", 1)
     return d.select(name.alias("name"), F.col("value").alias("content"))

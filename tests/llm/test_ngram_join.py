@@ -120,3 +120,25 @@ def test_long_text_and_refusal(spark):
     assert [c for _, _, c in got(df)] == [1, 1, 3, 4]
     with pytest.raises(ValueError):
         N.jaccard_components(df, percent=40)
+
+
+def test_two_sets_meet_once_and_lists_have_pivots_of_their_own(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(250)]
+    texts = []
+    for _ in range(60):  # a family of near copies: some pairs are linked, most are not
+        words = list(base)
+        for at in rng.sample(range(0, 250, 4), 5):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    met, entries, meetings = [], [], N.meetings
+
+    def counted(here, *args):
+        got = meetings(here, *args)
+        entries.append(here.count())
+        met.append((got.count(), got.distinct().count()))
+        return got
+    monkeypatch.setattr(N, "meetings", counted)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert met[0][1] < 60 * 59 / 2 / 4 and met[0][0] < 3 * met[0][1] + 60

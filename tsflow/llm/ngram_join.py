@@ -8,9 +8,11 @@ linked if they share at least ``need(a, b)`` of them (the Jaccard threshold, in
   subset are tied to one of them; no pair is compared and none is listed.
 * Large sets: inverted lists.  Shingles are ordered by their rarity in a counting sketch of the corpus
   (a fixed number of cells), and a set stands in the lists of its first shingles only, as many as any partner
-  must share one of.  First each set is compared with one pivot of each of its lists, and components are built.
-  Then the lists are joined with themselves, and only sets of different components meet there, under conditions
-  on size, position and a parity bitmap (its distance is never more than the symmetric difference).
+  must share one of.  First each set is compared with one pivot of each of its lists (drawn anew for each list, so that a family of near
+  copies, which shares many lists, has many pivots), and components are built.
+  Then the lists are joined with themselves, and only sets of different components meet there, where their lists
+  first cross, under conditions on size, position and a parity bitmap (its distance is never more than the
+  symmetric difference).
   What is left is verified on the whole sets.  A set is in the lists too if it is small but has large partners.
 
 The boundary is where the subsets to name cost less than the lists to scan, from the sizes of the
@@ -37,6 +39,7 @@ from tsflow.llm.simhash_dedup import components
 CELLS = 1 << 18              # of the sketch, whatever the corpus
 PART = 1 << 14               # cells in one row while sketches are added up
 SMALLEST_LARGE = 40          # no set above is small: its subsets would be too many at any cost
+NARROW = 8                   # 64-bit words of every set's parity bitmap
 WIDE = 1024                  # sets from this size on also have a wide bitmap
 SEEN = 100_000               # sets that a task remembers, so that copies are sent once
 FILTER_BITS = 1 << 23        # of the bitmap that tells which sets are verified
@@ -108,10 +111,14 @@ def _short_of(key: bytes) -> int:
     return int.from_bytes(key[:7], "big")
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string")).alias("t")
+
+
 def scan(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """One pass: a row ``(id, s, n, small, f, wide)`` per document, and rows ``(part, cells)`` of the tasks' sketches."""
+    """One pass: a row ``(id, t, s, n, small, f, wide)`` per document, and rows ``(part, cells)`` of the tasks' sketches."""
     fields = [T.StructField("id", docs.schema[doc_id].dataType)] + [T.StructField(n, t) for n, t in (
-        ("s", T.BinaryType()), ("n", T.IntegerType()), ("small", T.ArrayType(T.LongType())), ("f", T.ArrayType(T.LongType())),
+        ("t", T.LongType()), ("s", T.BinaryType()), ("n", T.IntegerType()), ("small", T.ArrayType(T.LongType())), ("f", T.ArrayType(T.LongType())),
         ("wide", T.ArrayType(T.LongType())), ("part", T.IntegerType()), ("cells", T.BinaryType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,19 +133,19 @@ def scan(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
                 sketch += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([
-                    some.column(0), pa.array([_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()),
+                    some.column(0), some.column(2), pa.array([_key(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()),
                     pa.array([x.view(np.int64) if 0 < len(x) <= SMALLEST_LARGE else None for x in sets], longs),
-                    pa.array([_parity(x, 4) for x in sets], longs),
+                    pa.array([_parity(x, NARROW) for x in sets], longs),
                     pa.array([_parity(x, 64) if len(x) >= WIDE else None for x in sets], longs),
                     pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], [f.name for f in fields])
         if kind is not None:
             parts = [p for p in range(CELLS // PART) if sketch[p * PART:(p + 1) * PART].any()]
             k = len(parts)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(k, kind), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), *(pa.nulls(k, longs) for _ in range(3)), pa.array(parts, pa.int32()),
+                pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), *(pa.nulls(k, longs) for _ in range(3)), pa.array(parts, pa.int32()),
                 pa.array([zlib.compress(sketch[p * PART:(p + 1) * PART].tobytes(), 1) for p in parts], pa.binary())], [f.name for f in fields])
 
-    return docs.select(doc_id, F.col(text).cast("string")).mapInArrow(run, T.StructType(fields))
+    return docs.select(doc_id, F.col(text).cast("string"), _text_hash(text)).mapInArrow(run, T.StructType(fields))
 
 
 def sketch_of(scanned: DataFrame) -> np.ndarray:
@@ -160,7 +167,7 @@ def sketch_of(scanned: DataFrame) -> np.ndarray:
 
 
 def _by_rarity(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return tokens[np.lexsort((tokens, counts[_cell(tokens)]))]
+    return tokens[np.argsort(counts[_cell(tokens)], kind="stable")]  # sorted tokens: ties in their order
 
 
 def choose_boundary(nodes: DataFrame, counts: np.ndarray, percent: int) -> int:
@@ -225,7 +232,8 @@ def small_links(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
 
 
 def list_entries(docs: DataFrame, text: str, shingle: int, counts: np.ndarray, smallest: int, percent: int) -> DataFrame:
-    """``(token, a, np)``: the first shingles of every set of at least ``smallest``; ``np`` packs its size and the place."""
+    """``(token, a, np, before)``: the first shingles of every set of at least ``smallest``; ``np`` packs its size and the
+    place, ``before`` is the shingle at the place before (null at the first)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -243,10 +251,11 @@ def list_entries(docs: DataFrame, text: str, shingle: int, counts: np.ndarray, s
                     keys.append(np.full(k, a, np.int64))
                     places.append(np.arange(k, dtype=np.int64) | (len(x) << 32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)),
-                                                      pa.array(np.concatenate(places))], ["token", "a", "np"])
+                    token, place = np.concatenate(tokens).view(np.int64), np.concatenate(places)
+                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.concatenate(keys)), pa.array(place),
+                                                      pa.array(np.roll(token, 1), mask=(place & 0xFFFFFFFF) == 0)], ["token", "a", "np", "before"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "token long, a long, np long").distinct()
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "token long, a long, np long, before long").distinct()
 
 
 def _close(percent: int, boundary: int) -> Column:
@@ -258,16 +267,17 @@ def _close(percent: int, boundary: int) -> Column:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
     """``(u, v)`` of the candidate pairs ``(a, b)`` that are linked, counted on the whole sets."""
-    own = nodes.select("a", "s", "n", "f", "wide")
-    both = pairs.join(own.toDF("a", "u", "n", "f", "wide"), "a").join(own.toDF("b", "v", "m", "g", "wide_v"), "b")
+    own = nodes.select("a", "s", "t", "n", "f", "wide")
+    both = pairs.join(own.toDF("a", "u", "t_u", "n", "f", "wide"), "a").join(own.toDF("b", "v", "t_v", "m", "g", "wide_v"), "b")
 
     def apart(x: str, y: str) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda t, i: t + i)
     allowed = F.expr(f"n + m - 2 * ceil({percent}L * (n + m) / {100 + percent})")
     near = (apart("f", "g") <= allowed) & (F.coalesce(apart("wide", "wide_v"), F.lit(0)) <= allowed)
-    todo = cut(both.where(near).select("u", "v", "n", "m"))
-    # a bitmap of fixed size keeps most sets that no pair names out of the shuffle; it only ever lets too much through
-    ends = todo.select(F.col("u").alias("s")).union(todo.select("v")).select((_short(F.col("s")) % FILTER_BITS + 1).alias("bit"))
+    todo = cut(both.where(near).select("u", "v", "n", "m", "t_u", "t_v"))
+    # a bitmap of fixed size, over the hash of one text of each set, keeps most texts that no pair names from being read
+    # as shingles and their sets out of the shuffle; it only ever lets too much through
+    ends = todo.select(F.col("t_u").alias("t")).union(todo.select("t_v")).select((F.pmod("t", F.lit(FILTER_BITS)) + 1).alias("bit"))
     held = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in ends.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
         held[(r.k - 1) * 4096:r.k * 4096] = np.frombuffer(r.bits, np.uint8)  # FILTER_BITS bits in all
@@ -275,13 +285,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, sh
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            bit = batch.column(1).to_numpy(zero_copy_only=False) % FILTER_BITS
+            texts = batch.column(0).filter(pa.array((held[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+            for at in range(0, len(texts), 256):
                 found = []
-                for t in batch.column(0).slice(at, 256).to_pylist():
+                for t in texts.slice(at, 256).to_pylist():
                     x = shingles(t, shingle)
                     key = _key(x)
-                    bit = _short_of(key) % FILTER_BITS
-                    if held[bit >> 3] >> (bit & 7) & 1 and key not in seen:
+                    if key not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(key)
@@ -292,31 +303,38 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, sh
 
     if not held.any():
         return todo.select("u", "v")
-    sets = docs.select(F.col(text).cast("string")).mapInArrow(wanted, "s binary, tokens array<long>")
+    sets = docs.select(F.col(text).cast("string"), _text_hash(text)).mapInArrow(wanted, "s binary, tokens array<long>")
     sets = cut(sets.groupBy("s").agg(F.first("tokens").alias("tokens")))
     both = todo.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
     shared = F.size(F.array_intersect("x", "y"))
     return cut(both.where(F.expr(f"{100 + percent}L") * shared >= F.expr(f"{percent}L * (n + m)")).select("u", "v"))
 
 
+def meetings(entries: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """``(a, b)``, a < b: sets of different components that meet in the list of a shingle.  Two sets whose shingle before is the
+    same one have met in its list, so they pass here; they do meet at the first shingle that they share, where the
+    places leave most to be shared too.  ``entries``: token, a, n, p, before, root, f."""
+    there = entries.toDF("token", "b", "m", "q", "before_b", "root_b", "g")
+    allowed = F.expr(f"n + m - 2 * ceil({percent}L * (n + m) / {100 + percent})")
+    apart = F.expr("+".join(f"bit_count(f[{k}] ^ g[{k}])" for k in range(NARROW)))
+    new = F.expr("a < b AND root != root_b AND (before != before_b OR before IS NULL OR before_b IS NULL)")
+    return entries.join(there, (entries.token == there.token) & new & _close(percent, boundary) & (apart <= allowed)).select("a", "b")
+
+
 def large_links(docs: DataFrame, text: str, shingle: int, nodes: DataFrame, sure: DataFrame, counts: np.ndarray, boundary: int, percent: int) -> DataFrame:
     """``(u, v)`` that, with ``sure``, tie all linked sets together of which one at least is not below the boundary."""
     entries = cut(list_entries(docs, text, shingle, counts, -(-percent * boundary // 100), percent))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("a", "np"), F.xxhash64("a")).alias("pivot"))
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct("a", "np"), F.xxhash64("a", "token")).alias("pivot"))
     live = cut(entries.join(lists.where("k > 1").select("token", "pivot"), "token").select(
-        "token", "a", "pivot", F.expr("CAST(shiftright(np, 32) AS INT)").alias("n"), F.expr("CAST(np & 4294967295L AS INT)").alias("p")))
+        "token", "a", "before", "pivot", F.expr("CAST(shiftright(np, 32) AS INT)").alias("n"), F.expr("CAST(np & 4294967295L AS INT)").alias("p")))
     at_pivot = live.where("a != pivot.a").select("a", F.col("pivot.a").alias("b"), "n", "p", F.expr("CAST(shiftright(pivot.np, 32) AS INT)").alias("m"),
                                                  F.expr("CAST(pivot.np & 4294967295L AS INT)").alias("q"))
     pairs = cut(at_pivot.where(_close(percent, boundary)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = sure.union(_verified(pairs, nodes, docs, text, shingle, percent))
     roots = components(found)
     known = cut(nodes.join(roots, nodes.s == roots.node, "left").select("a", F.coalesce("root", "s").alias("root"), "f"))
-    here = cut(live.join(known, "a").select("token", "a", "n", "p", "root", "f"))
-    there = here.toDF("token", "b", "m", "q", "root_b", "g")
-    allowed = F.expr(f"n + m - 2 * ceil({percent}L * (n + m) / {100 + percent})")
-    apart = F.expr("+".join(f"bit_count(f[{k}] ^ g[{k}])" for k in range(4)))
-    meet = (here.token == there.token) & F.expr("a < b AND root != root_b") & _close(percent, boundary) & (apart <= allowed)
-    rest = cut(here.join(there, meet).select("a", "b").distinct())
+    here = cut(live.join(known, "a").select("token", "a", "n", "p", "before", "root", "f"))
+    rest = cut(meetings(here, boundary, percent).distinct())
     return found.union(_verified(rest, nodes, docs, text, shingle, percent))
 
 
@@ -332,7 +350,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     scanned = cut(scan(docs, doc_id, text, shingle))
     rows = scanned.where("part IS NULL")
     counts = sketch_of(scanned)
-    nodes = rows.where("n > 0").groupBy("s").agg(F.min("id").alias("least"), F.min("n").alias("n"), *(F.any_value(c).alias(c) for c in ("small", "f", "wide")))
+    nodes = rows.where("n > 0").groupBy("s").agg(F.min("id").alias("least"), F.min("n").alias("n"), *(F.any_value(c).alias(c) for c in ("t", "small", "f", "wide")))
     nodes = cut(nodes.withColumn("a", _short(F.col("s"))))
     boundary = choose_boundary(nodes, counts, percent)
     edges = large_links(docs, text, shingle, nodes, cut(small_links(nodes, boundary, percent)), counts, boundary, percent)

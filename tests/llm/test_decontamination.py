@@ -128,3 +128,13 @@ def test_exact_copies_in_any_context_and_case(spark):
     got = found(spark, docs, bench)
     n = len(rich.split()) - 7
     assert sorted(got) == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1), (4, 1, 1, 1), (5, 2, n, n), (6, 2, n, n), (7, 1, 1, 1), (8, 3, 1, 1), (11, 2, n, n - 1)]
+
+
+def test_windows_of_the_documents_are_worked_out_once(spark, monkeypatch):
+    plans, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    docs = [*DOCS, (10, "of four words only")]
+    assert found(spark, docs, BENCH) == brute(docs, BENCH)
+    search = next(p for p in plans if "posexplode" in p and "Join" in p)
+    # items of six words and of eight: two passes over the documents, each of which splits the texts once
+    assert search.count("regexp_extract_all(") == search.count("split(") == 2

@@ -160,7 +160,8 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     found = None
     for length, n in sorted(lengths.items()):
         spread = texts.select("t1", "t2", _doc_windows(F.col("text"), length).alias("all"))
-        spread = spread.select("t1", "t2", F.floor(F.size("all") / 2).cast("int").alias("n"), F.posexplode("all").alias("at", "hash"))
+        # outer: for a plain explode the optimizer puts a filter on the array's size below, which works out all windows once more
+        spread = spread.select("t1", "t2", F.floor(F.size("all") / 2).cast("int").alias("n"), F.posexplode_outer("all").alias("at", "hash"))
         spread = spread.where(F.col("hash").isNotNull()).withColumn("d_at", F.pmod("at", "n"))
         blocks = math.ceil(n / BLOCK_WINDOWS)
         for block in range(blocks):
